@@ -109,20 +109,16 @@ def list_patterns(locale: str | None = None) -> list[dict]:
     ]
 
 
-def match_mask(value: Column) -> Column:
-    """Bit k is set if the trimmed value matches pattern k, bit k + 36 if its validator agrees as well."""
-    t = trimmed(value)
-    # no pattern but those of paths and URLs matches a long text
-    short = F.length(t) <= 4096
+def match_mask(t: Column) -> Column:
+    """Bit k is set if the trimmed value matches pattern k; patterns with a validator have another bit for values that pass it."""
     mask = F.lit(0).cast("long")
     for k, p in enumerate(CATALOGUE):
-        hit = t.rlike(p.java)
+        bits = F.when(t.rlike(p.java), 1 << k)
         if p.validator:
-            bits = F.when(hit & p.validator(t), (1 << k) | (1 << _checked(k))).when(hit, 1 << k)
-        else:
-            bits = F.when(hit, 1 << k)
+            bits = F.when(t.rlike(p.java), F.when(p.validator(t), (1 << k) | (1 << _checked(k))).otherwise(1 << k))
         mask = mask.bitwiseOR(F.coalesce(bits, F.lit(0)).cast("long"))
-    return F.when(short | t.rlike(r"\A(?:/|https?://|ftps?://)"), mask).otherwise(F.lit(0).cast("long"))
+    # of long texts none but paths and addresses match
+    return F.when((F.length(t) <= 4096) | t.rlike(r"\A(?:/|https?://|ftps?://)"), mask).otherwise(F.lit(0).cast("long"))
 
 
 _WITH_VALIDATOR = [k for k, p in enumerate(CATALOGUE) if p.validator]
@@ -134,7 +130,8 @@ def _checked(k: int) -> int:
 
 def mask_counts(frequencies: DataFrame) -> DataFrame:
     """For ``column``, ``value`` and ``n`` the counts of masks: ``column``, ``mask``, ``n``. Null-like values don't count."""
-    return frequencies.where(~is_null_like(F.col("value"))).groupBy("column", match_mask(F.col("value")).alias("mask")).agg(F.sum("n").alias("n"))
+    values = frequencies.where(~is_null_like(F.col("value"))).withColumn("value", trimmed(F.col("value")))
+    return values.groupBy("column", match_mask(F.col("value")).alias("mask")).agg(F.sum("n").alias("n"))
 
 
 def confidence(specificity: int, percentage: float, pass_rate: float) -> float:

@@ -51,7 +51,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def null_cell(f: Field) -> Column:
     """Whether a cell counts as null. Numbers and dates have no null-like text but null itself, and NaN."""
-    return P.is_null_like(f.text) if f.kind is None else f.text.isNull()
+    return P.is_null_like(f.text) if f.kind is None else f.text.isNull() if f.empty is None else f.empty
 
 
 def moments(x: Column) -> dict[str, Column]:
@@ -172,13 +172,13 @@ def lexical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def sketched_distinct(df: DataFrame, columns: list[str] | None = None, precision: int = 14) -> DataFrame:
     """Distinct values by HyperLogLog sketch; sketches of parts can be united (:func:`united`)."""
-    return _per_column(df, chosen(df, columns), lambda f: {"distinct_count": F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~null_cell(f), f.text), F.lit(precision)))})
+    return _per_column(df, chosen(df, columns), lambda f: {"distinct_count": F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~null_cell(f), f.text if f.key is None else f.key), F.lit(precision)))})
 
 
 def distinct_sketches(df: DataFrame, by: Column, columns: list[str] | None = None, precision: int = 14) -> DataFrame:
     """A sketch for each part of the rows and column: ``part``, ``column``, ``sketch``."""
     found = chosen(df, columns)
-    wide = df.groupBy(by.alias("part")).agg(*[F.hll_sketch_agg(F.when(~null_cell(f), f.text), F.lit(precision)).alias(f"s{k}") for k, f in enumerate(found)])
+    wide = df.groupBy(by.alias("part")).agg(*[F.hll_sketch_agg(F.when(~null_cell(f), f.text if f.key is None else f.key), F.lit(precision)).alias(f"s{k}") for k, f in enumerate(found)])
     rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"s{k}").alias("sketch")) for k, f in enumerate(found)])
     return wide.select("part", F.explode(rows).alias("r")).select("part", "r.*")
 
@@ -204,7 +204,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Rows are compared by their own columns where these are short, long texts by digest, so that what is shuffled is small.
     """
-    keys = [F.coalesce(f.text, F.lit("")) if f.kind in (None, "String") else f.text for f in fields(df)]
+    keys = [F.coalesce(f.text, F.lit("")) if f.kind in (None, "String") else f.key for f in fields(df)]
     # two hashes of 64 bits with different beginnings, and the length: rows that agree in all are the same
     row = F.concat_ws("\x1e", *[F.concat(F.length(F.coalesce(k, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(k, F.lit(""))) for k in keys])
     by = df.select(F.xxhash64(*keys).alias("a"), F.xxhash64(F.lit("row"), row).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

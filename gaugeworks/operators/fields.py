@@ -21,6 +21,10 @@ class Field:
     text: Column
     number: Column
     moment: Column
+    #: Whether the cell holds nothing, without making its text; None where the text has to tell.
+    empty: Column | None = None
+    #: A text that tells values apart, cheaper than ``text``.
+    key: Column | None = None
 
 
 def duplicate_names(columns: list[str]) -> list[str]:
@@ -37,19 +41,19 @@ def field_of(f: T.StructField) -> Field:
     c, t = F.col(f"`{f.name}`"), f.dataType
     none_number, none_moment = F.lit(None).cast("double"), F.lit(None).cast("timestamp")
     if isinstance(t, INTEGERS):
-        return Field(f.name, "Integer", c.cast("string"), c.cast("double"), none_moment)
+        return Field(f.name, "Integer", c.cast("string"), c.cast("double"), none_moment, c.isNull(), c.cast("string"))
     if isinstance(t, (T.FloatType, T.DoubleType)):
         value = F.when(~F.isnan(c), c)  # NaN is null
-        return Field(f.name, "Float", plain_double(value), F.when(F.abs(value) < float("inf"), value.cast("double")), none_moment)
+        return Field(f.name, "Float", plain_double(value), F.when(F.abs(value) < float("inf"), value.cast("double")), none_moment, c.isNull() | F.isnan(c), value.cast("string"))
     if isinstance(t, T.DecimalType):
         text = F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+\z", "$1")
-        return Field(f.name, "Float", F.regexp_replace(text, r"\.\z", ""), c.cast("double"), none_moment)
+        return Field(f.name, "Float", F.regexp_replace(text, r"\.\z", ""), c.cast("double"), none_moment, c.isNull(), c.cast("string"))
     if isinstance(t, T.BooleanType):
-        return Field(f.name, "Boolean", F.when(c, "True").when(~c, "False"), none_number, none_moment)
+        return Field(f.name, "Boolean", F.when(c, "True").when(~c, "False"), none_number, none_moment, c.isNull(), c.cast("string"))
     if isinstance(t, T.DateType):
-        return Field(f.name, "Date", F.date_format(c, "yyyy-MM-dd"), none_number, c.cast("timestamp"))
+        return Field(f.name, "Date", F.date_format(c, "yyyy-MM-dd"), none_number, c.cast("timestamp"), c.isNull(), c.cast("string"))
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return Field(f.name, "Date", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), none_number, c.cast("timestamp"))
+        return Field(f.name, "Date", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), none_number, c.cast("timestamp"), c.isNull(), c.cast("string"))
     if isinstance(t, T.DayTimeIntervalType):
         micros = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
         return Field(f.name, "Integer", micros.cast("string"), micros.cast("double"), none_moment)
@@ -69,6 +73,12 @@ def fields(df: DataFrame) -> list[Field]:
     return [field_of(f) for f in df.schema.fields]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it comes in fewer: one small file is one part."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def long_rows(values: dict[str, dict[str, Column]], wide: DataFrame) -> DataFrame:
     """One row for each key of ``values`` out of a one-row table: ``column`` and the named expressions."""
     rows = [F.struct(F.lit(name).alias("column"), *[c.alias(k) for k, c in by.items()]) for name, by in values.items()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import patterns as R
 from gaugeworks.functions import predicates as P
 from gaugeworks.operators.aggregates import chosen, null_cell
+from gaugeworks.operators.fields import plain_double
 
 #: Bytes from which a text is counted by its digest and beginning rather than whole.
 LONG_TEXT = 256
@@ -19,7 +20,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, whole: bool =
     With ``whole`` false long texts stand for themselves by digest: enough to count them, and little to shuffle.
     """
     found = chosen(df, columns)
-    text = lambda f: f.text if whole or f.kind not in (None, "String") else F.when(F.octet_length(f.text) >= LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(f.text, 256))).otherwise(f.text)
+    text = lambda f: (f.text if whole else f.key) if f.key is not None else f.text if whole else F.when(F.octet_length(f.text) >= LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(f.text, 256))).otherwise(f.text)
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~null_cell(f), text(f)).alias("value")) for f in found])
     each = df.select(F.explode(cells).alias("c")).where("c.value is not null")
     return each.groupBy(F.col("c.column").alias("column"), F.col("c.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -33,6 +34,25 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return every.join(counted, "column", "left").na.fill(0, ["distinct_count"])
 
 
+def value_facts(counts: DataFrame) -> DataFrame:
+    """What the counted values of each column say: distinct values, lexical counts, booleans, dates with their range.
+
+    Values are judged once each, however often they occur. Texts that stand for themselves by digest are text.
+    """
+    c, n = F.col("value"), F.col("n")
+    t = counts.withColumn("t", P.trimmed(c))
+    judged = t.select(
+        "column", "n", P.is_integer(F.col("t")).alias("integer"), P.is_float(F.col("t")).alias("float"), P.is_boolean(F.col("t")).alias("boolean"), F.lower("t").alias("low"),
+        P.is_inferred_date(F.col("t")).alias("date"), P.lexical_class(c).alias("class"), F.to_date(P.moment(F.col("t"))).alias("day"), (P.raw_moment(c).isNotNull()).alias("parses"),
+    )
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    return judged.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("non_null"), total(F.col("integer")).alias("integers"), total(F.col("float")).alias("floats"), total(F.col("boolean")).alias("booleans"), total(F.col("date")).alias("dates"),
+        *[total(F.col("class") == k).alias(f"class_{k.lower()}") for k in ("Numeric", "Date", "Boolean", "Text")],
+        total(F.col("low") == "true").alias("true"), total(F.col("low") == "false").alias("false"), total(F.col("parses")).alias("parsed_dates"), F.min("day").alias("first"), F.max("day").alias("last"),
+    )
+
+
 def modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The most frequent number, to ten decimals: the smallest of several; null if none repeats."""
     found = [f for f in chosen(df, columns) if columns is not None or f.kind in ("Integer", "Float")]
@@ -44,7 +64,10 @@ def modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def ranked_values(df: DataFrame, columns: list[str] | None = None, k: int = 10, least: bool = False) -> DataFrame:
     """The ``k`` most (or least) frequent values of each column with rank, count and percentage of its values; ties by value."""
-    counts = value_counts(df, columns)
+    return ranked(value_counts(df, columns), k, least)
+
+
+def ranked(counts: DataFrame, k: int = 10, least: bool = False) -> DataFrame:
     order = [F.col("n").asc() if least else F.col("n").desc(), F.col("value").asc()]
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= k)
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
@@ -62,18 +85,32 @@ def pattern_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def pattern_masks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Counts of pattern masks. The masks are made before the shuffle, so no value is moved."""
+    """Counts of pattern masks. Short values are counted first and matched once; of long ones the masks alone are moved."""
     found = chosen(df, columns)
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), f.text.alias("value")) for f in found])
-    each = df.select(F.explode(cells).alias("c")).select("c.column", "c.value")
-    return each.where(~P.is_null_like(F.col("value"))).select("column", R.match_mask(F.col("value")).alias("mask")).groupBy("column", "mask").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), P.trimmed(f.text).alias("value")) for f in found])
+    each = df.select(F.explode(cells).alias("c")).select("c.column", "c.value").where(~P.is_null_like(F.col("value")))
+    long = F.octet_length("value") > LONG_TEXT
+    short = each.where(~long).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select("column", R.match_mask(F.col("value")).alias("mask"), "n")
+    rest = each.where(long).select("column", R.match_mask(F.col("value")).alias("mask"), F.lit(1).cast("long").alias("n"))
+    return short.unionByName(rest).groupBy("column", "mask").agg(F.sum("n").alias("n"))
+
+
+def counted_masks(counts: DataFrame, floats: list[str]) -> DataFrame:
+    """:func:`pattern_masks` from counted values; ``floats`` are columns of doubles, whose plain text is matched."""
+    value = F.when(F.col("column").isin(floats), plain_double(F.col("value").try_cast("double"))).otherwise(P.trimmed(F.col("value"))) if floats else P.trimmed(F.col("value"))
+    texts = counts.select("column", value.alias("value"), "n").where(~F.col("value").startswith("sha256:"))
+    return texts.select("column", R.match_mask(F.col("value")).alias("mask"), "n").groupBy("column", "mask").agg(F.sum("n").alias("n"))
 
 
 def decimal_scales(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column``, ``scale``, ``n``: numbers by the decimals that they use."""
-    found = chosen(df, columns)
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), P.decimal_scale(P.trimmed(f.text)).alias("scale")) for f in found])
-    return df.select(F.explode(cells).alias("c")).select("c.*").where("scale is not null").groupBy("column", "scale").agg(F.count(F.lit(1)).alias("n"))
+    return counted_scales(value_counts(df, columns), columns, [])
+
+
+def counted_scales(counts: DataFrame, columns: list[str], floats: list[str]) -> DataFrame:
+    value = F.when(F.col("column").isin(floats), plain_double(F.col("value").try_cast("double"))).otherwise(P.trimmed(F.col("value"))) if floats else P.trimmed(F.col("value"))
+    texts = counts.where(F.col("column").isin(columns)).select("column", value.alias("value"), "n").withColumn("scale", P.decimal_scale(F.col("value")))
+    return texts.where("scale is not null").groupBy("column", "scale").agg(F.sum("n").alias("n"))
 
 
 def precision(scales: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """A profile: one source in, one report out.
 
-The plan is a few jobs. One pass over the rows gives all counts, moments, lengths, ranges and rule violations in one wide
-aggregate. A second counts distinct values, or their digests where they are long, in one shuffle for all columns; a third
-counts pattern masks, a fourth the rows' hashes. Quartiles narrow a bracket instead of sorting. Only what a report asked for is planned, so that the scan
+The plan is a few jobs. One pass over the rows gives counts, moments, lengths and rule violations in one wide aggregate. A
+second counts distinct values, or their digests where they are long, in one shuffle for all columns; what values say, types,
+dates and patterns, is judged once for each distinct value. A third counts the rows' hashes. Quartiles narrow a bracket instead of sorting. Only what a report asked for is planned, so that the scan
 reads the columns that it needs.
 """
 
@@ -23,7 +23,7 @@ from gaugeworks.functions import predicates as P
 from gaugeworks.operators import aggregates as A
 from gaugeworks.operators import frequencies as Q
 from gaugeworks.operators import rules
-from gaugeworks.operators.fields import Field, fields
+from gaugeworks.operators.fields import Field, fields, spread
 from gaugeworks.operators.quantiles import exact_quantiles
 from gaugeworks.operators.sampling import Sampling, sampled
 from gaugeworks.plans import quality as qual
@@ -105,14 +105,37 @@ def profile_frame(df: DataFrame, options: Options | None = None, info: SourceInf
         if cut.count() > options.max_rows:
             truncated = "max_rows"
         df = df.limit(options.max_rows)
+    df = spread(df)
     tell("schema", {"columns": [f.name for f in found]})
     facts = A.one_row(df, _first_pass(found, options))
     rows = facts["rows"]
+    tell("first_pass", {"rows": rows})
+    # the counted values serve several questions: they are kept while this report is made
+    counts = Q.value_counts(df, whole=False).persist() if found else None
+    try:
+        return _with_values(df, found, options, info, facts, counts, truncated, tell)
+    finally:
+        if counts is not None:
+            counts.unpersist()
+
+
+def _with_values(df, found, options, info, facts, counts, truncated, tell) -> Report:
+    rows = facts["rows"]
+    by_name = {f.name: k for k, f in enumerate(found)}
+    told = {r["column"]: r.asDict() for r in Q.value_facts(counts.where(F.col("column").isin([f.name for f in found if f.kind in (None, "Boolean")]))).collect()} if any(f.kind in (None, "Boolean") for f in found) else {}
+    for f in found:
+        if f.kind in (None, "Boolean"):
+            empty = {c: 0 for c in ("non_null", "integers", "floats", "booleans", "dates", "class_numeric", "class_date", "class_boolean", "class_text", "true", "false", "parsed_dates", "distinct")} | {"first": None, "last": None}
+            facts |= {f"{by_name[f.name]}_{c}": v for c, v in {**empty, **told.get(f.name, {})}.items() if c != "column"}
     kinds = {f.name: f.kind or _kind(facts, k) for k, f in enumerate(found)}
     for name, hint in options.hints.items():
         if hint == "identifier":
             kinds[name] = "Identifier"
-    tell("first_pass", {"rows": rows})
+    # numbers that are written as text
+    texts = {k: f for k, f in enumerate(found) if f.kind is None and facts[f"{k}_floats"]}
+    facts |= {f"{k}_{n}": None for k, f in enumerate(found) if f.kind is None for n in A.moments(f.number)} | {f"{k}_n": 0 for k, f in enumerate(found) if f.kind is None}
+    if texts:
+        facts |= A.one_row(df, {f"{k}_{n}": c for k, f in texts.items() for n, c in A.moments(f.number).items()})
     numeric = [f for f in found if kinds[f.name] in ("Integer", "Float")]
     quartiles = {f.name: [None] * 3 for f in numeric}
     if numeric and (options.statistics or options.assesses("accuracy")):
@@ -121,39 +144,42 @@ def profile_frame(df: DataFrame, options: Options | None = None, info: SourceInf
         else:
             got = A.one_row(df, {f"q{k}": F.percentile_approx(f.number, [0.25, 0.5, 0.75], 10_000) for k, f in enumerate(numeric)})
             quartiles = {f.name: got[f"q{k}"] or [None] * 3 for k, f in enumerate(numeric)}
-    distinct, modes, tops, bottoms, masks, scales, duplicates, outlying, spread = {}, {}, {}, {}, {}, {}, None, {}, {}
+    distinct, modes, tops, bottoms, masks, scales, duplicates, outlying, calendar = {}, {}, {}, {}, {}, {}, None, {}, {}
     if options.statistics or options.assesses("uniqueness"):
-        if options.exact:
-            distinct = {r["column"]: r["distinct_count"] for r in Q.distinct_counts(df).collect()}
-        else:
-            distinct = {r["column"]: r["distinct_count"] for r in A.sketched_distinct(df).collect()}
+        counted = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count")) if options.exact else A.sketched_distinct(df)
+        distinct = {f.name: 0 for f in found} | {r["column"]: r["distinct_count"] for r in counted.collect()}
     if options.statistics:
         if numeric:
             modes = {r["column"]: r["mode"] for r in Q.modes(df, [f.name for f in numeric]).collect()}
         texts = [f.name for f in found if kinds[f.name] in ("String", "Identifier")]
         if texts:
+            some = counts.where(F.col("column").isin(texts))
             for least, into in ((False, tops), (True, bottoms)):
-                for r in Q.ranked_values(df, texts, options.top, least).orderBy("column", "rank").collect():
+                for r in Q.ranked(some, options.top, least).orderBy("column", "rank").collect():
                     into.setdefault(r["column"], []).append({"value": r["value"], "count": r["n"], "percentage": r["percentage"]})
         for f in found:
             if kinds[f.name] == "Date" and rows:
-                spread[f.name] = {}
+                calendar[f.name] = {}
                 for r in A.date_distribution(df, f.name).collect():
-                    spread[f.name].setdefault(r["part"], {})[r["key"]] = r["n"]
+                    calendar[f.name].setdefault(r["part"], {})[r["key"]] = r["n"]
     if numeric and (options.statistics or options.assesses("accuracy")):
         outlying = {r["column"]: r["outliers"] for r in rules.outliers(df, [f.name for f in numeric], quartiles, options.thresholds.outlier_factor).collect()}
+    doubles = [f.name for f in found if f.kind == "Float"]
     if options.patterns:
-        for r in Q.pattern_masks(df).collect():
+        for r in Q.counted_masks(counts, doubles).collect():
             masks.setdefault(r["column"], {})[r["mask"]] = r["n"]
+        wide = [f.name for k, f in enumerate(found) if f.kind in (None, "String") and (facts[f"{k}_max_length"] or 0) >= Q.LONG_TEXT]
+        if wide:  # long texts were counted by digest
+            masks |= {n: {} for n in wide}
+            for r in Q.pattern_masks(df, wide).collect():
+                masks[r["column"]][r["mask"]] = r["n"]
     floats = [f.name for f in numeric if kinds[f.name] == "Float"]
     if floats and options.assesses("precision"):
-        scales = {r["column"]: r for r in Q.precision(Q.decimal_scales(df, floats)).collect()}
+        scales = {r["column"]: r for r in Q.precision(Q.counted_scales(counts, floats, doubles)).collect()}
     if options.assesses("uniqueness") and found:
         duplicates = A.duplicate_rows(df).first()["duplicate_rows"]
     tell("values", {"columns": len(found)})
-    columns = []
-    for k, f in enumerate(found):
-        columns.append(_column(f, k, facts, kinds[f.name], options, quartiles, distinct, modes, tops, bottoms, masks, outlying, spread))
+    columns = [_column(f, k, facts, kinds[f.name], options, quartiles, distinct, modes, tops, bottoms, masks, outlying, calendar) for k, f in enumerate(found)]
     quality = _quality(df, found, facts, kinds, options, columns, quartiles, distinct, masks, scales, duplicates, outlying) if "quality" in options.packs and options.dimensions else None
     bindings = [r.asDict() for r in rules.hint_bindings(df, options.hints).collect()] if options.hints else []
     for b in bindings:
@@ -179,28 +205,18 @@ def _first_pass(found: list[Field], o: Options) -> dict:
         null = A.null_cell(f)
         out[f"{k}_null"] = A.count_if(null)
         complete = ~null if complete is None else complete & ~null
-        if f.kind is None:
-            out |= {f"{k}_{n}": c for n, c in A.lexical_counts(f.text).items()}
-            out[f"{k}_parsed_dates"] = F.count(P.raw_moment(f.text))
-        numeric = f.kind in (None, "Integer", "Float")
-        if numeric and (o.statistics or o.assesses("accuracy")):
-            out |= {f"{k}_{n}": c for n, c in A.moments(f.number).items()}
-        elif numeric:
-            out[f"{k}_n"] = F.count(f.number)
-        if o.statistics and f.kind in (None, "String"):
+        if f.kind in ("Integer", "Float"):
+            out |= {f"{k}_{n}": c for n, c in A.moments(f.number).items()} if o.statistics or o.assesses("accuracy") else {f"{k}_n": F.count(f.number)}
+        if f.kind in (None, "String"):
             size = F.when(~null, F.octet_length(f.text))
             out |= {f"{k}_min_length": F.min(size), f"{k}_max_length": F.max(size), f"{k}_avg_length": F.avg(size)}
-        if f.kind in (None, "Boolean"):
-            t = F.lower(P.trimmed(f.text))
-            out |= {f"{k}_true": A.count_if(t == "true"), f"{k}_false": A.count_if(t == "false")}
-        if f.kind in (None, "Date") and o.statistics:
+        if f.kind == "Date" and o.statistics:
             d = F.to_date(f.moment)
             out |= {f"{k}_first": F.min(d), f"{k}_last": F.max(d)}
-        if o.assesses("consistency"):
+        if o.assesses("consistency") and f.kind in (None, "String"):  # no other type writes commas
             dots, commas = [F.length(f.text) - F.length(F.replace(f.text, F.lit(x), F.lit(""))) for x in ".,"]
             out |= {f"{k}_both": A.count_if(~null & (dots > 0) & (commas > 0)), f"{k}_dots": A.count_if(~null & (dots == 1) & (commas == 0)), f"{k}_commas": A.count_if(~null & (dots == 0) & (commas == 1))}
-            if f.kind in (None, "String"):
-                out[f"{k}_encoding"] = A.count_if(~null & P.has_encoding_artifact(f.text))
+            out[f"{k}_encoding"] = A.count_if(~null & P.has_encoding_artifact(f.text))
     out["complete"] = A.count_if(complete) if complete is not None else F.count(F.lit(1))
     return out
 
@@ -227,7 +243,7 @@ def _homogeneity(facts: dict, k: int) -> dict | None:
     return counts | {"dominant": dominant, "dominant_share": counts[dominant] / total if total else None}
 
 
-def _column(f, k, facts, kind, o, quartiles, distinct, modes, tops, bottoms, masks, outlying, spread) -> ColumnProfile:
+def _column(f, k, facts, kind, o, quartiles, distinct, modes, tops, bottoms, masks, outlying, calendar) -> ColumnProfile:
     total, nulls = facts["rows"], facts[f"{k}_null"]
     stats: dict = {}
     invalid = None
@@ -242,7 +258,7 @@ def _column(f, k, facts, kind, o, quartiles, distinct, modes, tops, bottoms, mas
         if f.kind is None:
             invalid = total - nulls - facts[f"{k}_parsed_dates"]
         if o.statistics and facts.get(f"{k}_first"):
-            first, last, by = facts[f"{k}_first"], facts[f"{k}_last"], spread.get(f.name, {})
+            first, last, by = facts[f"{k}_first"], facts[f"{k}_last"], calendar.get(f.name, {})
             stats = {"min_datetime": first.isoformat(), "max_datetime": last.isoformat(), "duration_days": float((last - first).days)}
             stats |= {f"{name}_distribution": by.get(part, {}) for name, part in (("year", "year"), ("month", "month"), ("day_of_week", "weekday"))} | {"hour_distribution": by.get("hour")}
     elif kind == "Boolean" and o.statistics:
@@ -275,7 +291,7 @@ def _quality(df, found, facts, kinds, o, columns, quartiles, distinct, masks, sc
         for k, f in enumerate(found):
             n = rows - nulls[f.name]
             values += n
-            violations += facts[f"{k}_both"] + min(facts[f"{k}_dots"], facts[f"{k}_commas"])
+            violations += facts.get(f"{k}_both", 0) + min(facts.get(f"{k}_dots", 0), facts.get(f"{k}_commas", 0))
             encoding += facts.get(f"{k}_encoding", 0)
             conforming += n if f.kind is not None else _conforming(facts, k, kinds[f.name], f.name)
             if f.kind is None and rules.likely_date_name(f.name) and o.order:
