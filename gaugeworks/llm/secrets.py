@@ -65,7 +65,11 @@ def looks_live(value: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, owner, repository, text_hash, and ``found``, its candidates in order of start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    arrays = [F.transform(spans_of(t, *k), lambda x, rank=rank: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))) for rank, k in enumerate((*KINDS, ("live", MIXED, 1, 20)))]
+
+    def ranked(rank: int, spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
+
+    arrays = [ranked(k, spans_of(t, *kind)) for k, kind in enumerate((*KINDS, ("live", MIXED, 1, 20)))]
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(owner).cast("string").alias("owner"),
