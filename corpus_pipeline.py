@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, decontam, langid, line_dedup, simhash
 from gaugeworks.llm._io import written
+from gaugeworks.llm._rows import fresh
 from gaugeworks.llm.queries import table, vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that can be told go: those without a letter, and those of even odds. Nulls go."""
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    return langid.identified(docs, model).where(~langid.rejected()).select(*docs.columns)
+    return langid.accepted(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays; of rows that repeat it, one."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = fresh(docs.columns, "_kept")
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id"])
+
+
+#: Words of a benchmark item in a row from which a document goes; shorter matches are cut out of it.
+LEAKED_WORDS = 13
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go, or lose them where they are a small part."""
-    return decontam.cleaned(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold ``LEAKED_WORDS`` words of a benchmark item in a row go, and those of several items; shorter matches are cut out."""
+    return decontam.cleaned(docs, table(spark, sf_dir, "benchmark"), longest=LEAKED_WORDS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,11 @@ def batches_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_column(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(name).to_pylist()
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one if a table has it already; case doesn't tell names apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

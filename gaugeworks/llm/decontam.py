@@ -240,38 +240,48 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = "n_chars", window: int = 8, longest: int = 50, coverage: float = 0.1, **names) -> DataFrame:
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without some stretches of its words; what separates the words inside goes with them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places, out, at = [m.span() for m in _WORDS.finditer(raw)], [], 0
+    for first, end in spans:
+        out.append(raw[at : places[first][0]])
+        at = places[end - 1][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = "n_chars", window: int = 8, longest: int = 50, coverage: float = 0.1, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without benchmark passages.
 
-    A document whose matched spans reach ``longest`` words in one or cover ``coverage`` of its words, or that holds windows
-    of several items, goes; of the others the matched words are cut out, with what separates them. Documents without a
-    match stay as they are, nulls included.
+    A document goes if it holds windows of two items or more, if a matched span reaches ``longest`` words, or if spans cover
+    the share ``coverage`` of its words; of the others the matched words are cut out, and ``chars`` is counted anew.
+    Documents without a match stay as they are, nulls included.
     """
+    parts = [docs.sparkSession.sparkContext.broadcast(p) for p in _parts(benchmark, item_col, item_text, window)]
     columns = docs.columns
-    found = matches(docs, benchmark, text=text, window=window, **names)
-    hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
-    most = F.aggregate("spans", F.lit(0), lambda n, s: F.greatest(n, s["end"] - s["first"]))
-    goes = (F.col("n_items") >= 2) | (most >= longest) | ((hit > 0) & (hit >= coverage * F.col("n_words")))
-    rest = found.where(~goes).select(*columns, "spans")
-    pattern = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    counted = chars in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [_automaton(p.value) for p in parts]
         for batch in batches_with(batches):
-            texts = text_column(batch, text)
-            counts = batch.column(chars).to_pylist() if chars in columns else [None] * len(texts)
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw = texts[k].encode("utf-8", "surrogatepass")
-                    places = [m.span() for m in pattern.finditer(raw)]
-                    out, at = [], 0
-                    for s in spans:
-                        out.append(raw[at : places[s["first"]][0]])
-                        at = places[s["end"] - 1][1]
-                    texts[k] = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-                    counts[k] = len(texts[k])
+            texts, stays, new_counts = text_column(batch, text), [], batch.column(chars).to_pylist() if counted else []
+            for k, x in enumerate(texts):
+                words = words_of(x)
+                found = [a.match(words) for a in automata]
+                spans = _union([s for f, _ in found for s in f])
+                sizes = [b - a for a, b in spans]
+                items = set().union(*[i for _, i in found])
+                stays.append(not spans or (len(items) < 2 and max(sizes) < longest and sum(sizes) < coverage * len(words)))
+                if spans and stays[-1]:
+                    texts[k] = without_spans(x, spans)
+                    if counted:
+                        new_counts[k] = len(texts[k])
             new = {text: pa.array(texts, batch.schema.field(text).type)}
-            if chars in columns:
-                new[chars] = pa.array(counts, batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns)
+            if counted:
+                new[chars] = pa.array(new_counts, batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns).filter(pa.array(stays))
 
-    return rest.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

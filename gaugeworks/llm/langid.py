@@ -142,6 +142,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def rejected(min_score: float = 0.5) -> Column:
-    """Whether a document has no language that can be told."""
-    return (F.col("lang_pred") == UND) | (F.col("score") < min_score)
+def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows whose language can be told: not ``und``, and of ``min_score`` or more."""
+    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_with(batches):
+            predicted, score = shared.value.scores(text_column(batch, text))
+            yield batch.select(columns).filter(pa.array([p != UND and s >= min_score for p, s in zip(predicted, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugeworks.llm._io import written
-from gaugeworks.llm._rows import batches_with, text_column
+from gaugeworks.llm._rows import batches_with, fresh, text_column
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -127,12 +127,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     return decided.where("state = 0").select("id", "row", "line").unionByName(late.select("id", "row", "line"))
 
 
-def _marked(docs: DataFrame, id_col: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
-    """``docs`` with ``_dropped``, the numbers of the lines that go, or null."""
-    by_row = dropped_lines(docs, id_col, text, min_docs, min_chars).groupBy("id", "row").agg(F.collect_set("line").alias("_dropped")).withColumnsRenamed({"id": "_id", "row": "_row"})
-
-    hashed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return hashed.join(by_row, hashed[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left").drop("_id", "_row", "_own")
+def _marked(docs: DataFrame, id_col: str, text: str, min_docs: int, min_chars: int) -> tuple[DataFrame, str]:
+    """``docs`` with the numbers of the lines that go, or null, and that column's name."""
+    dropped, row, by_id, by_row = (fresh(docs.columns, n) for n in ("_dropped", "_own_row", "_line_id", "_line_row"))
+    lines = dropped_lines(docs, id_col, text, min_docs, min_chars).groupBy(F.col("id").alias(by_id), F.col("row").alias(by_row)).agg(F.collect_set("line").alias(dropped))
+    hashed = docs.withColumn(row, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return hashed.join(lines, F.col(id_col).eqNullSafe(F.col(by_id)) & (F.col(row) == F.col(by_row)), "left").drop(by_id, by_row, row), dropped
 
 
 def _kept(text: str | None, dropped: list[int] | None) -> tuple[np.ndarray, str]:
@@ -146,11 +146,11 @@ def _kept(text: str | None, dropped: list[int] | None) -> tuple[np.ndarray, str]
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """For each row: id, n_lines, n_dropped, keep (bitmap) and kept_sha256, the digest of the kept lines."""
-    marked = _marked(docs.select(id_col, text), id_col, text, min_docs, min_chars)
+    marked, dropped = _marked(docs.select(id_col, text), id_col, text, min_docs, min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_with(batches):
-            made = [_kept(x, d) for x, d in zip(text_column(batch, text), batch.column("_dropped").to_pylist(), strict=True)]
+            made = [_kept(x, d) for x, d in zip(text_column(batch, text), batch.column(dropped).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(id_col),
@@ -168,16 +168,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str | None = "n_chars", min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """``docs`` with the dropped lines gone from ``text`` and ``chars``, if there is such a column, counted anew. Null texts stay null."""
-    marked = _marked(docs, id_col, text, min_docs, min_chars)
+    marked, dropped = _marked(docs, id_col, text, min_docs, min_chars)
 
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_with(batches):
-            texts = [x if d is None else _kept(x, d)[1] for x, d in zip(text_column(batch, text), batch.column("_dropped").to_pylist(), strict=True)]
+            texts = [x if d is None else _kept(x, d)[1] for x, d in zip(text_column(batch, text), batch.column(dropped).to_pylist(), strict=True)]
             new = {text: pa.array(texts, batch.schema.field(text).type)}
             if chars in columns:
-                counts = [c if d is None else len(x) for x, c, d in zip(texts, batch.column(chars).to_pylist(), batch.column("_dropped").to_pylist(), strict=True)]
+                counts = [c if d is None else len(x) for x, c, d in zip(texts, batch.column(chars).to_pylist(), batch.column(dropped).to_pylist(), strict=True)]
                 new[chars] = pa.array(counts, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns)
 
