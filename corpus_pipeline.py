@@ -27,9 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; of rows that repeat it, one."""
+    """Of each class of texts whose five-word shingles are alike by 0.8 the document with the smallest id stays; of rows that repeat it, one."""
     kept = fresh(docs.columns, "_kept")
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    found = simhash.similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id"])
 
 

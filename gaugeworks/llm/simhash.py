@@ -1,18 +1,23 @@
-"""Near-duplicate documents by 64-bit SimHash, linked through a pigeonring filter.
+"""Near-duplicate documents by SimHash, linked through a pigeonring filter.
 
-A fingerprint is cut into ``M`` segments on a ring. If two fingerprints differ in at most ``limit`` bits, some segment
-starts a chain whose first k segments differ in at most k * limit / M bits together, for every k up to M (pigeonring). With
-five segments and a limit of four the first segment has to agree and the first two differ in one bit at most: those two
-segments are the candidates' key. The longer chains prune candidates before the full Hamming check.
+A fingerprint is cut into segments on a ring. If two fingerprints differ in at most ``limit`` bits, some segment starts a
+chain whose first k segments differ in at most k * limit / m bits together, for every k up to the number m of segments
+(pigeonring). With 64 bits, five segments and a limit of four the first segment has to agree and the first two differ in one
+bit at most: those two segments are the candidates' key, and the links are exact (:func:`near_duplicates`).
+
+Texts of five-word shingles that are alike by 0.8 differ in 15 % of their bits, where no segment need agree
+(:func:`similar_documents`): there the candidates' keys are minima of the shingles' hashes, fingerprints have 256 bits, and
+the ring prunes the candidates before the full check.
 
 Texts are compared by distinct fingerprint, so copies add no pairs. Large buckets are split into blocks, and each block
-reports the links that join its members, a spanning forest rather than all pairs: the components are exact.
+reports the links that join its members, a spanning forest rather than all pairs.
 
 Null texts count as empty; a text without words has fingerprint zero, which links like any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,30 +35,43 @@ WIDTHS, LIMIT = (13, 13, 13, 13, 12), 4
 M = len(WIDTHS)
 SHIFTS = tuple(64 - sum(WIDTHS[: k + 1]) for k in range(M))
 MASKS = tuple(((1 << w) - 1) << s for w, s in zip(WIDTHS, SHIFTS, strict=True))
+#: Words of 64 bits of a wide fingerprint; bands of minima, and minima in a band.
+WIDE, BANDS, ROWS = 4, 10, 3
+_FACTORS = tuple((0xD6E8FEB86659FD93 * (2 * k + 1) ^ k << 40) & (1 << 64) - 1 | 1 for k in range(BANDS * ROWS))
 #: Members of a bucket that one task compares with the rest at once.
 BLOCK = 4096
 #: Large buckets that are broadcast, by key and number of blocks; more are joined by a shuffle.
 FEW = 100_000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """A bit is set if over half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle, repeats included; of the whole text if it has fewer words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     whole, at, ends = b" ".join(parts), [0], []
     for p in parts:
         ends.append(at[-1] + len(p))
         at.append(ends[-1] + 1)
     size = min(words, len(parts))
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(whole[a:b], 42) for a, b in zip(at, ends[size - 1 :], strict=False)])
-    n = len(hashes) // 8
+    return np.frombuffer(b"".join([digest(whole[a:b], 42) for a, b in zip(at, ends[size - 1 :], strict=False)]), ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    signs = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    for k in range(0, n, 65_536):
-        ones += np.unpackbits(signs[k : k + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for k in range(0, len(hashes), 255 * 256):
+        some = hashes[k : k + 255 * 256]
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        whole = len(bits) // 255 * 255  # 255 ones fit into a byte
+        ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """A bit is set if over half of the shingles' hashes have it."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -85,26 +103,49 @@ def _keys(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def entries(fps: DataFrame) -> DataFrame:
-    """For each distinct fingerprint its bucket entries: key, side, fp."""
+    """For each distinct fingerprint its bucket entries: key, side, id and w0, both the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 fp = batch.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
                 for key, place, side in _keys(fp):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side), pa.array(fp[place].view(np.int64))], names=["key", "side", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side), pa.array(fp[place].view(np.int64))], names=["key", "side", "id"])
+
+    return fps.select("fp").mapInArrow(run, "key long, side byte, id long").withColumn("w0", F.col("id"))
 
-    return fps.select("fp").mapInArrow(run, "key long, side byte, fp long")
 
+class Ring:
+    """Whether fingerprints of 64 bits differ in ``LIMIT`` bits at most, the key's chain first."""
 
-def _near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-    """Whether pairs pass the chains of three and four segments from ``start`` and the full check."""
-    x = a ^ b
-    ok = np.ones(x.shape, bool)
-    for length in (3, 4):
-        masks = np.array([np.bitwise_or.reduce([np.uint64(MASKS[(k + j) % M]) for j in range(length)]) for k in range(M)], np.uint64)
-        ok &= np.bitwise_count(x & masks[start]) <= length * LIMIT // M
-    return ok & (np.bitwise_count(x) <= LIMIT)
+    words = 1
+
+    def near(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        """For pairs whose chain of two segments from ``start`` fits: chains of three and four, then all bits."""
+        x = (a ^ b)[..., 0]
+        ok = np.ones(x.shape, bool)
+        for length in (3, 4):
+            masks = np.array([np.bitwise_or.reduce([np.uint64(MASKS[(k + j) % M]) for j in range(length)]) for k in range(M)], np.uint64)
+            ok &= np.bitwise_count(x & masks[start]) <= length * LIMIT // M
+        return ok & (np.bitwise_count(x) <= LIMIT)
+
+
+class WideRing:
+    """Whether fingerprints of 256 bits differ in ``limit`` bits at most: sixteen segments, chains of up to four first."""
+
+    words = WIDE
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def near(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        m = 4 * WIDE
+        parts = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint16)).astype(np.int16)
+        chain, alive = np.zeros(parts.shape, np.int16), np.ones(parts.shape, bool)
+        for length in range(1, 5):
+            chain += np.roll(parts, 1 - length, axis=-1)
+            alive &= chain * m <= length * self.limit
+        return alive.any(axis=-1) & (parts.sum(axis=-1) <= self.limit)
 
 
 class _Forest:
@@ -129,74 +170,78 @@ class _Forest:
         return a != b
 
 
-def _bucket_links(index: np.ndarray, probes: Iterator[np.ndarray], start: int) -> Iterator[tuple[list[int], list[int]]]:
+def _bucket_links(ring, ids: np.ndarray, index: np.ndarray, probes: Iterator[tuple[np.ndarray, np.ndarray]], start: int) -> Iterator[tuple[list[int], list[int]]]:
     """The links that join a block's members, and the probes, into trees."""
-    forest = _Forest()
-
-    def within() -> tuple[list[int], list[int]]:
-        # breadth first: what one member reaches isn't compared again with each other
-        left, right, rest = [], [], index.copy()
-        while len(rest):
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                x = todo.pop()
-                near = _near(rest, x, start)
-                if near.any():
-                    for y in rest[near].tolist():
-                        if forest.join(int(x), y):
-                            left.append(int(x))
-                            right.append(y)
-                    todo.extend(rest[near])
-                    rest = rest[~near]
-        return left, right
-
-    yield within()
-    for some in probes:
+    forest, left, right = _Forest(), [], []
+    # breadth first: what one member reaches isn't compared again with each other
+    rest = np.arange(len(ids))
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            near = ring.near(index[rest], index[x], start)
+            if near.any():
+                for y in rest[near].tolist():
+                    if forest.join(int(ids[x]), int(ids[y])):
+                        left.append(int(ids[x]))
+                        right.append(int(ids[y]))
+                    todo.append(y)
+                rest = rest[~near]
+    yield left, right
+    step = max(1, (1 << 20) // max(1, len(ids) * ring.words * ring.words))
+    for names, some in probes:
         left, right = [], []
-        for at in range(0, len(some), 512):
-            part = some[at : at + 512]
-            for i, j in zip(*np.nonzero(_near(part[:, None], index[None, :], start)), strict=True):
-                a, b = int(part[i]), int(index[j])
+        for at in range(0, len(some), step):
+            for i, j in zip(*np.nonzero(ring.near(some[at : at + step, None], index[None], start)), strict=True):
+                a, b = int(names[at + i]), int(ids[j])
                 if a != b and forest.join(a, b):
                     left.append(a)
                     right.append(b)
         yield left, right
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints in ``fps`` that differ in ``LIMIT`` bits at most."""
-    made = entries(fps)
-    own = made.where("side = 0")
-    # buckets of over BLOCK members by their own segments: the members are dealt to blocks, everyone probes each block
+def links(made: DataFrame, ring) -> DataFrame:
+    """Links (a, b) between near ones of ``made``: key, side, id and the fingerprint's words ``w0``, ``w1``, ...
+
+    Two are compared if they share a key and one of them at least is of side 0. The links' components are those of all near
+    pairs. Buckets of over ``BLOCK`` members of side 0 are dealt to blocks, which everyone probes.
+    """
+    own, words = made.where("side = 0"), [f"w{k}" for k in range(ring.words)]
     hot = written(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
     few = hot.count() <= FEW
-    dealt = made.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "key"), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = made.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", "key"), F.col("blocks")), F.lit(0)).cast("int"))
     placed = dealt.select(
         "key",
         F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("unit"),
-        "side", "block", "fp",
-    ).where("side = 1 or block >= unit")
+        "side", "block", "id", *words,
+    ).where("side = 1 or block >= unit")
     # in each unit: members (0) before probes (1)
-    rows = placed.select("key", "unit", F.when((F.col("side") == 0) & (F.col("block") == F.col("unit")), 0).otherwise(1).cast("byte").alias("role"), "fp")
+    rows = placed.select("key", "unit", F.when((F.col("side") == 0) & (F.col("block") == F.col("unit")), 0).otherwise(1).cast("byte").alias("role"), "id", *words)
     sorted_rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _unit_links(batches):
+        for left, right in _unit_links(batches, ring):
             if len(left):
-                a, b = np.asarray(left, np.uint64).view(np.int64), np.asarray(right, np.uint64).view(np.int64)
+                a, b = np.asarray(left, np.int64), np.asarray(right, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _arrays(batch: pa.RecordBatch, ring) -> tuple[np.ndarray, ...]:
+    """key, unit, role, id, and the fingerprints as rows of words."""
+    got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4 + ring.words)]
+    return (*got[:4], np.ascontiguousarray(np.stack(got[4:], axis=1)).view(np.uint64))
+
+
+def _unit_links(batches: Iterator[pa.RecordBatch], ring) -> Iterator[tuple]:
     """Walks rows sorted by unit; small units are compared side by side, larger ones one by one."""
     held: list[tuple[np.ndarray, ...]] = []
     batches = iter(batches)
 
     def whole(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
         """Complete units, all of them in memory."""
-        key, unit, role, fp = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        key, unit, role, ids, fp = (np.concatenate([p[k] for p in parts]) for k in range(5))
         if not len(key):
             return
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])])
@@ -208,21 +253,18 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         step = 1
         while len(row):
             row = row[row + step < last[row]]
-            a, b = fp[row], fp[row + step]
-            near = _near(a, b, (key[row] >> 32).astype(np.int64)) & (a != b)
-            yield a[near], b[near]
+            near = ring.near(fp[row], fp[row + step], (key[row] >> 32).astype(np.int64)) & (ids[row] != ids[row + step])
+            yield ids[row[near]], ids[row[near] + step]
             step += 1
         for f, n in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-            members = role[f : f + n] == 0
-            part = fp[f : f + n]
+            members, part, names = role[f : f + n] == 0, fp[f : f + n], ids[f : f + n]
             if members.any():
-                yield from _bucket_links(part[members], iter([part[~members]]), int(key[f]) >> 32)
+                yield from _bucket_links(ring, names[members], part[members], iter([(names[~members], part[~members])]), int(key[f]) >> 32)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        got[3] = got[3].view(np.uint64)
+        got = _arrays(batch, ring)
         # the last unit may go on; all rows before it are complete
         other = np.flatnonzero((got[0] != got[0][-1]) | (got[1] != got[1][-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
@@ -233,7 +275,7 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         if sum(len(h[0]) for h in held) > 8 * BLOCK:
             # one large unit: its members first, then probes as they come
             rest: list = []
-            yield from _one_unit(held, batches, rest)
+            yield from _one_unit(held, batches, rest, ring)
             held = []
             for part in rest:
                 other = np.flatnonzero((part[0] != part[0][-1]) | (part[1] != part[1][-1]))
@@ -244,16 +286,16 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from whole(held)
 
 
-def _one_unit(held: list, batches: Iterator[pa.RecordBatch], rest: list) -> Iterator[tuple]:
+def _one_unit(held: list, batches: Iterator[pa.RecordBatch], rest: list, ring) -> Iterator[tuple]:
     """Ends a unit whose rows fill several batches, keeping its members but not its probes; what follows goes to ``rest``."""
     key, unit = held[0][0][0], held[0][1][0]
-    members, waiting, role = [], [], 0
 
     def parts() -> Iterator[tuple]:
         yield from held
         for batch in batches:
-            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            got[3] = got[3].view(np.uint64)
+            if not batch.num_rows:
+                continue
+            got = _arrays(batch, ring)
             same = (got[0] == key) & (got[1] == unit)
             n = len(same) if same.all() else int(np.flatnonzero(~same)[0])
             if n:
@@ -262,25 +304,25 @@ def _one_unit(held: list, batches: Iterator[pa.RecordBatch], rest: list) -> Iter
                 rest.append(tuple(x[n:] for x in got))
                 return
 
-    walk = parts()
+    walk, members, waiting = parts(), [], []
     for part in walk:
-        role = part[2]
-        members.append(part[3][role == 0])
-        if (role == 1).any():
-            waiting.append(part[3][role == 1])
+        of = part[2] == 0
+        members.append((part[3][of], part[4][of]))
+        if not of.all():
+            waiting.append((part[3][~of], part[4][~of]))
             break
-    index = np.concatenate(members)
-    if not len(index):
+    ids, index = (np.concatenate([m[k] for m in members]) for k in range(2))
+    if not len(ids):
         for _ in walk:
             pass
         return
 
-    def probes() -> Iterator[np.ndarray]:
+    def probes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from waiting
         for part in walk:
-            yield part[3]
+            yield part[3], part[4]
 
-    yield from _bucket_links(index, probes(), int(key) >> 32)
+    yield from _bucket_links(ring, ids, index, probes(), int(key) >> 32)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,14 +349,81 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` of each row: the least id that links reach from it, its own included."""
+    """``id_col``, ``fp`` and ``component_id`` of each row: the least id that links of ``LIMIT`` bits or fewer reach from it, its own included."""
     prints = written(fingerprints(docs, id_col, text, words), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = _classes(distinct, "fp", links(entries(distinct), Ring()))
+    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+def _classes(distinct: DataFrame, node: str, found: DataFrame) -> DataFrame:
+    """``node`` and ``component_id``, the smallest ``least`` of its component."""
+    roots = components(found).withColumnRenamed("node", "_node")
+    rooted = distinct.join(roots, distinct[node] == roots["_node"], "left").select(node, "least", F.coalesce("root", node).alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    return rooted.join(smallest, "root").select(node, "component_id")
+
+
+# similarity of shingles
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of a wide fingerprint that texts of a Jaccard similarity differ in, and a standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WIDE
+    return int(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes turned into others, as good as independent for each k."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_print(hashes: np.ndarray) -> list[int]:
+    return [majority(_mixed(hashes, k)) for k in range(WIDE)]
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Of each band the hash of its minima; texts that share a share s of their shingles share a band with the chance s ** ROWS."""
+    if not len(hashes):
+        return [0]
+    with np.errstate(over="ignore"):
+        least = [int((hashes * np.uint64(f)).min()) for f in _FACTORS]
+    return [xxhash.xxh64_intdigest(repr((k, least[k * ROWS : (k + 1) * ROWS])).encode()) >> 1 for k in range(BANDS)]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col`` and ``component_id`` of each row: the least id that links between texts alike by ``similarity`` reach.
+
+    Likeness is that of the sets of shingles of ``words`` words, as the bits of wide fingerprints tell it.
+    """
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_with(batches):
+            prints, ids, keys = [], [], []
+            for x in text_column(batch, text):
+                with np.errstate(over="ignore"):
+                    hashes = np.unique(shingle_hashes(x, words))
+                    prints.append(wide_print(hashes))
+                ids.append(xxhash.xxh64_intdigest(np.array(prints[-1], np.uint64).tobytes()))
+                keys.append(band_keys(hashes))
+            wide = np.array(prints, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_col), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), *[pa.array(wide[:, k]) for k in range(WIDE)]],
+                names=[id_col, "node", "bands", *names],
+            )
+
+    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(n, T.LongType()) for n in names]])
+    prints = written(docs.select(id_col, text).mapInArrow(run, schema), "wide-fingerprints")
+    # texts of one fingerprint are one node; the bands of each of them are its keys
+    distinct = written(prints.groupBy("node").agg(F.min(id_col).alias("least")), "distinct")
+    made = written(prints.select(F.explode("bands").alias("key"), F.col("node").alias("id"), *names).distinct().withColumn("side", F.lit(0).cast("byte")).select("key", "side", "id", *names), "bands")
+    classes = _classes(distinct, "node", links(made, WideRing(bits_apart(similarity))))
+    return prints.select(id_col, "node").join(classes, "node").select(id_col, "component_id")
 
 
 def hex_print(fp):

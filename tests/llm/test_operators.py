@@ -106,7 +106,7 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, block):
                 x ^= 1 << int(b)
             values.add(x)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()
+    got = simhash.components(simhash.links(simhash.entries(spark.createDataFrame([(v,) for v in signed], "fp long")), simhash.Ring())).collect()
     want = plain_components({v: [v] for v in values})
     groups = defaultdict(set)
     for row in got:
@@ -123,10 +123,11 @@ def test_units_of_several_batches_keep_their_links():
 
     near = [(1 << 40) ^ (1 << k) for k in range(40)]
     rows = [(1, 0, 0, 5), (1, 0, 0, 7), *[(2, 0, 0, v) for v in near], *[(2, 0, 1, v ^ 3) for v in near], (3, 0, 0, 9), (3, 0, 1, 8)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 11]], pa.int64()) for k in range(4)], names=["key", "unit", "role", "fp"]) for a in range(0, len(rows), 11)]
+    rows = [(*r, r[3]) for r in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 11]], pa.int64()) for k in range(5)], names=["key", "unit", "role", "id", "w0"]) for a in range(0, len(rows), 11)]
     old, simhash.BLOCK = simhash.BLOCK, 4
     try:
-        got = {frozenset(map(int, p)) for left, right in simhash._unit_links(iter(batches)) for p in zip(left, right, strict=True)}
+        got = {frozenset(map(int, p)) for left, right in simhash._unit_links(iter(batches), simhash.Ring()) for p in zip(left, right, strict=True)}
     finally:
         simhash.BLOCK = old
     up = {}
@@ -141,6 +142,35 @@ def test_units_of_several_batches_keep_their_links():
     assert len({root(v) for v in [*near, *[v ^ 3 for v in near]]}) == 1 and root(5) == root(7) and root(8) == root(9)
 
 
+def test_similar_documents_are_those_of_like_shingles(spark):
+    """Copies with a few words changed go together; texts that share a passage alone don't."""
+    import random
+
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(n)]
+    rows, groups, passage = [], {}, words(60)
+    for g in range(25):
+        base = words(300)
+        for k in range(4):
+            text = list(base)
+            for at in r.sample(range(300), 3 if k else 0):
+                text[at] = f"changed{g}{k}{at}"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(text), None, None, 0))
+    for _ in range(40):
+        groups[len(rows)] = None
+        rows.append((len(rows), " ".join([*words(150), *passage, *words(150)]), None, None, 0))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(frame(spark, rows)).collect()}
+    together = {i: min(j for j in groups if groups[j] == g) if g is not None else i for i, g in groups.items()}
+    assert sum(got[i] == together[i] for i in got) >= 0.97 * len(rows)
+    assert all(got[i] == i for i, g in groups.items() if g is None)
+    odd = simhash.similar_documents(frame(spark)).collect()
+    texts = {}
+    for i, t, *_ in corpus():
+        texts.setdefault(t or "", set()).add(i)
+    assert len(odd) == len(corpus()) and all(len({x["component_id"] for x in odd if x["doc_id"] in ids and x["doc_id"] is not None}) <= 1 for ids in texts.values())
+
+
 # 3
 
 
