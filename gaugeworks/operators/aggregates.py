@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.errors import SchemaError
 from gaugeworks.functions import predicates as P
 from gaugeworks.operators.fields import Field, fields, long_rows
 
@@ -18,7 +19,7 @@ def chosen(df: DataFrame, columns: list[str] | None) -> list[Field]:
         return found
     unknown = set(columns) - set(df.columns)
     if unknown:
-        raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
+        raise SchemaError(f"unknown columns: {', '.join(sorted(unknown))}")
     return [f for f in found if f.name in columns]
 
 

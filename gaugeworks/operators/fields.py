@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.errors import SchemaError
+
 from gaugeworks.functions.predicates import moment, number
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -69,7 +71,7 @@ def field_of(f: T.StructField) -> Field:
 def fields(df: DataFrame) -> list[Field]:
     """All columns; two of one name are an error."""
     if twice := duplicate_names(df.columns):
-        raise ValueError(f"duplicate column names: {', '.join(twice)}")
+        raise SchemaError(f"duplicate column names: {', '.join(twice)}")
     return [field_of(f) for f in df.schema.fields]
 
 

@@ -138,12 +138,12 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(RAGGED, T.StringType())])
     reader = spark.read.schema(schema).options(header=o.header, sep=sep, quote=o.quote, escape=o.quote, multiLine=o.multiline, encoding=o.encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED, ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, enforceSchema=True, nullValue="\x00", emptyValue="")
     rows = reader.csv(path)
-    # the mark and all columns are asked for together: by itself the reader doesn't parse rows for it
-    marked = rows.select(*[F.col(f"`{n}`") for n in names], F.col(RAGGED).isNotNull().alias("_bad"))
-    info.ragged_rows = marked.agg(F.count(F.when(F.col("_bad") & F.struct(*[f"`{n}`" for n in names]).isNotNull(), 1))).first()[0]
+    # the reader marks a row only if it parses it: all columns are asked for with the mark
+    whole = F.length(F.concat_ws("", *[f"`{n}`" for n in names])) >= 0
+    info.ragged_rows = rows.agg(F.count(F.when(F.col(RAGGED).isNotNull() & whole, 1))).first()[0]
     if info.ragged_rows and not o.flexible:
         raise MalformedRecords(f"{path}: {info.ragged_rows} rows have another number of fields than the header")
-    return marked.drop("_bad"), info
+    return rows.select(*[F.col(f"`{n}`") for n in names]), info
 
 
 def read_csv_with_recovery(spark: SparkSession, path: str, options: CsvOptions | None = None) -> tuple[DataFrame, SourceInfo, list[str]]:
@@ -186,7 +186,7 @@ def json_records(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.btrim(F.col(column), F.lit(" \t\r\n"))
     rows = lines.where(F.length(text) > 0)
     ok = F.json_object_keys(text).isNotNull() & ~text.rlike(r"\}\s*\{")
-    return rows.select(F.coalesce(ok, F.lit(False)).alias("ok"), F.from_json(text, "map<string,string>").alias("record"), F.json_object_keys(text).alias("keys"))
+    return rows.select(F.coalesce(ok, F.lit(False)).alias("ok"), F.from_json(text, "map<string,string>").alias("record"), F.json_object_keys(text).alias("keys"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, SourceInfo]:
@@ -204,8 +204,9 @@ def _from_records(records: DataFrame, counts, info: SourceInfo, strict: bool) ->
     if counts["bad"] and (strict or not counts["good"]):
         raise MalformedRecords(f"{info.identifier}: {counts['bad']} records aren't JSON objects")
     good = records.where("ok")
-    # keys by their usual place: those of a column set are few
-    places = good.select(F.posexplode("keys").alias("at", "key")).groupBy("key").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).orderBy("at", F.desc("n"), "key").collect()
+    # keys in the order in which they first appear, by line and place; those of a column set are few
+    seen = good.select("line", F.posexplode("keys").alias("at", "key")).groupBy("key").agg(F.min(F.struct("line", "at")).alias("first"))
+    places = seen.orderBy("first").collect()
     info.columns = [r["key"] for r in places]
     value = lambda k: F.element_at("record", F.lit(k))
     return good.select(*[F.coalesce(value(k), F.lit("")).alias(k) for k in info.columns]), info
