@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Rows and bytes that are turned into Python objects at once.
-ROWS, BYTES = 512, 8_000_000
+ROWS, BYTES = 512, 2_000_000
 
 
 def batches_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
