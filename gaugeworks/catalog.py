@@ -12,6 +12,7 @@ from gaugeworks.functions import predicates as P
 from gaugeworks.operators import aggregates as A
 from gaugeworks.operators import frequencies as Q
 from gaugeworks.operators import rules, sampling
+from gaugeworks.operators.fields import spread
 from gaugeworks.operators.quantiles import exact_quantiles
 from gaugeworks.plans import fastpaths
 from gaugeworks.plans.profile import Options, profile_frame
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Some columns, dealt to all cores if the table comes in fewer parts."""
+    return spread(df.select(*columns))
+
+
 def query(sql: str | None = None):
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -51,7 +57,7 @@ def union(parts: list[str]) -> str:
 @query(union([f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev, round(var_samp({c}), 2) AS variance, round(stddev_samp({c}) / abs(avg({c})) * 100, 4) AS coefficient_of_variation, quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM lineitem" for c in NUMBERS]))
 def numeric_profile(spark, d):
     """Counts, range, moments and exact quartiles of lineitem's numbers."""
-    df = table(spark, d, "lineitem")
+    df = shared(table(spark, d, "lineitem"), [*NUMBERS])
     found = A.chosen(df, [*NUMBERS])
     q = exact_quantiles(df, {f.name: f.number for f in found})
     quartiles = spark.createDataFrame([(n, *v) for n, v in q.items()], "column string, q1 double, median double, q3 double")
@@ -204,7 +210,7 @@ def infer_types(spark, d):
         k.cast("string").alias("keys"), F.col("o_totalprice").cast("string").alias("prices"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("days"), F.when(k % 2 == 0, "True").otherwise("false").alias("flags"),
         F.col("o_orderpriority").alias("names"), F.when(k % 10 == 0, "n/a").otherwise(k.cast("string")).alias("mostly_numbers"),
     )
-    return A.lexical_profile(texts).select("column", "data_type")
+    return Q.lexical_profile(texts).select("column", "data_type")
 
 
 @query(f"SELECT o_orderkey, CASE WHEN regexp_full_match(cell, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN cell::DOUBLE END AS number, regexp_full_match({TRIM}, '[0-9]+') AS is_integer FROM {MIXED}")
@@ -216,7 +222,7 @@ def parse_numbers(spark, d):
 @query(f"SELECT 'cell' AS \"column\", n_class_numeric, n_class_text, round(greatest(n_class_numeric, n_class_text, n_other) / total, 4) AS dominant_share FROM (SELECT count(*) FILTER (WHERE c = 'Numeric') AS n_class_numeric, count(*) FILTER (WHERE c = 'Text') AS n_class_text, greatest(count(*) FILTER (WHERE c = 'Date'), count(*) FILTER (WHERE c = 'Boolean')) AS n_other, count(c) AS total FROM (SELECT {CLASS} AS c FROM {MIXED}))")
 def type_homogeneity(spark, d):
     """How far a column's cells are of one class."""
-    out = A.lexical_profile(mixed_cells(spark, d).select("cell"))
+    out = Q.lexical_profile(mixed_cells(spark, d).select("cell"))
     return out.select("column", F.col("class_numeric").alias("n_class_numeric"), F.col("class_text").alias("n_class_text"), F.round("dominant_share", 4).alias("dominant_share"))
 
 

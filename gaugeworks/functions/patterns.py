@@ -109,16 +109,29 @@ def list_patterns(locale: str | None = None) -> list[dict]:
     ]
 
 
+#: The patterns that a number's text can match: of digits with one dot, and of digits alone. The others have other signs.
+DECIMAL_PATTERNS = ("Phone (US)",)
+DIGIT_PATTERNS = ("Phone (US)", "Phone (IT)", "P.IVA (IT)", "CAP (IT)", "ZIP Code (US)", "Credit Card", "SSN (US)", "German PLZ", "French Code Postal")
+
+
 def match_mask(t: Column) -> Column:
     """Bit k is set if the trimmed value matches pattern k; patterns with a validator have another bit for values that pass it."""
-    mask = F.lit(0).cast("long")
-    for k, p in enumerate(CATALOGUE):
-        bits = F.when(t.rlike(p.java), 1 << k)
-        if p.validator:
-            bits = F.when(t.rlike(p.java), F.when(p.validator(t), (1 << k) | (1 << _checked(k))).otherwise(1 << k))
-        mask = mask.bitwiseOR(F.coalesce(bits, F.lit(0)).cast("long"))
+
+    def bits(names: tuple[str, ...] | None = None) -> Column:
+        mask = F.lit(0).cast("long")
+        for k, p in enumerate(CATALOGUE):
+            if names is None or p.name in names:
+                hit = F.when(t.rlike(p.java), F.when(p.validator(t), (1 << k) | (1 << _checked(k))).otherwise(1 << k)) if p.validator else F.when(t.rlike(p.java), 1 << k)
+                mask = mask.bitwiseOR(F.coalesce(hit, F.lit(0)).cast("long"))
+        return mask
+
     # of long texts none but paths and addresses match
-    return F.when((F.length(t) <= 4096) | t.rlike(r"\A(?:/|https?://|ftps?://)"), mask).otherwise(F.lit(0).cast("long"))
+    return (
+        F.when(t.rlike(r"\A-?[0-9]+\.[0-9]+\z"), bits(DECIMAL_PATTERNS))
+        .when(t.rlike(r"\A-?[0-9]+\z"), bits(DIGIT_PATTERNS))
+        .when((F.length(t) <= 4096) | t.rlike(r"\A(?:/|https?://|ftps?://)"), bits())
+        .otherwise(F.lit(0).cast("long"))
+    )
 
 
 _WITH_VALIDATOR = [k for k, p in enumerate(CATALOGUE) if p.validator]

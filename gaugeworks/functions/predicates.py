@@ -39,6 +39,8 @@ DATE_FORMATS = {
 #: Signs of text that was decoded wrongly.
 ARTIFACTS = ("\u00c3\u00a1", "\u00c3\u00a9", "\u00c3\u00ad", "\u00c3\u00b3", "\u00c3\u00ba", "\u00c3\u00b1", "\u00c3\u00a7")
 
+#: How a text that is a date as it stands begins: year or day first, equal separators.
+RAW_DATE = r"\A(?:[0-9]{4}([-/.])..\1|[0-9]{2}([-/.])..\2[0-9]{4})(?s:.*)\z"
 _INTEGER = r"\A[+-]?[0-9]+\z"
 _FLOAT = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 _NAMED_FLOAT = r"\A[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\z"
@@ -106,7 +108,7 @@ def moment(c: Column) -> Column:
 
     clock = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
     plain = F.regexp_replace(F.regexp_replace(t, r"(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?\z", ""), "[Tt]", " ")
-    return F.coalesce(
+    found = F.coalesce(
         form(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ]{clock}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{{2}}:[0-9]{{2}})", "yyyy-M-d H:m:s", plain),
         form(rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(?:T{clock}(?:\.[0-9]+)?| {clock})", "yyyy-M-d H:m:s", plain),
         form(rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {clock}", "d/M/yyyy H:m:s"),
@@ -117,6 +119,8 @@ def moment(c: Column) -> Column:
         form(r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", "yyyy/M/d"),
         form(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
     )
+    # few texts begin like a date: the others aren't tried
+    return F.when(t.rlike(r"\A[0-9]{1,4}[-/.]"), found)
 
 
 def has_clock(c: Column) -> Column:
@@ -126,8 +130,7 @@ def has_clock(c: Column) -> Column:
 
 def raw_moment(c: Column) -> Column:
     """As :func:`moment`, but for text as it stands: nothing around it, ten signs at least, equal separators."""
-    shape = c.rlike(r"\A(?:[0-9]{4}([-/.])..\1|[0-9]{2}([-/.])..\2[0-9]{4})(?s:.*)\z")
-    return F.when((F.octet_length(c) >= 10) & (trimmed(c) == c) & shape, moment(c))
+    return F.when((F.octet_length(c) >= 10) & (trimmed(c) == c) & c.rlike(RAW_DATE), moment(c))
 
 
 def decimal_scale(c: Column) -> Column:

@@ -9,8 +9,8 @@ from gaugeworks.errors import SchemaError
 from gaugeworks.functions import predicates as P
 from gaugeworks.operators.fields import Field, fields, long_rows
 
-#: Expressions in one aggregate; wider tables take several, as the JVM limits the size of generated code.
-MOST_EXPRESSIONS = 400
+#: Expressions in one aggregate; more take several, each over its own columns, as the JVM doesn't compile large methods.
+MOST_EXPRESSIONS = 40
 
 
 def chosen(df: DataFrame, columns: list[str] | None) -> list[Field]:
@@ -24,7 +24,7 @@ def chosen(df: DataFrame, columns: list[str] | None) -> list[Field]:
 
 
 def one_row(df: DataFrame, wanted: dict[str, Column]) -> dict:
-    """The values of many aggregates, a few hundred at a time. An empty table gives a row as well."""
+    """The values of many aggregates, a few dozen at a time. An empty table gives a row as well."""
     out: dict = {}
     names = [*wanted]
     for at in range(0, max(1, len(names)), MOST_EXPRESSIONS):
@@ -57,7 +57,8 @@ def null_cell(f: Field) -> Column:
 
 def moments(x: Column) -> dict[str, Column]:
     """Count, range, mean and sample moments of a number. One value or none has variance 0; skewness needs three, kurtosis four."""
-    n, sd, mean = F.count(x), F.coalesce(F.stddev_samp(x), F.lit(0.0)), F.avg(x)
+    n, variance, mean = F.count(x), F.coalesce(F.var_samp(x), F.lit(0.0)), F.avg(x)
+    sd = F.sqrt(variance)
     flat = sd < 1e-10
     return {
         "n": n,
@@ -65,7 +66,7 @@ def moments(x: Column) -> dict[str, Column]:
         "max": F.max(x),
         "mean": mean,
         "std_dev": F.when(n > 0, sd),
-        "variance": F.when(n > 0, F.coalesce(F.var_samp(x), F.lit(0.0))),
+        "variance": F.when(n > 0, variance),
         "coefficient_of_variation": F.when(F.abs(mean) >= 0.001, sd / F.abs(mean) * 100),
         "skewness": F.when((n >= 3) & ~flat, F.skewness(x) * F.pow((n - 1) / n, 1.5)),
         "kurtosis": F.when((n >= 4) & ~flat, (F.kurtosis(x) + 3) * F.pow((n - 1) / n, 2) - 3),
@@ -161,16 +162,6 @@ def inferred(n: Column, integers: Column, floats: Column, booleans: Column, date
     )
 
 
-def lexical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Lexical classes and inferred type of columns, all taken as text."""
-    made = _per_column(df, chosen(df, columns), lambda f: lexical_counts(f.text))
-    kind = inferred(*[F.col(c) for c in ("non_null", "integers", "floats", "booleans", "dates")])
-    counts = [F.col(f"class_{k}") for k in ("numeric", "date", "boolean", "text")]
-    most = F.greatest(*counts)
-    dominant = F.when(most == 0, None).when(counts[0] == most, "Numeric").when(counts[1] == most, "Date").when(counts[2] == most, "Boolean").otherwise("Text")
-    return made.withColumn("data_type", kind).withColumn("dominant", dominant).withColumn("dominant_share", F.when(F.col("non_null") > 0, most / F.col("non_null")))
-
-
 def sketched_distinct(df: DataFrame, columns: list[str] | None = None, precision: int = 14) -> DataFrame:
     """Distinct values by HyperLogLog sketch; sketches of parts can be united (:func:`united`)."""
     return _per_column(df, chosen(df, columns), lambda f: {"distinct_count": F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~null_cell(f), f.text if f.key is None else f.key), F.lit(precision)))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import patterns as R
 from gaugeworks.functions import predicates as P
-from gaugeworks.operators.aggregates import chosen, null_cell
+from gaugeworks.operators.aggregates import chosen, inferred, null_cell
 from gaugeworks.operators.fields import plain_double
 
 #: Bytes from which a text is counted by its digest and beginning rather than whole.
@@ -39,20 +39,46 @@ def value_facts(counts: DataFrame) -> DataFrame:
 
     Values are judged once each, however often they occur. Texts that stand for themselves by digest are text.
     """
-    c, n = F.col("value"), F.col("n")
-    t = counts.withColumn("t", P.trimmed(c))
-    judged = t.select(
-        "column", "n", P.is_integer(F.col("t")).alias("integer"), P.is_float(F.col("t")).alias("float"), P.is_boolean(F.col("t")).alias("boolean"), F.lower("t").alias("low"),
-        P.is_inferred_date(F.col("t")).alias("date"), P.lexical_class(c).alias("class"), F.to_date(P.moment(F.col("t"))).alias("day"), (P.raw_moment(c).isNotNull()).alias("parses"),
+    return _summed(_judged(counts)).withColumnRenamed("rows", "distinct")
+
+
+def _judged(cells: DataFrame) -> DataFrame:
+    """``column``, ``n`` and what each ``value`` says, each question asked once."""
+    t, raw = F.col("t"), F.col("value")
+    trimmed = cells.select("column", "n", "value", P.trimmed(raw).alias("t")).withColumn("low", F.lower("t"))
+    asked = trimmed.select(
+        "column", "n", "low", P.is_integer(t).alias("integer"), P.is_float(t).alias("float"), P.is_inferred_date(t).alias("date"), P.is_date(t).alias("any_date"),
+        F.to_date(P.moment(t)).alias("day"), ((F.octet_length(raw) >= 10) & (raw == t) & raw.rlike(P.RAW_DATE)).alias("raw"),
     )
+    boolean = F.col("low").isin(*P.BOOLEAN_TOKENS)
+    kind = F.when(F.col("low").isin(*P.NULL_TOKENS), None).when(F.col("float"), "Numeric").when(F.col("any_date"), "Date").when(boolean, "Boolean").otherwise("Text")
+    return asked.select("column", "n", "low", "integer", "float", boolean.alias("boolean"), "date", "day", kind.alias("class"), (F.col("raw") & F.col("day").isNotNull()).alias("parses"))
+
+
+def _summed(judged: DataFrame) -> DataFrame:
+    n = F.col("n")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
     return judged.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("non_null"), total(F.col("integer")).alias("integers"), total(F.col("float")).alias("floats"), total(F.col("boolean")).alias("booleans"), total(F.col("date")).alias("dates"),
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("non_null"), total(F.col("integer")).alias("integers"), total(F.col("float")).alias("floats"), total(F.col("boolean")).alias("booleans"), total(F.col("date")).alias("dates"),
         *[total(F.col("class") == k).alias(f"class_{k.lower()}") for k in ("Numeric", "Date", "Boolean", "Text")],
         total(F.col("low") == "true").alias("true"), total(F.col("low") == "false").alias("false"), total(F.col("parses")).alias("parsed_dates"), F.min("day").alias("first"), F.max("day").alias("last"),
     )
 
 
+def lexical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Lexical classes and inferred type of columns, all taken as text. Every cell is judged where it is; nothing but counts is moved."""
+    found = chosen(df, columns)
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), f.text.alias("value")) for f in found])
+    each = df.select(F.explode(cells).alias("c")).select("c.column", "c.value", F.lit(1).cast("long").alias("n")).where(~P.is_null_like(F.col("value")))
+    names = df.sparkSession.createDataFrame([(f.name,) for f in found], "column string")
+    made = names.join(_summed(_judged(each)).drop("rows"), "column", "left").na.fill(0)
+    kind = inferred(*[F.col(c) for c in ("non_null", "integers", "floats", "booleans", "dates")])
+    counts = [F.col(f"class_{k}") for k in ("numeric", "date", "boolean", "text")]
+    most = F.greatest(*counts)
+    dominant = F.when(most == 0, None).when(counts[0] == most, "Numeric").when(counts[1] == most, "Date").when(counts[2] == most, "Boolean").otherwise("Text")
+    return made.withColumn("data_type", kind).withColumn("dominant", dominant).withColumn("dominant_share", F.when(F.col("non_null") > 0, most / F.col("non_null")))
+
+
 def modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The most frequent number, to ten decimals: the smallest of several; null if none repeats."""
     found = [f for f in chosen(df, columns) if columns is not None or f.kind in ("Integer", "Float")]

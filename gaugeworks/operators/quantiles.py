@@ -1,7 +1,8 @@
 """Exact quantiles without a sort.
 
-A sketch brackets each wanted rank; what lies in the bracket is counted, and the bracket narrowed again until few rows are
-left, which come to the driver. So an exact median of any number of rows takes a few passes and no shuffle of the rows.
+The values between the least and the greatest are counted in equal cells; the cell that holds a wanted rank is cut into cells
+again, until few values are left, which come to the driver. So an exact median of any number of rows takes a few passes, each
+a small aggregate, and no shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -13,53 +14,54 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators.aggregates import one_row
 
-#: Rows of a bracket that are few; the sketch's accuracy.
-FEW, ACCURACY = 20_000, 10_000
+#: Values of a cell that are few; cells of a pass.
+FEW, CELLS = 20_000, 1024
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float | None]]:
     """Type 7 quantiles (linear between neighbours) of each expression; None where there is no value."""
-    first = one_row(df, {f"{k}_{w}": f(c) for k, c in enumerate(columns.values()) for w, f in (("n", F.count), ("a", F.min), ("b", F.max))})
-    out: dict[str, list[float | None]] = {name: [None] * len(shares) for name in columns}
-    # (column, share): rank, bounds, rows below, rows inside, slack of the sketch's ranks
-    open_: dict[tuple[int, int], list] = {}
-    exprs = [*columns.values()]
-    for k in range(len(exprs)):
-        n = first[f"{k}_n"]
-        if n:
-            for j, s in enumerate(shares):
-                open_[k, j] = [s * (n - 1), first[f"{k}_a"], first[f"{k}_b"], 0, n, 2 / ACCURACY]
-    found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    while wide := {key: v for key, v in open_.items() if v[4] > FEW and v[1] < v[2]}:
-        asked = {}
-        for (k, j), (rank, a, b, below, inside, slack) in wide.items():
-            at = (rank - below) / inside
-            bounds = [max(0.0, at - slack), min(1.0, at + slack + 1 / inside)]
-            asked[f"{k}_{j}"] = F.percentile_approx(F.when(exprs[k].between(a, b), exprs[k]), bounds, ACCURACY)
-        got = one_row(df, asked)
-        bounds_of = {key: got[f"{key[0]}_{key[1]}"] for key in wide}
-        counts = one_row(df, {f"{k}_{j}_{w}": F.count(F.when(c, 1)) for (k, j), (a, b) in bounds_of.items() for w, c in (("l", exprs[k] < a), ("i", exprs[k].between(a, b)))})
-        for (k, j), v in wide.items():
-            below, inside = counts[f"{k}_{j}_l"], counts[f"{k}_{j}_i"]
-            if not below <= math.floor(v[0]) or not math.ceil(v[0]) < below + inside:
-                v[5] *= 4  # the bracket misses its rank: again with a wider one
-            elif inside >= v[4]:
-                v[4] = 0  # many equal values: they are few distinct ones
-            else:
-                v[1:5] = [*bounds_of[k, j], below, inside]
-    if open_:
-        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.when(exprs[k].between(v[1], v[2]), exprs[k]).cast("double").alias("x")) for (k, j), v in open_.items()])
-        for r in df.select(F.explode(cells).alias("c")).where("c.x is not null").groupBy("c.k", "c.j", "c.x").agg(F.count(F.lit(1)).alias("n")).collect():
-            found.setdefault((r["k"], r["j"]), []).append((r["x"], r["n"]))
-    names = [*columns]
-    for (k, j), (rank, _, _, below, *_) in open_.items():
-        values, at, want = sorted(found[k, j]), below, (math.floor(rank), math.ceil(rank))
-        picked = {}
-        for x, n in values:
-            for w in want:
-                if at <= w < at + n:
-                    picked[w] = x
-            at += n
-        low, high = picked[want[0]], picked[want[1]]
-        out[names[k]][j] = low + (high - low) * (rank - want[0])
+    names, exprs = [*columns], [c.cast("double") for c in columns.values()]
+    first = one_row(df, {f"{k}_{w}": f(c) for k, c in enumerate(exprs) for w, f in (("n", F.count), ("a", F.min), ("b", F.max))})
+    at: dict[tuple[int, int], dict[int, float]] = {}  # by column and rank: what is known of the order
+    ranks = {(k, r) for k in range(len(exprs)) if (n := first[f"{k}_n"]) for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
+    # places of ranks: column, bounds, values below and inside
+    open_ = {(k, r): (first[f"{k}_a"], first[f"{k}_b"], 0, first[f"{k}_n"]) for k, r in ranks}
+    while open_:
+        for key, (a, b, _, _) in [*open_.items()]:
+            if a == b:
+                at[key] = a
+                del open_[key]
+        spans = sorted({(k, *open_[k, r]) for k, r in open_})
+        if not spans:
+            break
+        cells = []
+        for i, (k, a, b, _, inside) in enumerate(spans):
+            x = exprs[k]
+            # halves first, so that no difference overflows; a cell's number grows with the value
+            cell = F.least(F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * CELLS), F.lit(CELLS - 1)) if inside > FEW else F.lit(-1).cast("long")
+            cells.append(F.when(x.between(a, b), F.struct(F.lit(i).alias("i"), cell.alias("cell"), x.alias("x"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        counted: dict[int, list[tuple[float, float, int]]] = {i: [] for i in range(len(spans))}
+        if any(s[4] > FEW for s in spans):
+            for r in rows.where("cell >= 0").groupBy("i", "cell").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).collect():
+                counted[r["i"]].append((r["a"], r["b"], r["n"]))
+        if any(s[4] <= FEW for s in spans):
+            for r in rows.where("cell < 0").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")).collect():
+                counted[r["i"]].append((r["x"], r["x"], r["n"]))
+        for i, (k, a, b, below, inside) in enumerate(spans):
+            parts, before = sorted(counted[i]), below
+            for low, high, n in parts:
+                for key in [x for x in open_ if x[0] == k and open_[x] == (a, b, below, inside) and before <= x[1] < before + n]:
+                    open_[key] = (low, high, before, n)
+                before += n
+    out: dict[str, list[float | None]] = {}
+    for k, name in enumerate(names):
+        n, out[name] = first[f"{k}_n"], []
+        for s in shares:
+            rank = s * (n - 1)
+            if not n:
+                out[name].append(None)
+                continue
+            low, high = at[k, math.floor(rank)], at[k, math.ceil(rank)]
+            out[name].append(low + (high - low) * (rank - math.floor(rank)))
     return out

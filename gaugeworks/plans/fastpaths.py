@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import aggregates as A
+from gaugeworks.operators import frequencies as Q
 from gaugeworks.operators.fields import fields
 from gaugeworks.sources import files, memory
 
@@ -49,7 +50,7 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
     """The columns' types, those of text columns by what their cells say."""
     found = fields(df)
     texts = [f.name for f in found if f.kind is None]
-    told = {r["column"]: r["data_type"] for r in A.lexical_profile(df, texts).collect()} if texts else {}
+    told = {r["column"]: r["data_type"] for r in Q.lexical_profile(df, texts).collect()} if texts else {}
     return [(f.name, f.kind or told[f.name]) for f in found]
 
 

@@ -105,7 +105,9 @@ def profile_frame(df: DataFrame, options: Options | None = None, info: SourceInf
         if cut.count() > options.max_rows:
             truncated = "max_rows"
         df = df.limit(options.max_rows)
-    df = spread(df)
+    small = spread(df)
+    kept = small.persist() if small is not df else None  # it has fewer parts than there are cores
+    df = small
     tell("schema", {"columns": [f.name for f in found]})
     facts = A.one_row(df, _first_pass(found, options))
     rows = facts["rows"]
@@ -115,8 +117,9 @@ def profile_frame(df: DataFrame, options: Options | None = None, info: SourceInf
     try:
         return _with_values(df, found, options, info, facts, counts, truncated, tell)
     finally:
-        if counts is not None:
-            counts.unpersist()
+        for held in (counts, kept):
+            if held is not None:
+                held.unpersist()
 
 
 def _with_values(df, found, options, info, facts, counts, truncated, tell) -> Report:

@@ -119,3 +119,15 @@ def test_locales():
         with pytest.raises(ValueError):
             R.parse_locale(bad)
     assert len(R.list_patterns()) == 35 and all(p["locale"] in (None, "US") for p in R.list_patterns("US"))
+
+
+def test_numbers_match_the_patterns_that_they_would_without_the_shortcut(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    values = [sign + digits(n) + (("." + digits(m)) if m else "") for sign in ("", "-") for n in range(1, 17) for m in (0, 1, 2, 4, 7)] + ["123.4567890", "0039061234567"]
+    full = {}
+    for k, p in enumerate(R.CATALOGUE):
+        full[k] = column(spark, values, lambda c, p=p: c.rlike(p.java))
+    masks = column(spark, values, R.match_mask)
+    for k in full:
+        assert [bool(m >> k & 1) for m in masks] == full[k], R.CATALOGUE[k].name

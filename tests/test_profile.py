@@ -117,9 +117,9 @@ def test_row_limits(spark):
 
 def test_quantiles_are_numpys(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "FEW", 50)
-    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "CELLS", 16)
     r = random.Random(3)
-    for values in ([r.gauss(0, 5) for _ in range(3000)], [float(r.randrange(4)) for _ in range(2000)], [1.0], [1.0, 2.0], [5.0] * 999 + [6.0], [r.expovariate(1) ** 5 for _ in range(2500)]):
+    for values in ([r.gauss(0, 5) for _ in range(3000)], [float(r.randrange(4)) for _ in range(2000)], [1.0], [1.0, 2.0], [5.0] * 999 + [6.0], [r.expovariate(1) ** 5 for _ in range(2500)], [-1.7e308, 1.7e308, *[r.random() for _ in range(300)]]):
         df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(3)
         got = exact_quantiles(df, {"x": F.col("x")}, (0.0, 0.25, 0.5, 0.9, 1.0))["x"]
         assert got == [pytest.approx(q, abs=1e-12) for q in np.quantile(values, [0, 0.25, 0.5, 0.9, 1])]
