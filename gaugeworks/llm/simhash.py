@@ -40,6 +40,8 @@ WIDE, BANDS, ROWS = 4, 10, 3
 _FACTORS = tuple((0xD6E8FEB86659FD93 * (2 * k + 1) ^ k << 40) & (1 << 64) - 1 | 1 for k in range(BANDS * ROWS))
 #: Members of a bucket that one task compares with the rest at once.
 BLOCK = 4096
+#: Members of a block's largest tree that probes are compared with first.
+PIVOTS = 16
 #: Large buckets that are broadcast, by key and number of blocks; more are joined by a shuffle.
 FEW = 100_000
 
@@ -131,7 +133,7 @@ class Ring:
 
 
 class WideRing:
-    """Whether fingerprints of 256 bits differ in ``limit`` bits at most: sixteen segments, chains of up to four first."""
+    """Whether fingerprints of 256 bits differ in ``limit`` bits at most: a segment for each word, chains of one to three first."""
 
     words = WIDE
 
@@ -139,13 +141,20 @@ class WideRing:
         self.limit = limit
 
     def near(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-        m = 4 * WIDE
-        parts = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint16)).astype(np.int16)
-        chain, alive = np.zeros(parts.shape, np.int16), np.ones(parts.shape, bool)
-        for length in range(1, 5):
-            chain += np.roll(parts, 1 - length, axis=-1)
-            alive &= chain * m <= length * self.limit
-        return alive.any(axis=-1) & (parts.sum(axis=-1) <= self.limit)
+        parts = np.bitwise_count(a ^ b)
+        least = parts[..., 0]
+        for k in range(1, WIDE):
+            least = np.minimum(least, parts[..., k])
+        # few pairs have a segment within its own budget: longer chains, and all bits, are counted for these alone
+        some = np.nonzero(least <= self.limit // WIDE)
+        part = parts[some].astype(np.int16)
+        chain, alive = np.zeros(part.shape, np.int16), np.ones(part.shape, bool)
+        for length in range(1, WIDE + 1):
+            chain += np.roll(part, 1 - length, axis=-1)
+            alive &= chain * WIDE <= length * self.limit
+        out = np.zeros(least.shape, bool)
+        out[some] = alive.any(axis=-1)
+        return out
 
 
 class _Forest:
@@ -188,15 +197,32 @@ def _bucket_links(ring, ids: np.ndarray, index: np.ndarray, probes: Iterator[tup
                     todo.append(y)
                 rest = rest[~near]
     yield left, right
-    step = max(1, (1 << 20) // max(1, len(ids) * ring.words * ring.words))
+    # most members of a large bucket are one tree: a probe that is near to one of some members of it needs no look at the others
+    roots = np.array([forest.root(x) for x in ids.tolist()], np.int64)
+    name, sizes = np.unique(roots, return_counts=True)
+    tree = np.flatnonzero(roots == name[np.argmax(sizes)])
+    others = np.flatnonzero(roots != name[np.argmax(sizes)])
+    step = max(1, (1 << 20) // max(1, len(ids) * ring.words))
     for names, some in probes:
         left, right = [], []
-        for at in range(0, len(some), step):
-            for i, j in zip(*np.nonzero(ring.near(some[at : at + step, None], index[None], start)), strict=True):
-                a, b = int(names[at + i]), int(ids[j])
-                if a != b and forest.join(a, b):
-                    left.append(a)
-                    right.append(b)
+
+        def join(i: int, j: int, names=names, left=left, right=right) -> None:
+            a, b = int(names[i]), int(ids[j])
+            if a != b and forest.join(a, b):
+                left.append(a)
+                right.append(b)
+
+        open_ = np.arange(len(some))
+        for j in tree[:: max(1, len(tree) // PIVOTS)][:PIVOTS].tolist():
+            near = ring.near(some[open_], index[j], start)
+            for i in open_[near].tolist():
+                join(i, j)
+            open_ = open_[~near]
+        for rows, against in ((open_, tree), (np.arange(len(some)), others)):
+            for at in range(0, len(rows) if len(against) else 0, step):
+                part = rows[at : at + step]
+                for i, j in zip(*np.nonzero(ring.near(some[part, None], index[None, against], start)), strict=True):
+                    join(int(part[i]), int(against[j]))
         yield left, right
 
 
