@@ -6,6 +6,12 @@ and a paragraph is inserted or deleted by adding or subtracting its vector. The
 its SHA-256, which tell texts apart, and ``BUCKETS`` lanes of 16 bits of which it fills one, so that an edit changes few
 of them: the likeness of two fingerprints is the share of equal lanes among those that either fills.
 
+With 64 lanes this says little of texts of many paragraphs, of repeated paragraphs or of one long paragraph, but the lanes of
+``with_edits`` are what its SQL says. :func:`likenesses` therefore has lanes of its own: ``LANES`` of 32 bits, of which only
+those that a text fills are held, so that their number may be far beyond any text's paragraphs. A paragraph is hashed
+together with its occurrence number, so that one repeat more or less changes one lane and no other, and what is longer than
+``LONG`` is cut further where a word's own hash says so, so that an edit moves no cut but those beside it.
+
 Null and empty texts have the fingerprint zero; two of them have likeness 1. Rows that repeat an id are taken in the order
 of their texts. Null ids come first.
 """
@@ -22,6 +28,9 @@ from pyspark.sql import functions as F
 DENSE, BUCKETS = 8, 64
 #: What cuts a text into paragraphs.
 CUT = r"\n+|(?<=[.!?]) +"
+#: Lanes of a wide fingerprint, a power of two; code points from which a paragraph is cut further, and words (or, where
+#: there are no blanks, signs) of a piece on average.
+LANES, LONG, PIECE = 1 << 20, 200, 8
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -92,12 +101,11 @@ def in_ranges(docs: DataFrame, id_col: str) -> tuple[DataFrame, list]:
     return docs.withColumn("_range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(number).cast("int")), cuts
 
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+def placed_with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, ``_text``, ``_range``, ``_last`` (1 for a copy of the next range's first document), ``_place`` and ``_next``, the next document's text.
 
-    The edited text has its last quarter replaced by the beginning of the next document by id; after the last comes the
-    first. The documents are dealt to ranges of ids, with a copy of the next range's first document at the end of each: one
-    shuffle, after which windows and sums stay where the rows are.
+    The documents are dealt to ranges of ids, with that copy at the end of each: one shuffle, after which windows and sums
+    stay where the rows are.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ranged, _ = in_ranges(rows, id_col)
@@ -116,12 +124,25 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         copy = ranged.where(is_first).withColumn("_range", to[F.col("_range")]).withColumn("_last", F.lit(1))
     by_range = Window.partitionBy("_range").orderBy("_last", F.col(id_col).asc_nulls_first(), "_text")
     both = ranged.withColumn("_last", F.lit(0)).unionByName(copy)
-    placed = both.select("*", F.row_number().over(by_range).alias("_place"), F.lead("_text").over(by_range).alias("_next"))
+    return both.select("*", F.row_number().over(by_range).alias("_place"), F.lead("_text").over(by_range).alias("_next"))
+
+
+def edited_text() -> Column:
+    """The text with its last quarter replaced by the beginning of the next."""
+    return F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 4) as int))"), F.expr("substring(coalesce(_next, ''), 1, cast(floor(length(_text) / 4) as int))"))
+
+
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+
+    The edited text has its last quarter replaced by the beginning of the next document by id; after the last comes the
+    first.
+    """
+    placed = placed_with_next(docs, id_col, text)
     n = F.length("_text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 4) as int))"), F.expr("substring(coalesce(_next, ''), 1, cast(floor(length(_text) / 4) as int))"))
     texts = placed.select(
-        "_range", "_place", "_last", F.col(id_col).alias("_id"), n.cast("long").alias("_n"), quarter.alias("_q"), "_text", edited.alias("_edited")
+        "_range", "_place", "_last", F.col(id_col).alias("_id"), n.cast("long").alias("_n"), quarter.alias("_q"), "_text", edited_text().alias("_edited")
     ).select("_range", "_place", "_last", "_id", "_n", F.sha2("_edited", 256).alias("_sha"), "_text", "_edited")
     keys = ["_range", "_place", "_last", "_id", "_n", "_sha"]
     each = texts.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("_tag"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("_tag"), F.col("_edited").alias("t")))).alias("_x"))
@@ -139,3 +160,46 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         likeness(F.col("spread"), F.col("spread_1")).alias("near_edited"),
         likeness(F.col("spread"), F.col("spread_2")).alias("near_next"),
     )
+
+
+def pieces(text: Column) -> Column:
+    """The paragraphs of a text, those over ``LONG`` cut after words whose hash is 0 modulo ``PIECE``, and what is still longer after such signs."""
+
+    def cut(unit: Column, parts: Column) -> Column:
+        marked = F.transform(parts, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PIECE)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+        return F.when(F.length(unit) > LONG, F.filter(F.split(F.array_join(marked, ""), "\n"), lambda x: x != "")).otherwise(F.array(unit))
+
+    # ends of sentences in scripts that write no blank after them
+    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CUT + "|(?<=[\u3002\uff01\uff1f])", "\n"), "\n+", -1)
+    by_words = F.flatten(F.transform(sentences, lambda u: cut(u, F.regexp_extract_all(u, F.lit(r"\S+\s*|\s+"), F.lit(0)))))
+    return F.flatten(F.transform(by_words, lambda u: cut(u, F.split(u, ""))))
+
+
+def likenesses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: id, n_units (pieces of the text, repeats too), near_edited and near_next, by the lanes of wide fingerprints.
+
+    The edited text and the next document are those of :func:`with_edits`.
+    """
+    placed = placed_with_next(docs, id_col, text).where("_last = 0").select("_range", "_place", F.col(id_col).alias("_id"), "_text", edited_text().alias("_edited"), F.coalesce("_next", F.lit("")).alias("_next"))
+    tagged = F.array(*[F.struct(F.lit(k).alias("tag"), pieces(F.col(c)).alias("units")) for k, c in enumerate(("_text", "_edited", "_next"))])
+    keys = ["_range", "_place", "_id"]
+    each = placed.select(*keys, F.explode(tagged).alias("_x")).select(*keys, F.col("_x.tag").alias("_tag"), F.explode("_x.units").alias("_unit"))
+    hashed = each.select(*keys, "_tag", F.when(F.col("_unit") != "", F.xxhash64("_unit")).alias("_hash"))
+    # a repeated paragraph's occurrences are paragraphs of their own
+    counted = hashed.groupBy(*keys, "_hash").agg(*[F.sum(F.when(F.col("_tag") == k, 1).otherwise(0)).alias(f"_n{k}") for k in range(3)])
+    numbered = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_n0", "_n1", "_n2"))).alias("_occurrence"))
+    vector = F.xxhash64("_hash", "_occurrence")
+    lane = F.when(F.col("_hash").isNotNull(), vector.bitwiseAND(LANES - 1))
+    value = F.when(F.col("_hash").isNotNull(), F.shiftrightunsigned(vector, 32).bitwiseOR(F.lit(1))).otherwise(0)
+    added_up = numbered.groupBy(*keys, lane.alias("_lane")).agg(
+        *[F.sum(F.when(F.col("_occurrence") <= F.col(f"_n{k}"), value).otherwise(0)).bitwiseAND(0xFFFFFFFF).alias(f"_v{k}") for k in range(3)],
+        F.sum(F.when(F.col("_hash").isNotNull() & (F.col("_occurrence") <= F.col("_n0")), 1).otherwise(0)).alias("_units"),
+    )
+    mine = F.col("_v0")
+    some = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    sums = added_up.groupBy(*keys).agg(
+        F.sum("_units").alias("n_units"),
+        *[x for k in (1, 2) for x in (some((mine != 0) | (F.col(f"_v{k}") != 0)).alias(f"_filled{k}"), some((mine != 0) & (mine == F.col(f"_v{k}"))).alias(f"_equal{k}"))],
+    )
+    near = lambda k: F.when(F.col(f"_filled{k}") == 0, F.lit(1.0)).otherwise(F.col(f"_equal{k}") / F.col(f"_filled{k}"))
+    return sums.select(F.col("_id").alias(id_col), F.col("n_units").cast("long"), near(1).alias("near_edited"), near(2).alias("near_next"))

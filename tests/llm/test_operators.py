@@ -238,6 +238,37 @@ def test_edits_are_those_of_a_plain_version(docs):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def overlap(a: str, b: str) -> float:
+    """The likeness of two texts' multisets of sentences."""
+    x, y = [Counter(p for p in re.split(r"\n+|(?<=[.!?]) +", t) if p) for t in (a, b)]
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_likeness_of_long_repeated_and_uncut_texts(spark):
+    word = lambda k: "w" + sha(str(k))[:7]
+    texts = [
+        " ".join(f"{word(k)} {word(k + 5000)}." for k in range(2000)),  # long
+        " ".join(f"{word(k % 40)} {word(k % 40 + 9000)}." for k in range(200)),  # repeated paragraphs
+        " ".join(f"{word(k + 40000)} {word(k + 50000)}." for k in range(300)),
+        " ".join(word(k + 20000) for k in range(1000)),  # neither lines nor sentences
+        "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(2000)),  # no blanks either
+        "", None,
+    ]
+    got = {r["doc_id"]: r for r in multiset_hash.likenesses(frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
+    for k in (0, 1):
+        quarter = len(texts[k]) // 4
+        assert abs(got[k]["near_edited"] - overlap(texts[k], texts[k][: len(texts[k]) - quarter] + texts[k + 1][:quarter])) < 0.02
+    assert got[0]["n_units"] == 2000 and got[1]["n_units"] == 200
+    assert all(0.45 < got[k]["near_edited"] < 0.85 and got[k]["near_next"] < 0.05 for k in (3, 4))
+    assert got[5]["near_edited"] == got[5]["near_next"] == 1 and got[6]["n_units"] == 0 and got[6]["near_next"] == 0
+
+
+def test_likeness_of_every_row(docs):
+    got = multiset_hash.likenesses(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in corpus())
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+
+
 # 5
 
 
