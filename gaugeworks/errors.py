@@ -45,3 +45,7 @@ class LimitReached(GaugeError):
 
 class ReportError(GaugeError, ValueError):
     """A saved report that can't be read."""
+
+
+class StateError(GaugeError):
+    """A stream's saved state that is missing, behind its checkpoint, or can't be written."""

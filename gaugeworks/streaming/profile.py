@@ -1,8 +1,9 @@
 """Profiles of streams: each micro-batch is folded into one small mergeable state for each column.
 
-Counts, sums and ranges add up, moments merge by their central sums, distinct values by sketch, quantiles by sketch. A batch is
-folded once, by its number, so a batch that comes again after a restart changes nothing; the state is kept as a file beside
-the stream's checkpoint. Conditions are looked at after each batch, and end the stream when they hold.
+Counts, sums and ranges add up, moments merge by their central sums, distinct values by HyperLogLog, quantiles by KLL sketch. A
+batch is folded once, by its number, so a batch that comes again after a restart changes nothing. With a checkpoint the state is
+written to ``STATE_DIR`` within it after each fold, before the batch counts as done, and read at the start; a checkpoint that
+has done batches which the state lacks is refused. Conditions are looked at after each batch, and end the stream when they hold.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.errors import StateError
 from gaugeworks.operators import aggregates as A
 from gaugeworks.operators.fields import fields
 
@@ -37,6 +39,7 @@ class ColumnState:
     booleans: int = 0
     dates: int = 0
     sketch: str = ""
+    quantiles: str = ""
 
     def merge(self, o: ColumnState) -> ColumnState:
         """Both together: central sums by Chan's rule."""
@@ -48,7 +51,7 @@ class ColumnState:
             low=pick(min, self.low, o.low), high=pick(max, self.high, o.high),
             min_length=pick(min, self.min_length, o.min_length), max_length=pick(max, self.max_length, o.max_length),
             bytes=self.bytes + o.bytes, integers=self.integers + o.integers, floats=self.floats + o.floats, booleans=self.booleans + o.booleans, dates=self.dates + o.dates,
-            sketch=self.sketch or o.sketch,
+            sketch=self.sketch or o.sketch, quantiles=self.quantiles or o.quantiles,
         )
 
     @property
@@ -129,6 +132,57 @@ def standard_errors(s: StreamState) -> list[float]:
     return [math.sqrt(c.variance / c.n) / abs(c.mean) for c in s.columns.values() if c.data_type in ("Integer", "Float") and c.n > 1 and c.mean]
 
 
+# the state's files
+
+#: Folder of the states within a checkpoint; quartiles that a result has.
+STATE_DIR, QUARTILES = "profile_state", (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """The folder's file system, its path, and the paths in it that are named by a number, by that number."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return fs, path, {int(p.getName()): p for p in found if p.getName().isdigit()}
+
+
+def save_state(spark: SparkSession, checkpoint: str, state: StreamState) -> None:
+    """Writes the state under its batch's number; older ones go when it is whole."""
+    fs, folder, old = _files(spark, f"{checkpoint}/{STATE_DIR}")
+    if state.last_batch in old:  # the batch came again
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    part, whole = path(folder, "_part"), path(folder, str(state.last_batch))
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(state.to_json().encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, whole):
+        raise StateError(f"{whole.toString()}: the state can't be written")
+    for batch, p in old.items():
+        if batch < state.last_batch:
+            fs.delete(p, False)
+
+
+def load_state(spark: SparkSession, checkpoint: str) -> StreamState | None:
+    """The state of the latest batch, if there is one."""
+    fs, _, found = _files(spark, f"{checkpoint}/{STATE_DIR}")
+    if not found:
+        return None
+    source = fs.open(found[max(found)])
+    try:
+        return StreamState.from_json(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()
+
+
+def last_commit(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that the checkpoint counts as done; -1 if there is none."""
+    return max(_files(spark, f"{checkpoint}/commits")[2], default=-1)
+
+
 # folding
 
 
@@ -142,6 +196,7 @@ def fold_columns(df: DataFrame) -> dict[str, ColumnState]:
             f"{k}_m2": F.coalesce(F.var_pop(f.number) * F.count(f.number), F.lit(0.0)), f"{k}_low": F.min(f.number), f"{k}_high": F.max(f.number),
             f"{k}_min_length": F.min(F.when(~null, size)), f"{k}_max_length": F.max(F.when(~null, size)), f"{k}_bytes": F.coalesce(F.sum(size), F.lit(0)),
             f"{k}_sketch": F.hex(F.hll_sketch_agg(F.when(~null, f.text), F.lit(14))),
+            f"{k}_quantiles": F.hex(F.kll_sketch_agg_double(F.when(~F.isnan(f.number.cast("double")), f.number.cast("double")))),
         }
         if f.kind is None:
             c = A.lexical_counts(f.text)
@@ -161,32 +216,47 @@ def fold(state: StreamState, df: DataFrame, batch: int) -> StreamState:
     new, spark = fold_columns(df), df.sparkSession
     rows = max((c.total for c in new.values()), default=0)
     columns = {n: state.columns.get(n, ColumnState(total=state.rows, nulls=state.rows)).merge(new.get(n, ColumnState(total=rows, nulls=rows))) for n in [*state.columns, *[n for n in new if n not in state.columns]]}
-    both = [(n, x) for n in columns for x in (state.columns.get(n, ColumnState()).sketch, new.get(n, ColumnState()).sketch) if x]
-    if both:
-        united = spark.createDataFrame(both, "n string, x string").groupBy("n").agg(F.hex(F.hll_union_agg(F.unhex("x"))).alias("x"))
-        for r in united.collect():
-            columns[r["n"]].sketch = r["x"]
+    for attribute, union in (("sketch", F.hll_union_agg), ("quantiles", F.kll_merge_agg_double)):
+        both = [(n, x) for n in columns for x in (getattr(state.columns.get(n, ColumnState()), attribute), getattr(new.get(n, ColumnState()), attribute)) if x]
+        if both:
+            united = spark.createDataFrame(both, "n string, x string").groupBy("n").agg(F.hex(union(F.unhex("x"))).alias("x"))
+            for r in united.collect():
+                setattr(columns[r["n"]], attribute, r["x"])
     out = StreamState(state.rows + rows, state.bytes + sum(c.bytes for c in new.values()), batch, columns)
     out.stable_rows = state.stable_rows + rows if out.fingerprint() == state.fingerprint() else 0
     return out
 
 
 def result(state: StreamState, spark: SparkSession) -> DataFrame:
-    """One row for each column."""
-    rows = [(n, c.data_type, c.total, c.nulls, c.n, c.low, c.high, c.mean if c.n else None, c.variance, c.min_length, c.max_length, c.sketch) for n, c in state.columns.items()]
-    df = spark.createDataFrame(rows, "column string, data_type string, total_count long, null_count long, n long, min double, max double, mean double, variance double, min_length int, max_length int, sketch string")
-    return df.withColumn("distinct_count", F.when(F.col("sketch") != "", F.hll_sketch_estimate(F.unhex("sketch"))).otherwise(0)).drop("sketch")
+    """One row for each column; the quartiles are those of the sketch."""
+    rows = [(n, c.data_type, c.total, c.nulls, c.n, c.low, c.high, c.mean if c.n else None, c.variance, c.min_length, c.max_length, c.sketch, c.quantiles if c.n else None) for n, c in state.columns.items()]
+    df = spark.createDataFrame(rows, "column string, data_type string, total_count long, null_count long, n long, min double, max double, mean double, variance double, min_length int, max_length int, sketch string, quantiles string")
+    for name, rank in QUARTILES:
+        df = df.withColumn(name, F.kll_sketch_get_quantile_double(F.unhex(F.when(F.col("quantiles") != "", F.col("quantiles"))), F.lit(rank)))
+    return df.withColumn("distinct_count", F.when(F.col("sketch") != "", F.hll_sketch_estimate(F.unhex("sketch"))).otherwise(0)).drop("sketch", "quantiles")
 
 
 def profile_stream(stream: DataFrame, stop: Stop | None = None, checkpoint: str | None = None, state: StreamState | None = None, progress: Callable[[str, dict], None] | None = None, available_now: bool = True) -> tuple[StreamState, str | None]:
-    """Folds a streaming DataFrame until it ends or a condition holds; the state, and why it ended early if it did."""
-    held, why, tell = [state or StreamState()], [None], progress or (lambda *_: None)
+    """Folds a streaming DataFrame until it ends or a condition holds; the state, and why it ended early if it did.
+
+    With a checkpoint it goes on from the state that was saved there, unless ``state`` is given.
+    """
+    spark, why, tell = stream.sparkSession, [None], progress or (lambda *_: None)
+    if checkpoint and state is None:
+        state = load_state(spark, checkpoint)
+    held = [state or StreamState()]
+    if checkpoint and held[0].last_batch < (done := last_commit(spark, checkpoint)):
+        raise StateError(f"{checkpoint}: batches up to {done} are done, but the state ends at {held[0].last_batch}")
     stop = stop or Stop()
 
     def each(df: DataFrame, batch: int) -> None:
         if why[0]:
+            if checkpoint:
+                raise StateError("the profile has ended")  # else the batch would count as done
             return
         held[0] = fold(held[0], df, batch)
+        if checkpoint and held[0].last_batch == batch:
+            save_state(spark, checkpoint, held[0])
         tell("batch", {"batch": batch, "rows": held[0].rows})
         why[0] = stop.reason(held[0])
 

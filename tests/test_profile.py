@@ -4,6 +4,7 @@ import asyncio
 import datetime as dt
 import json
 import random
+import shutil
 import statistics
 
 import numpy as np
@@ -331,6 +332,33 @@ def test_a_stream_gives_the_tables_profile(spark, tmp_path):
     assert s.reason(state) is None and stream.schema_inference().reason(stream.StreamState(rows=10_000)) == "max_rows"
 
 
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    def put(least: int, most: int) -> None:
+        spark.createDataFrame([(float(k),) for k in range(least, most)], "x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    put(0, 100)
+    source = spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    at = f"{tmp_path}/checkpoint"
+    assert stream.profile_stream(source, checkpoint=at)[0].rows == 100
+    put(100, 1000)
+    state, _ = stream.profile_stream(source, checkpoint=at)
+    assert state.rows == 1000 and state.columns["x"].low == 0 and state.columns["x"].mean == pytest.approx(499.5)
+    assert stream.profile_stream(source, checkpoint=at)[0] == state  # nothing new
+    r = stream.result(state, spark).first()
+    assert abs(r["q1"] - 250) < 40 and abs(r["median"] - 500) < 40 and abs(r["q3"] - 750) < 40
+    shutil.rmtree(f"{at}/{stream.STATE_DIR}")
+    with pytest.raises(errors.StateError):
+        stream.profile_stream(source, checkpoint=at)
+
+
+def test_a_stopped_stream_loses_no_batch(spark, tmp_path):
+    spark.range(500).selectExpr("cast(id as double) as x").repartition(5).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    state, why = stream.profile_stream(source, stream.Stop("max_rows", 100), checkpoint=f"{tmp_path}/checkpoint")
+    assert why == "max_rows" and state.rows < 500
+    assert stream.profile_stream(source, checkpoint=f"{tmp_path}/checkpoint")[0].rows == 500
+
+
 def test_sandbox(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.csv").write_text("a,b\n1,2\n3,4\n")
