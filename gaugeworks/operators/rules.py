@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import predicates as P
@@ -61,6 +61,11 @@ def format_violations(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return long_rows(rows, df.agg(*[c.alias(n) for n, c in flat.items()]))
 
 
+def date_formats(text: Column) -> list[Column]:
+    """Whether a text has each of the date formats, in their order; no text has two."""
+    return [F.coalesce(P.trimmed(text).rlike(P.one_of(pattern)), F.lit(False)) for pattern in P.DATE_FORMATS.values()]
+
+
 def mixed_date_formats(df: DataFrame, column: str, order: list[str], head: int = 50) -> DataFrame:
     """``format``, ``n`` of a date column's first ``head`` values that aren't blank, in the named order."""
     f = chosen(df, [column])[0]

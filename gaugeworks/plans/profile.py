@@ -220,6 +220,8 @@ def _first_pass(found: list[Field], o: Options) -> dict:
             dots, commas = [F.length(f.text) - F.length(F.replace(f.text, F.lit(x), F.lit(""))) for x in ".,"]
             out |= {f"{k}_both": A.count_if(~null & (dots > 0) & (commas > 0)), f"{k}_dots": A.count_if(~null & (dots == 1) & (commas == 0)), f"{k}_commas": A.count_if(~null & (dots == 0) & (commas == 1))}
             out[f"{k}_encoding"] = A.count_if(~null & P.has_encoding_artifact(f.text))
+        if o.assesses("consistency") and f.kind is None and rules.likely_date_name(f.name):
+            out |= {f"{k}_format{i}": A.count_if(c) for i, c in enumerate(rules.date_formats(f.text))}
     out["complete"] = A.count_if(complete) if complete is not None else F.count(F.lit(1))
     return out
 
@@ -297,9 +299,8 @@ def _quality(df, found, facts, kinds, o, columns, quartiles, distinct, masks, sc
             violations += facts.get(f"{k}_both", 0) + min(facts.get(f"{k}_dots", 0), facts.get(f"{k}_commas", 0))
             encoding += facts.get(f"{k}_encoding", 0)
             conforming += n if f.kind is not None else _conforming(facts, k, kinds[f.name], f.name)
-            if f.kind is None and rules.likely_date_name(f.name) and o.order:
-                formats = {r["format"]: r["n"] for r in rules.mixed_date_formats(df, f.name, o.order).collect()}
-                violations += sum(formats.values()) - max(formats.values()) if len(formats) > 1 else 0
+            formats = [facts[f"{k}_format{i}"] for i in range(len(P.DATE_FORMATS)) if f"{k}_format{i}" in facts]
+            violations += sum(formats) - max(formats, default=0)
         out.consistency = qual.Consistency(values, conforming, violations, encoding, values)
     if o.assesses("uniqueness"):
         keys = [n for n, h in o.hints.items() if h == "identifier"] + [f.name for f in found if rules.likely_id_name(f.name)]
