@@ -21,8 +21,8 @@ KINDS = (
     ("access", r"(AKIA[A-Z0-9]{14,})", 1, 18),
     ("hex", r"([0-9a-f]{16,})", 1, 16),
 )
-#: Candidates of the method alone: long runs that mix cases and digits. They get no span unless they are live.
-MIXED = r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-]))"
+#: Candidates of the method alone: long runs, and the signs that each of them mixes. They get no span unless they are live.
+MIXED, MIXTURE = r"([A-Za-z0-9+/_-]{20,})", ("[0-9]", "[A-Z]", "[a-z]")
 PLACEHOLDER = "example|sample|dummy|test|changeme|placeholder|your|xxxx|0123|1234|abcd"
 #: Owners from which a value is a copied example, and distinct signs and bits that a live value has at least.
 WIDELY_COPIED, LIVE_SIGNS = 3, 8
@@ -69,7 +69,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str
     def ranked(rank: int, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
 
-    arrays = [ranked(k, spans_of(t, *kind)) for k, kind in enumerate((*KINDS, ("live", MIXED, 1, 20)))]
+    mixed = F.filter(spans_of(t, "live", MIXED, 1, 20), lambda x: x["value"].rlike(MIXTURE[0]) & x["value"].rlike(MIXTURE[1]) & x["value"].rlike(MIXTURE[2]))
+    arrays = [ranked(k, spans) for k, spans in enumerate((*[spans_of(t, *kind) for kind in KINDS], mixed))]
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(owner).cast("string").alias("owner"),

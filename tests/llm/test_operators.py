@@ -50,6 +50,14 @@ def test_live_values_are_one_owners(spark, docs):
     assert classes == {3: "example"}
 
 
+def test_long_runs_are_candidates(spark):
+    long = "".join(sha(f"{k}")[:9] + "Q" for k in range(40))
+    plain = "q" * 300
+    rows = [(1, f"é {long} end", None, "a", 0), (2, f"{plain} {'Ab3xYz9QwErTy7UiOpLk'}", None, "b", 0)]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["live"]] for r in secrets.secret_spans(frame(spark, rows)).collect()}
+    assert got == {1: [(2, 402)], 2: [(301, 321)]}
+
+
 # 2
 
 
