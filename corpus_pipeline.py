@@ -16,7 +16,7 @@ from gaugeworks.llm.queries import table, vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that can be told go: those without a letter, and those of even odds. Nulls go."""
+    """Documents without a letter and nulls go. Texts of languages that weren't learned stay: the posterior over a whole text is near 1 for any text but a very short one, so its least value hardly ever binds."""
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     return langid.accepted(docs, model)
 
