@@ -45,22 +45,23 @@ _LEAST = {"assign": 12, "access": 18, "hex": 16}
 def _spans(kind: str, rank: int) -> str:
     p = _D[kind]
     # places: the lengths of the gaps and matches before
-    return f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, value, s AS b, s + size AS e FROM (
-  SELECT doc_id, source, unnest(m) AS size, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0)))::BIGINT AS s
-  FROM (SELECT doc_id, source, list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x)) AS m, regexp_extract_all(t, '{p}', 1) AS v, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS g FROM d)
+    return f"""SELECT doc_id, source, t, {rank} AS rank, '{kind}' AS kind, value, s AS b, s + size AS e FROM (
+  SELECT doc_id, source, t, unnest(m) AS size, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0)))::BIGINT AS s
+  FROM (SELECT doc_id, source, t, list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x)) AS m, regexp_extract_all(t, '{p}', 1) AS v, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS g FROM d)
 ) WHERE length(value) >= {_LEAST[kind]}"""
 
 
-_RUNS = r"""SELECT doc_id, source, 3 AS rank, 'live' AS kind, value, s AS b, s + size AS e FROM (
-  SELECT doc_id, source, unnest(m) AS size, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0)))::BIGINT AS s
-  FROM (SELECT doc_id, source, list_transform(regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), lambda x: length(x)) AS m, regexp_extract_all(t, '[A-Za-z0-9+/_-]+') AS v, list_transform(regexp_split_to_array(t, '[A-Za-z0-9+/_-]+'), lambda x: length(x)) AS g FROM d)
-) WHERE size BETWEEN 20 AND 200 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')"""
+_RUNS = r"""SELECT doc_id, source, t, 3 AS rank, 'live' AS kind, value, s AS b, s + size AS e FROM (
+  SELECT doc_id, source, t, unnest(m) AS size, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0)))::BIGINT AS s
+  FROM (SELECT doc_id, source, t, list_transform(regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), lambda x: length(x)) AS m, regexp_extract_all(t, '[A-Za-z0-9+/_-]+') AS v, list_transform(regexp_split_to_array(t, '[A-Za-z0-9+/_-]+'), lambda x: length(x)) AS g FROM d)
+) WHERE size >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')"""
 
 SQL["op1_secret_ownership"] = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 base AS ({_spans("assign", 0)} UNION ALL {_spans("access", 1)} UNION ALL {_spans("hex", 2)}),
 found AS (SELECT * FROM base UNION ALL {_RUNS}),
-owned AS (SELECT value FROM found GROUP BY value HAVING count(DISTINCT coalesce(source, chr(0))) = 1),
+counted AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT t) AS texts FROM found GROUP BY value),
+owned AS (SELECT value FROM counted WHERE texts < 10 AND (owners = 1 OR owners = 2 AND texts = 1)),
 live AS (SELECT DISTINCT doc_id, 3 AS rank, 'live' AS kind, e - length(value) AS b, e FROM found JOIN owned USING (value)
   WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8
     AND NOT regexp_matches(lower(value), 'example|sample|dummy|test|changeme|placeholder|your|xxxx|0123|1234|abcd')),

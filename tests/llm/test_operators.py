@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,9 +44,13 @@ def test_secret_spans_are_those_of_a_plain_scan(docs):
 
 
 def test_live_values_are_one_owners(spark, docs):
-    rows = [(1, "key Ab3xYz9QwErTy7UiOpLk here", None, "a", 0), (2, "key Ab3xYz9QwErTy7UiOpLk here", None, "a", 0), (3, "Qq3xYz9QwErTy7UiOpLk", None, "a", 0), (4, "Qq3xYz9QwErTy7UiOpLk", None, "b", 0), (5, "Example9QwErTy7UiOpLk", None, "c", 0)]
+    rows = [(1, "key Ab3xYz9QwErTy7UiOpLk here", None, "a", 0), (2, "key Ab3xYz9QwErTy7UiOpLk here", None, "a", 0), (3, "Qq3xYz9QwErTy7UiOpLk", None, "a", 0), (4, "Qq3xYz9QwErTy7UiOpLk too", None, "b", 0), (5, "Example9QwErTy7UiOpLk", None, "c", 0)]
+    rows += [(6, "copied Zz3xYz9QwErTy7UiOpLk", None, "a", 0), (7, "copied Zz3xYz9QwErTy7UiOpLk", None, "b", 0)]
+    rows += [(10 + k, f"text {k} of Vv3xYz9QwErTy7UiOpLk", None, "a", 0) for k in range(10)]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["live"]] for r in secrets.secret_spans(frame(spark, rows)).collect()}
-    assert got == {1: [("live", 4, 24)], 2: [("live", 4, 24)], 3: [], 4: [], 5: []}
+    # one text's copy with one other owner doesn't count; ten texts of one owner do
+    assert {k: v for k, v in got.items() if k < 10} == {1: [("live", 4, 24)], 2: [("live", 4, 24)], 3: [], 4: [], 5: [], 6: [("live", 7, 27)], 7: [("live", 7, 27)]}
+    assert not any(v for k, v in got.items() if k >= 10)
     classes = {r["n_owners"]: r["class"] for r in secrets.ownership(secrets.scan(frame(spark, [(k, "token = Zx81kkqLmN77pQ", None, f"o{k}", 0) for k in range(3)]))).collect()}
     assert classes == {3: "example"}
 
@@ -58,6 +63,25 @@ def test_long_runs_are_candidates(spark):
     assert got == {1: [(2, 402)], 2: [(301, 321)]}
 
 
+def test_ownership_counts_distinct_repositories_and_keeps_no_value(spark):
+    value = "Zx81kkqLmN77pQwErTy0"
+    rows = [(1, f"token = {value}", "shared", "a", 0), (2, f"token = {value} x", "shared", "b", 0), (3, f"token = {value} y", "own", "b", 0), (4, f"token = {value} y", None, None, 0)]
+    found = secrets.scan(frame(spark, rows), repository="lang")
+    got = secrets.ownership(found).collect()
+    assert [(r["n_owners"], r["n_repositories"], r["n_texts"], r["n_candidates"], r["class"]) for r in got] == [(3, 3, 3, 8, "example")]
+    assert not any(value in str(r) for r in found.collect())
+
+
+def test_places_of_many_matches(spark):
+    """Matches of one text by the tens of thousands take time in proportion, or nearly."""
+    parts = [f"{sha(str(k))[:16]}{'é' * (k % 5)} " for k in range(40_000)]
+    text = "".join(parts)
+    began = time.time()
+    row = secrets.secret_spans(frame(spark, [(1, text, None, "a", 0), (2, None, None, None, 0)])).where("doc_id = 1").first()
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in row["base"]] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+
+
 # 2
 
 
