@@ -3,7 +3,8 @@
 An archive is a ZIP file with stored members: ``archive/data.warc.gz``, one gzip member for each record, and
 ``indexes/index.cdxj``, one line for each record with its offset and length there. The reader parses the end record, the
 ZIP64 end record where there is one and the central directory, finds where the stored members begin, reads the index, and
-then reads each record's own bytes; nothing is extracted, and records of one archive are read by many tasks.
+then reads each record's own bytes; nothing is extracted. The records are dealt to tasks by stretches of ``READ_BYTES``, as many
+tasks as the bytes to be read call for, so that one archive is read by many.
 
 Payloads are UTF-8. A payload of ``MIN_REVISIT`` bytes or more that several pages have is stored once, by the page with the
 smallest id; the others' records are revisits without a payload. Null payloads are empty. Rows with null ids come after all
@@ -19,28 +20,23 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._io import new_path, written
+from gaugeworks.llm._io import file_system, new_path, written
+from gaugeworks.llm._joins import split_join
 from gaugeworks.llm._rows import batches_with
 
 MIN_REVISIT = 100
-#: Bytes from which a task begins another archive, and bytes of an archive that one task reads together.
-ARCHIVE_BYTES, READ_BYTES = 1 << 30, 8 << 20
+#: Bytes from which a task begins another archive; bytes of an archive that are read together, and by one task about; bytes
+#: of an index that are held at once.
+ARCHIVE_BYTES, READ_BYTES, TASK_BYTES, INDEX_BYTES = 1 << 30, 1 << 20, 64 << 20, 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of an address; one without a scheme is local."""
-    return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
-
-
 # writing
 
 
@@ -100,10 +96,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     folder = folder or new_path(pages.sparkSession, "archives")
     html = F.coalesce(F.col(payload), F.lit(""))
     digest = F.sha2(html, 256)
-    each = pages.select(F.col(id_col).alias("page"), digest.alias("digest"), F.octet_length(html).alias("size"))
-    first = each.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # only ids and digests meet in one place; the payloads are dealt by page
-    again = each.where(F.col("size") >= MIN_REVISIT).join(first, "digest").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
+    each = written(pages.where(F.octet_length(html) >= MIN_REVISIT).select(F.col(id_col).alias("page"), digest.alias("digest")), "digests")
+    first = each.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # only ids and digests meet by digest, those of pages with very many copies where they are; the payloads are dealt by page
+    again = split_join(each, first, ["digest"]).where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
     rows = pages.select(F.col(id_col).alias("page"), F.col(url).alias("url"), html.alias("html"), digest.alias("digest"))
     marked = rows.join(again, F.col("page").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     ready = marked.select("page", "url", "html", "digest", "first", F.col("_digest").isNotNull().alias("revisit"))
@@ -176,6 +172,20 @@ def members(f: pa.NativeFile) -> dict[str, tuple[int, int]]:
     return out
 
 
+def index_lines(f: pa.NativeFile, at: int, size: int) -> Iterator[list[bytes]]:
+    """The lines of an index member, block by block."""
+    rest, end = b"", at + size
+    while at < end:
+        block = _read(f, at, min(INDEX_BYTES, end - at))
+        if not block:
+            raise ValueError("an index ends before its size")
+        at += len(block)
+        *lines, rest = (rest + block).split(b"\n")
+        yield [x for x in lines if x.strip()]
+    if rest.strip():
+        yield [rest]
+
+
 def record_places(manifest: DataFrame) -> DataFrame:
     """path, at (in the file) and size of each record of the archives in ``path``, from their indexes."""
 
@@ -186,10 +196,9 @@ def record_places(manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(name) as f:
                     found = members(f)
                     (data, _), (index, size) = found[DATA], found[INDEX]
-                    lines = _read(f, index, size).splitlines()
-                for k in range(0, len(lines), 50_000):
-                    some = [json.loads(x) for x in lines[k : k + 50_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([data + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], names=["path", "at", "size"])
+                    for lines in index_lines(f, index, size):
+                        some = [json.loads(x) for x in lines]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([data + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], names=["path", "at", "size"])
 
     return manifest.select("path").mapInArrow(run, "path string, at long, size long")
 
@@ -211,8 +220,11 @@ def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     Size and digest of a response are those of the bytes read; a digest that differs from the record's own is an error.
     """
-    places = record_places(manifest)
-    near = places.repartition("path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
+    places = written(record_places(manifest), "places")
+    # as many tasks as the bytes to be read call for: the places themselves are few bytes, by which Spark would join all tasks
+    pieces, total = places.groupBy("path", F.floor(F.col("at") / READ_BYTES).alias("k")).agg(F.sum("size").alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, min(pieces, max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))))
+    near = places.repartition(tasks, "path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
     schema = "page long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
     names = [x.split()[0] for x in schema.split(", ")]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam, langid, lengths, line_dedup, multiset_hash, queries, secrets, sharding, simhash, wacz
+from gaugeworks.llm import _joins, bpe, decontam, langid, lengths, line_dedup, multiset_hash, queries, secrets, sharding, simhash, wacz
 from tests.llm.corpus import corpus, frame
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -317,6 +317,39 @@ def test_archives_give_every_page_back(spark):
     assert {(*k[:5], bytes(k[5]) if k[5] is not None else None): n for k, n in got.items()} == dict(want)
 
 
+def test_one_archive_is_read_by_many_tasks(spark, monkeypatch):
+    """Stretches of an archive go to tasks of their own; one page's copies are a third of all."""
+    monkeypatch.setattr(wacz, "READ_BYTES", 4096)
+    rows = [(k, f"http://a/{k}", "<html>" + ("copy" * 50 if k % 3 == 0 else sha(str(k)) * 8)) for k in range(600)]
+    manifest = wacz.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    read = wacz.read_records(manifest)
+    assert manifest.count() < read.rdd.getNumPartitions() == 4
+    got = read.select("page", "record_type", "refers_to", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in got}) > 1
+    assert {(r["page"], r["record_type"], r["refers_to"]) for r in got} == {(k, "revisit" if k % 3 == 0 and k else "response", 0 if k % 3 == 0 and k else None) for k, _, _ in rows}
+
+
+def test_an_index_is_read_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(wacz, "INDEX_BYTES", 7)
+    lines = [b"a" * k for k in range(1, 30)]
+    raw = b"xx" + b"\n".join(lines)
+    for tail in (b"", b"\n"):
+        with pa.BufferReader(raw + tail + b"other") as f:
+            assert [x for part in wacz.index_lines(f, 2, len(raw) - 2 + len(tail)) for x in part] == lines
+
+
+def test_joins_with_hot_keys_lose_nothing(spark):
+    rows = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k"))
+    one = spark.range(0, 6000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 14)], "k long, v long"))
+    for least in (0, 10_000):
+        for how in ("inner", "left"):
+            got = Counter(tuple(r) for r in _joins.split_join(rows, one, ["k"], how, least).select("id", "k", "v").collect())
+            assert got == Counter(tuple(r) for r in rows.join(one, ["k"], how).select("id", "k", "v").collect())
+    assert [r["k"] for r in _joins.hot_keys(rows.dropna(), ["k"]).collect()] == [7]
+
+
 def test_zip_directories_with_and_without_zip64(tmp_path):
     import zipfile
 
@@ -434,9 +467,32 @@ def test_automaton_on_random_words():
     for _ in range(150):
         items = [(k, " ".join(r.choice("abc") for _ in range(r.randrange(14)))) for k in range(4)]
         text = " ".join(r.choice("abcd") for _ in range(60))
-        a = decontam.Automaton([(i, decontam.words_of(t)) for i, t in items], 8)
-        spans, ids = a.match(decontam.words_of(text))
-        assert (60, sum(b - c for c, b in spans), len(ids), ",".join(sorted(map(str, ids)))) == plain_matches(text, items)
+        a = decontam.Automaton([(str(i), decontam.word_hashes(decontam.words_of(t))) for i, t in items], 8)
+        for made in (a, decontam.Automaton.unpacked(a.packed())):
+            found = [*made.match(decontam.word_hashes(decontam.words_of(text)))]
+            hit = {k for end, size, _ in found for k in range(end - size, end)}
+            ids = {made.item_names[i] for *_, mine in found for i in mine}
+            assert (60, len(hit), len(ids), ",".join(sorted(ids))) == plain_matches(text, items)
+
+
+def test_many_slices_say_what_one_says(spark, monkeypatch):
+    """Items dealt to many slices, a long item in pieces, documents in groups, slices that a worker can't keep."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, prose(r.randrange(1, 40))) for k in range(60)] + [(99, prose(700))]
+    texts = [prose(r.randrange(80)) + " " + " ".join(items[r.randrange(len(items))][1].split()[5:60]) for _ in range(40)]
+    docs = frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)]).repartition(2)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    monkeypatch.setattr(decontam, "MOST_WORDS", 200)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 100)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 500)
+    monkeypatch.setattr(decontam, "KEPT_BYTES", 20_000)
+    assert len(decontam.slices(bench, "item_id", "text", 8)) >= 5
+    got = {x["doc_id"]: (x["n_words"], sum(s["end"] - s["first"] for s in x["spans"]), x["n_items"], ",".join(x["items"])) for x in decontam.matches(docs, bench).collect()}
+    assert got == {k: plain_matches(t, items) for k, t in enumerate(texts)}
 
 
 def test_cleaning_keeps_clean_documents(spark):
