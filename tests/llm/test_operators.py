@@ -251,12 +251,16 @@ def test_lines_of_one_hash_over_many_partitions(spark):
 def test_fingerprints_are_of_multisets(spark):
     texts = ["one.\ntwo.\nthree.", "three.\none.\ntwo.", "one.\ntwo.\nthree.\nthree.", "", None]
     got = {r["doc_id"]: r for r in multiset_hash.fingerprints(frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
-    assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[2]["fingerprint"]
-    assert got[3]["fingerprint"] == got[4]["fingerprint"] == "0" * (8 * multiset_hash.DENSE + 4 * multiset_hash.BUCKETS)
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[2]["fingerprint"] and got[0]["lanes"] == got[1]["lanes"]
+    assert got[3]["fingerprint"] == got[4]["fingerprint"] == "0" * 8 * multiset_hash.DENSE and got[3]["lanes"] == []
     one = multiset_hash.fingerprints(frame(spark, [(9, "three.", None, None, 0)])).select(F.col("dense").alias("b"))
     sums = spark.createDataFrame([(got[0]["dense"], got[2]["dense"])], "a array<long>, c array<long>").crossJoin(one)
     row = sums.select(multiset_hash.added(F.col("a"), F.col("b")).alias("x"), "c", multiset_hash.added(F.col("c"), F.col("b"), -1).alias("y"), "a").first()
     assert row["x"] == row["c"] and row["y"] == row["a"]
+    lanes = "array<struct<lane:string,n:long,s:long>>"
+    pairs = spark.createDataFrame([(i, j, got[i]["lanes"], got[j]["lanes"]) for i in range(5) for j in range(5)], f"i int, j int, a {lanes}, b {lanes}")
+    near = {(r["i"], r["j"]): r["near"] for r in pairs.select("i", "j", multiset_hash.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert near[0, 1] == near[3, 4] == 1 and near[0, 2] == near[2, 0] == 0.75 and near[0, 3] == near[4, 2] == 0
 
 
 def test_edits_are_those_of_a_plain_version(docs):
@@ -276,29 +280,34 @@ def overlap(a: str, b: str) -> float:
     return sum((x & y).values()) / sum((x | y).values())
 
 
-def test_likeness_of_long_repeated_and_uncut_texts(spark):
+def test_likeness_is_the_overlap_at_any_length(spark):
+    """From one sentence to three thousand, with many repeats, without cuts: near the share of sentences that both have."""
     word = lambda k: "w" + sha(str(k))[:7]
-    texts = [
-        " ".join(f"{word(k)} {word(k + 5000)}." for k in range(2000)),  # long
-        " ".join(f"{word(k % 40)} {word(k % 40 + 9000)}." for k in range(200)),  # repeated paragraphs
-        " ".join(f"{word(k + 40000)} {word(k + 50000)}." for k in range(300)),
-        " ".join(word(k + 20000) for k in range(1000)),  # neither lines nor sentences
-        "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(2000)),  # no blanks either
-        "", None,
-    ]
-    got = {r["doc_id"]: r for r in multiset_hash.likenesses(frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
-    for k in (0, 1):
+    sentences = lambda n, seed, of=10**9: " ".join(f"{word(k % of + seed)} {word(k % of + seed + 5000)}." for k in range(n))
+    texts = [sentences(n, 20_000 * k) for k, n in enumerate((1, 20, 60, 200, 500, 1500, 3000))] + [sentences(400, 900_000, 40), sentences(300, 950_000)]
+    uncut = [" ".join(word(k + 20_000_000) for k in range(1000)), "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(2000)), "", None]
+    rows = [*texts, *uncut]
+    got = {r["doc_id"]: r for r in multiset_hash.with_edits(frame(spark, [(k, t, None, None, 0) for k, t in enumerate(rows)])).collect()}
+    for k in range(1, len(texts) - 1):  # what follows the last has no sentences
         quarter = len(texts[k]) // 4
-        assert abs(got[k]["near_edited"] - overlap(texts[k], texts[k][: len(texts[k]) - quarter] + texts[k + 1][:quarter])) < 0.02
-    assert got[0]["n_units"] == 2000 and got[1]["n_units"] == 200
-    assert all(0.45 < got[k]["near_edited"] < 0.85 and got[k]["near_next"] < 0.05 for k in (3, 4))
-    assert got[5]["near_edited"] == got[5]["near_next"] == 1 and got[6]["n_units"] == 0 and got[6]["near_next"] == 0
-
-
-def test_likeness_of_every_row(docs):
-    got = multiset_hash.likenesses(docs).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in corpus())
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        assert abs(got[k]["near_edited"] - overlap(texts[k], texts[k][: len(texts[k]) - quarter] + rows[k + 1][:quarter])) < 0.03 and got[k]["near_next"] < 0.03
+    a, b = len(texts), len(texts) + 1
+    assert all(0.45 < got[k]["near_edited"] < 0.85 and got[k]["near_next"] < 0.05 for k in (a, b))
+    assert got[b + 1]["near_edited"] == got[b + 1]["near_next"] == 1 and got[b + 2]["near_edited"] == 1 and got[b + 2]["near_next"] == 0
+
+
+def test_ids_may_be_texts(spark):
+    """Ranges of ids, and what comes next, go by the ids' own order."""
+    rows = [(f"id{k:03d}", f"text number {k}. and its end", "s") for k in range(60)] + [(None, "no id", "s")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    got = {r["doc_id"]: r for r in multiset_hash.with_edits(docs).collect()}
+    for k, (i, t, _) in enumerate(ordered):
+        quarter = len(t) // 4
+        assert got[i]["edited_sha256"] == sha(t[: len(t) - quarter] + ordered[(k + 1) % len(ordered)][1][:quarter])
+    shards = sharding.sharded(docs, 6).collect()
+    homes = [{r["doc_id"]: r["shard"] for r in shards}[i] for i, *_ in ordered]
+    assert len(shards) == 61 and homes == sorted(homes)
 
 
 # 5
@@ -521,18 +530,36 @@ def test_scores_are_those_of_a_plain_bayes(spark):
     model = langid.fit(frame(spark, train))
     assert model.languages == ["en", "fr"]
     text = "the chien 12"
-    grams = np.concatenate([*langid.buckets(langid.signs(text))])
+    buckets = lambda t: np.concatenate([b for _, b in langid.grams([t])]).tolist()
+    # a gram is of code points, of which no two begin it that aren't letters
+    plain = "".join(c if "a" <= c <= "z" else " " for c in text)
+    assert len(buckets(text)) == sum(plain[k : k + 2] != "  " for n in (2, 3) for k in range(len(plain) - n + 1))
+    assert len(buckets("日本語")) == 3 and sorted(buckets("日本語")) == sorted(np.concatenate([b for _, b in langid.grams(["", "日本語", "x"])]).tolist())
     totals = []
     for k, lang in enumerate(model.languages):
-        counts = Counter(np.concatenate([*langid.buckets(langid.signs(train[k][1]))]).tolist())
+        counts = Counter(buckets(train[k][1]))
         whole = sum(counts.values()) + langid.ALPHA * langid.BUCKETS
-        totals.append(np.log(0.5) + sum(np.log((counts[g] + langid.ALPHA) / whole) for g in grams.tolist()))
+        totals.append(np.log(0.5) + sum(np.log((counts[g] + langid.ALPHA) / whole) for g in buckets(text)))
     predicted, score = model.scores([text, None, "", "12 !", "the " * 200_000])
     assert predicted[0] == model.languages[int(np.argmax(totals))] and score[0] == pytest.approx(1 / np.exp(np.array(totals) - max(totals)).sum(), rel=1e-3)
     assert predicted[1:4] == ["und"] * 3 and predicted[4] == "en"
     assert langid.fit(frame(spark, [])).scores(["text"]) == (["und"], [0.0])
 
 
+def test_pieces_of_long_texts_have_all_grams(monkeypatch):
+    texts = ["ab", "", "the quick brown fox " * 9, "x", "日本語テスト " * 20]
+    want = Counter((k, b) for k, text in enumerate(texts) for _, part in langid.grams([text]) for b in part.tolist())
+    monkeypatch.setattr(langid, "PIECE", 10)
+    assert Counter((k, b) for rows, part in langid.grams(texts) for k, b in zip(rows.tolist(), part.tolist(), strict=True)) == want
+
+
+def test_rare_labels_are_learned(spark):
+    rows = [(k, f"the cat and the dog number {k}", "en", None, 0) for k in range(400)] + [(900 + k, "le chat et le chien", "fr", None, 0) for k in range(3)]
+    model = langid.fit(frame(spark, rows), most_rows=40)
+    assert model.languages == ["en", "fr"] and model.scores(["le chien", "the dog"])[0] == ["fr", "en"]
+    assert 0.005 < np.exp(model.log_prior[1]) < 0.02
+
+
 # 9
 
 
