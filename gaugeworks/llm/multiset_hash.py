@@ -1,104 +1,133 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A text is a multiset of paragraphs: its lines, cut further where a sentence ends. Each paragraph is hashed to a wide
-vector; the vectors are added lane by lane, modulo powers of two. So equal multisets have equal fingerprints in any order,
-and a paragraph is inserted or deleted by adding or subtracting its vector. The vector has eight dense lanes of 32 bits,
-its SHA-256, which tell texts apart, and ``BUCKETS`` lanes of 16 bits of which it fills one, so that an edit changes few
-of them: the likeness of two fingerprints is the share of equal lanes among those that either fills.
-
-With 64 lanes this says little of texts of many paragraphs, of repeated paragraphs or of one long paragraph, but the lanes of
-``with_edits`` are what its SQL says. :func:`likenesses` therefore has lanes of its own: ``LANES`` of 32 bits, of which only
-those that a text fills are held, so that their number may be far beyond any text's paragraphs. A paragraph is hashed
-together with its occurrence number, so that one repeat more or less changes one lane and no other, and what is longer than
-``LONG`` is cut further where a word's own hash says so, so that an edit moves no cut but those beside it.
+A text is a multiset of paragraphs: its lines, cut further where a sentence ends, and, if they are still longer than ``LONG``,
+where a word's (without blanks, a sign's) own hash says so, so that an edit moves no cut but those beside it. Each paragraph is
+hashed to a wide vector; the vectors are added lane by lane, modulo powers of two. So equal multisets have equal fingerprints
+in any order, and a paragraph is inserted or deleted by adding or subtracting its vector.
+
+The vector has ``DENSE`` lanes of 32 bits, the paragraph's SHA-256, which tell texts apart, and ``LANES`` pairs of lanes of
+which it fills one: 1, and 32 bits of its hash. Only the pairs that a text fills are held, so that their number may be far
+beyond any text's paragraphs. Two pairs with the same quotient hold the same paragraph, as often as their first lanes say:
+the likeness of two fingerprints is that of the multisets, the sum of the lesser counts by that of the greater, at any length.
 
 Null and empty texts have the fingerprint zero; two of them have likeness 1. Rows that repeat an id are taken in the order
-of their texts. Null ids come first.
+of their texts. Null ids come first. Ids are numbers, texts or times. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dense lanes of 32 bits, and lanes of 16 bits that paragraphs are dealt to.
-DENSE, BUCKETS = 8, 64
-#: What cuts a text into paragraphs.
-CUT = r"\n+|(?<=[.!?]) +"
-#: Lanes of a wide fingerprint, a power of two; code points from which a paragraph is cut further, and words (or, where
-#: there are no blanks, signs) of a piece on average.
-LANES, LONG, PIECE = 1 << 20, 200, 8
-#: Ranges of ids for each shuffle partition.
-RANGES = 4
-
-
-def summed_lanes(units: DataFrame, keys: list[str], unit: str) -> DataFrame:
-    """The vectors of all paragraphs of a key, added: ``dense`` and ``spread``, arrays of longs."""
-    lanes = units.select(*keys, F.when(F.col(unit) == "", F.lit(None)).otherwise(F.sha2(F.col(unit), 256)).alias("_digest"))
-    lanes = lanes.select(*keys, *[F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"_{k}") for k in range(DENSE)])
-    lanes = lanes.withColumn("_bucket", F.col("_0").bitwiseAND(BUCKETS - 1)).withColumn("_value", F.shiftrightunsigned("_0", 16).bitwiseOR(F.lit(1)))
-    sums = [F.sum(F.coalesce(F.col(f"_{k}"), F.lit(0))).alias(f"_d{k}") for k in range(DENSE)]
-    sums += [F.sum(F.when(F.col("_bucket") == b, F.col("_value")).otherwise(F.lit(0))).alias(f"_b{b}") for b in range(BUCKETS)]
-    return lanes.groupBy(*keys).agg(*sums).select(
-        *keys,
-        F.array(*[F.col(f"_d{k}").bitwiseAND(0xFFFFFFFF) for k in range(DENSE)]).alias("dense"),
-        F.array(*[F.col(f"_b{b}").bitwiseAND(0xFFFF) for b in range(BUCKETS)]).alias("spread"),
+#: Dense lanes of 32 bits; hex digits that number a sparse lane (so many bits times four).
+DENSE, LANE_DIGITS = 8, 5
+#: Code points from which a paragraph is cut further, and the first digits of a hash that cut: one in eight.
+LONG, CUTTING = 200, ("0", "8")
+#: Ranges of ids for each shuffle partition; ids that are looked at for each range's bound.
+RANGES, LOOKED_AT = 4, 20
+_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
+
+
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, without empty ones."""
+
+    def cut(unit: Column, parts: Column) -> Column:
+        marked = F.transform(parts, lambda w: F.when(F.substring(F.md5(w), 1, 1).isin(*CUTTING), F.concat(w, F.lit("\n"))).otherwise(w))
+        return F.when(F.length(unit) > LONG, F.split(F.array_join(marked, ""), "\n")).otherwise(F.array(unit))
+
+    ended = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?]) +", "$1\n"), "([\u3002\uff01\uff1f])", "$1\n")
+    by_words = F.flatten(F.transform(F.split(ended, "\n+", -1), lambda u: cut(u, F.regexp_extract_all(u, F.lit(_WORD), F.lit(0)))))
+    return F.filter(F.flatten(F.transform(by_words, lambda u: cut(u, F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0))))), lambda u: u != "")
+
+
+def _number(digest: Column, at: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+
+
+def _sums(units: DataFrame, keys: list[str], tags: int) -> DataFrame:
+    """For each key and sparse lane the sums of each of its texts, ``_tag`` 0, 1, ...: ``_n0``, ``_s0``, ``_d00`` (dense), ...
+
+    A paragraph is hashed into its vector once for each key, however often it repeats there.
+    """
+    counted = units.groupBy(*keys, F.sha2("_unit", 256).alias("_digest")).agg(*[F.sum(F.when(F.col("_tag") == k, 1).otherwise(0)).alias(f"_c{k}") for k in range(tags)])
+    vector = counted.select(
+        *keys, *[f"_c{k}" for k in range(tags)],
+        F.substring("_digest", 1, LANE_DIGITS).alias("_lane"), _number(F.col("_digest"), 1 + LANE_DIGITS, 8).alias("_value"), *[_number(F.col("_digest"), 1 + 8 * j, 8).alias(f"_w{j}") for j in range(DENSE)],
+    )
+    count = [F.col(f"_c{k}") for k in range(tags)]
+    return vector.groupBy(*keys, "_lane").agg(
+        *[x for k in range(tags) for x in (F.sum(count[k]).alias(f"_n{k}"), F.sum(count[k] * F.col("_value")).alias(f"_s{k}"))],
+        *[F.sum((count[k] * F.col(f"_w{j}")).bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF).alias(f"_d{k}{j}") for k in range(tags) for j in range(DENSE)],
     )
 
 
-def hex_lanes(dense: Column, spread: Column) -> Column:
-    """The fingerprint as lower-case hex digits."""
-    digits = lambda lanes, n: F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    return F.concat(digits(dense, 8), digits(spread, 4))
+def _dense(k: int) -> Column:
+    return F.array(*[F.coalesce(F.sum(f"_d{k}{j}").bitwiseAND(0xFFFFFFFF), F.lit(0).cast("long")) for j in range(DENSE)])
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal lanes among those that ``a`` or ``b`` fills; 1 if neither fills any."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    filled = F.size(F.filter(pairs, lambda x: (x["a"] != 0) | (x["b"] != 0)))
-    equal = F.size(F.filter(pairs, lambda x: (x["a"] == x["b"]) & (x["a"] != 0)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(equal / filled)
+def hex_lanes(dense: Column) -> Column:
+    """The dense lanes as lower-case hex digits."""
+    return F.array_join(F.transform(dense, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def paragraphs(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), CUT, -1)
+def _same(n: Column, s: Column, m: Column, t: Column) -> Column:
+    """Whether two filled pairs of lanes hold the same paragraph."""
+    return (n > 0) & (m > 0) & (s / n == t / m)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The likeness of two fingerprints' sparse lanes, arrays of (lane, n, s)."""
+    theirs = F.map_from_entries(F.transform(b, lambda y: F.struct(y["lane"], F.struct(y["n"].alias("n"), y["s"].alias("s")))))
+    least = F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(F.when(_same(x["n"], x["s"], theirs[x["lane"]]["n"], theirs[x["lane"]]["s"]), F.least(x["n"], theirs[x["lane"]]["n"])), F.lit(0)))
+    total = lambda lanes: F.aggregate(lanes, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    # the greater counts are what both have, less the lesser
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(least / (total(a) + total(b) - least))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id_col``, ``dense``, ``spread`` and ``fingerprint`` for each distinct id and text."""
+    """``id_col``, ``dense``, ``lanes`` (array of lane, n, s by lane) and ``fingerprint``, the dense lanes in hex, for each distinct id and text."""
     rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), F.col(text).alias("_text")).dropDuplicates([id_col, "_row"])
-    units = rows.select(id_col, "_row", F.explode(paragraphs(F.col("_text"))).alias("_unit"))
-    out = summed_lanes(units, [id_col, "_row"], "_unit")
-    return out.select(id_col, "dense", "spread", hex_lanes(F.col("dense"), F.col("spread")).alias("fingerprint"))
+    units = rows.select(id_col, "_row", F.lit(0).alias("_tag"), F.explode_outer(paragraphs(F.col("_text"))).alias("_unit"))
+    lanes = _sums(units.where("_unit is not null"), [id_col, "_row"], 1)
+    filled = lanes.groupBy(id_col, "_row").agg(_dense(0).alias("dense"), F.array_sort(F.collect_list(F.struct(F.col("_lane").alias("lane"), F.col("_n0").alias("n"), F.col("_s0").alias("s")))).alias("lanes"))
+    empty = units.where("_unit is null").select(id_col, "_row", F.array(*[F.lit(0).cast("long")] * DENSE).alias("dense"), F.from_json(F.lit("[]"), "array<struct<lane:string,n:bigint,s:bigint>>").alias("lanes"))
+    return filled.unionByName(empty).select(id_col, "dense", "lanes", hex_lanes(F.col("dense")).alias("fingerprint"))
 
 
 def added(a: Column, b: Column, sign: int = 1, bits: int = 32) -> Column:
-    """Lanes of ``a`` with those of ``b`` inserted, or with ``sign`` -1 deleted."""
+    """Dense lanes of ``a`` with those of ``b`` inserted, or with ``sign`` -1 deleted."""
     return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND((1 << bits) - 1))
 
 
-def in_ranges(docs: DataFrame, id_col: str) -> tuple[DataFrame, list]:
-    """``docs`` with ``_range``, the number of its id's range, and each range's least id. The ranges are cut at quantiles of the ids.
+def in_ranges(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``_range``, the number of its id's range; null ids are range -1.
 
-    Only the cuts come to the driver, ``RANGES`` for each shuffle partition.
+    The ranges are cut at quantiles of some of the ids, ``LOOKED_AT`` for each range, taken by a hash; these alone come to the
+    driver. Any type that can be sorted and hashed will do.
     """
     n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    # in two steps, so that a row is compared with the square root of the cuts: among each cell's first, then in its cell
-    step = max(1, math.isqrt(len(cuts)))
-    cells = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
+    share = min(1.0, n * LOOKED_AT / max(1, ids.count()))
+    some = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct() if share < 1 else ids.distinct()
+    kind = docs.schema[id_col].dataType
+    # as text for the driver and the plan; the order is that of the type
+    found = [r["_id"] for r in some.orderBy("_id").select(F.col("_id").cast("string").alias("_id")).collect()]
+    cuts = [found[k * len(found) // n] for k in range(1, n)] if len(found) >= n else found[1:]
+    cuts = [x for k, x in enumerate(cuts) if not k or x != cuts[k - 1]]
     number = F.lit(0)
     if cuts:
+        # in two steps, so that a row is compared with the square root of the cuts: among each cell's first, then in its cell
+        step = max(1, math.isqrt(len(cuts)))
+        cells = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+        texts = F.from_json(F.lit(json.dumps(cells)), "array<array<string>>")
+        fine = F.transform(texts, lambda cell: F.transform(cell, lambda x: x.cast(kind)))
         reached = lambda part: F.size(F.filter(part, lambda c: c <= F.col(id_col)))
-        cell = reached(F.lit([c[0] for c in cells]))
-        fine = F.array(*[F.lit(c) for c in cells])
-        number = F.when(F.col(id_col) < cuts[0], 0).otherwise((cell - 1) * step + reached(F.element_at(fine, F.greatest(cell, F.lit(1)))))
-    return docs.withColumn("_range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(number).cast("int")), cuts
+        cell = reached(F.transform(fine, lambda x: x[0]))
+        number = F.when(cell == 0, 0).otherwise((cell - 1) * step + reached(F.element_at(fine, F.greatest(cell, F.lit(1)))))
+    return docs.withColumn("_range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(number).cast("int"))
 
 
 def placed_with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -107,23 +136,15 @@ def placed_with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     The documents are dealt to ranges of ids, with that copy at the end of each: one shuffle, after which windows and sums
     stay where the rows are.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ranged, _ = in_ranges(rows, id_col)
-    firsts = {r["_range"]: r["least"] for r in ranged.groupBy("_range").agg(F.min(id_col).alias("least")).collect()}
-    order = sorted(firsts)
-    if not order:
-        ranged = ranged.withColumn("_range", F.lit(0))
-    pairs = [(order[k - 1], firsts[r], r) for k, r in enumerate(order)]  # range that gets the copy, id, its own range
-    copy = ranged.where(F.lit(False)).withColumn("_last", F.lit(1))
-    if pairs:
-        to = F.create_map(*[F.lit(x) for a, _, r in pairs for x in (r, a)])
-        wanted = [least for _, least, _ in pairs if least is not None]
-        is_first = F.col(id_col).isin(wanted) if wanted else F.lit(False)
-        if any(least is None for _, least, _ in pairs):
-            is_first = is_first | F.col(id_col).isNull()
-        copy = ranged.where(is_first).withColumn("_range", to[F.col("_range")]).withColumn("_last", F.lit(1))
+    ranged = in_ranges(docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text")), id_col)
+    # a row for each range: its first id, and the range before it (the last, for the first), which gets the copy
+    along, all_ranges = Window.orderBy("_range"), Window.partitionBy()
+    firsts = ranged.groupBy("_range").agg(F.min(id_col).alias("_least"))
+    targets = firsts.select(F.col("_range").alias("_from"), "_least", F.coalesce(F.lag("_range").over(along), F.max("_range").over(all_ranges)).alias("_to"))
+    copy = ranged.join(F.broadcast(targets), (F.col("_range") == F.col("_from")) & F.col(id_col).eqNullSafe(F.col("_least")))
+    copy = copy.select(id_col, "_text", F.col("_to").alias("_range"), F.lit(1).alias("_last"))
     by_range = Window.partitionBy("_range").orderBy("_last", F.col(id_col).asc_nulls_first(), "_text")
-    both = ranged.withColumn("_last", F.lit(0)).unionByName(copy)
+    both = ranged.select(id_col, "_text", "_range", F.lit(0).alias("_last")).unionByName(copy)
     return both.select("*", F.row_number().over(by_range).alias("_place"), F.lead("_text").over(by_range).alias("_next"))
 
 
@@ -136,70 +157,25 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has its last quarter replaced by the beginning of the next document by id; after the last comes the
-    first.
+    first. The lanes of a text, its edited text and the next one are added up side by side, where the rows are.
     """
-    placed = placed_with_next(docs, id_col, text)
-    n = F.length("_text")
-    quarter = F.floor(n / 4).cast("int")
-    texts = placed.select(
-        "_range", "_place", "_last", F.col(id_col).alias("_id"), n.cast("long").alias("_n"), quarter.alias("_q"), "_text", edited_text().alias("_edited")
-    ).select("_range", "_place", "_last", "_id", "_n", F.sha2("_edited", 256).alias("_sha"), "_text", "_edited")
-    keys = ["_range", "_place", "_last", "_id", "_n", "_sha"]
-    each = texts.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("_tag"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("_tag"), F.col("_edited").alias("t")))).alias("_x"))
-    units = each.select(*keys, F.col("_x._tag").alias("_tag"), F.explode(paragraphs(F.col("_x.t"))).alias("_unit"))
-    lanes = summed_lanes(units, [*keys, "_tag"], "_unit")
-    # a document's two rows stand side by side, the next document's after them
-    along = Window.partitionBy("_range").orderBy("_place", "_tag")
-    made = lanes.select("*", *[F.lead(c, k).over(along).alias(f"{c}_{k}") for c, k in (("dense", 1), ("spread", 1), ("spread", 2))])
-    return made.where("_tag = 0 and _last = 0").select(
+    placed = placed_with_next(docs, id_col, text).where("_last = 0").select("_range", "_place", F.col(id_col).alias("_id"), F.length("_text").cast("long").alias("_n"), "_text", edited_text().alias("_edited"), F.coalesce("_next", F.lit("")).alias("_next"))
+    keys = ["_range", "_place", "_id", "_n", "_sha"]
+    tagged = F.array(*[F.struct(F.lit(k).alias("tag"), paragraphs(F.col(c)).alias("units")) for k, c in enumerate(("_text", "_edited", "_next"))])
+    each = placed.select("_range", "_place", "_id", "_n", F.sha2("_edited", 256).alias("_sha"), F.explode(tagged).alias("_x"))
+    units = each.select(*keys, F.col("_x.tag").alias("_tag"), F.explode_outer("_x.units").alias("_unit"))
+    lanes = _sums(units, keys, 3)  # a text without paragraphs has one row of null, so that no document is lost
+    filled = F.col("_lane").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(filled, c)), F.lit(0))
+    least = lambda k: F.when(_same(F.col("_n0"), F.col("_s0"), F.col(f"_n{k}"), F.col(f"_s{k}")), F.least("_n0", f"_n{k}")).otherwise(0)
+    sums = lanes.groupBy(*keys).agg(_dense(0).alias("_dense"), _dense(1).alias("_edited_dense"), *[total(F.col(f"_n{k}")).alias(f"_t{k}") for k in range(3)], *[total(least(k)).alias(f"_both{k}") for k in (1, 2)])
+    near = lambda k: F.when(F.col("_t0") + F.col(f"_t{k}") == 0, F.lit(1.0)).otherwise(F.col(f"_both{k}") / (F.col("_t0") + F.col(f"_t{k}") - F.col(f"_both{k}")))
+    return sums.select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_chars"),
         F.col("_sha").alias("edited_sha256"),
-        hex_lanes(F.col("dense"), F.col("spread")).alias("fingerprint"),
-        hex_lanes(F.col("dense_1"), F.col("spread_1")).alias("edited_fingerprint"),
-        likeness(F.col("spread"), F.col("spread_1")).alias("near_edited"),
-        likeness(F.col("spread"), F.col("spread_2")).alias("near_next"),
-    )
-
-
-def pieces(text: Column) -> Column:
-    """The paragraphs of a text, those over ``LONG`` cut after words whose hash is 0 modulo ``PIECE``, and what is still longer after such signs."""
-
-    def cut(unit: Column, parts: Column) -> Column:
-        marked = F.transform(parts, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PIECE)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
-        return F.when(F.length(unit) > LONG, F.filter(F.split(F.array_join(marked, ""), "\n"), lambda x: x != "")).otherwise(F.array(unit))
-
-    # ends of sentences in scripts that write no blank after them
-    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CUT + "|(?<=[\u3002\uff01\uff1f])", "\n"), "\n+", -1)
-    by_words = F.flatten(F.transform(sentences, lambda u: cut(u, F.regexp_extract_all(u, F.lit(r"\S+\s*|\s+"), F.lit(0)))))
-    return F.flatten(F.transform(by_words, lambda u: cut(u, F.split(u, ""))))
-
-
-def likenesses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: id, n_units (pieces of the text, repeats too), near_edited and near_next, by the lanes of wide fingerprints.
-
-    The edited text and the next document are those of :func:`with_edits`.
-    """
-    placed = placed_with_next(docs, id_col, text).where("_last = 0").select("_range", "_place", F.col(id_col).alias("_id"), "_text", edited_text().alias("_edited"), F.coalesce("_next", F.lit("")).alias("_next"))
-    tagged = F.array(*[F.struct(F.lit(k).alias("tag"), pieces(F.col(c)).alias("units")) for k, c in enumerate(("_text", "_edited", "_next"))])
-    keys = ["_range", "_place", "_id"]
-    each = placed.select(*keys, F.explode(tagged).alias("_x")).select(*keys, F.col("_x.tag").alias("_tag"), F.explode("_x.units").alias("_unit"))
-    hashed = each.select(*keys, "_tag", F.when(F.col("_unit") != "", F.xxhash64("_unit")).alias("_hash"))
-    # a repeated paragraph's occurrences are paragraphs of their own
-    counted = hashed.groupBy(*keys, "_hash").agg(*[F.sum(F.when(F.col("_tag") == k, 1).otherwise(0)).alias(f"_n{k}") for k in range(3)])
-    numbered = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_n0", "_n1", "_n2"))).alias("_occurrence"))
-    vector = F.xxhash64("_hash", "_occurrence")
-    lane = F.when(F.col("_hash").isNotNull(), vector.bitwiseAND(LANES - 1))
-    value = F.when(F.col("_hash").isNotNull(), F.shiftrightunsigned(vector, 32).bitwiseOR(F.lit(1))).otherwise(0)
-    added_up = numbered.groupBy(*keys, lane.alias("_lane")).agg(
-        *[F.sum(F.when(F.col("_occurrence") <= F.col(f"_n{k}"), value).otherwise(0)).bitwiseAND(0xFFFFFFFF).alias(f"_v{k}") for k in range(3)],
-        F.sum(F.when(F.col("_hash").isNotNull() & (F.col("_occurrence") <= F.col("_n0")), 1).otherwise(0)).alias("_units"),
-    )
-    mine = F.col("_v0")
-    some = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    sums = added_up.groupBy(*keys).agg(
-        F.sum("_units").alias("n_units"),
-        *[x for k in (1, 2) for x in (some((mine != 0) | (F.col(f"_v{k}") != 0)).alias(f"_filled{k}"), some((mine != 0) & (mine == F.col(f"_v{k}"))).alias(f"_equal{k}"))],
+        hex_lanes(F.col("_dense")).alias("fingerprint"),
+        hex_lanes(F.col("_edited_dense")).alias("edited_fingerprint"),
+        near(1).alias("near_edited"),
+        near(2).alias("near_next"),
     )
-    near = lambda k: F.when(F.col(f"_filled{k}") == 0, F.lit(1.0)).otherwise(F.col(f"_equal{k}") / F.col(f"_filled{k}"))
-    return sums.select(F.col("_id").alias(id_col), F.col("n_units").cast("long"), near(1).alias("near_edited"), near(2).alias("near_next"))

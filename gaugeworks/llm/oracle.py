@@ -73,22 +73,35 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
-_DENSE = " || ".join(f"printf('%08x', sum(CASE WHEN u = '' THEN 0 ELSE ('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT END)::BIGINT & 4294967295)" for k in range(8))
-_SPREAD = ", ".join(f"(coalesce(sum(v) FILTER (WHERE q = {b}), 0)::BIGINT & 65535)" for b in range(64))
+_DENSE = " || ".join(f"printf('%08x', coalesce(sum(CASE WHEN TAG = tag THEN ('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT END), 0)::BIGINT & 4294967295)" for k in range(8))
+
+
+def _cut(unit: str, parts: str) -> str:
+    marked = f"array_to_string(list_transform({parts}, lambda w: CASE WHEN substr(md5(w), 1, 1) IN ('0', '8') THEN w || chr(10) ELSE w END), '')"
+    return f"unnest(CASE WHEN length({unit}) > 200 THEN string_split({marked}, chr(10)) ELSE [{unit}] END)"
+
+
+def _near(k: int) -> str:
+    least = f"coalesce(sum(least(n0, n{k})) FILTER (WHERE n0 > 0 AND n{k} > 0 AND s0 / n0 = s{k} / n{k}), 0)"
+    return f"CASE WHEN coalesce(sum(n0 + n{k}), 0) = 0 THEN 1.0::DOUBLE ELSE {least}::DOUBLE / (sum(n0 + n{k}) - {least})::DOUBLE END"
+
+
+_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE tag = {k}) AS n{k}, coalesce(sum(v) FILTER (WHERE tag = {k}), 0)::DOUBLE AS s{k}" for k in range(3))
 SQL["op4_multiset_hash"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-o AS (SELECT doc_id, t, length(t) AS n, length(t) // 4 AS q,
-  coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS nid FROM d),
-x AS (SELECT doc_id, nid, n, t, substr(t, 1, n - q) || substr(nt, 1, q) AS et FROM o),
-texts AS (SELECT doc_id, 0 AS tag, t FROM x UNION ALL SELECT doc_id, 1 AS tag, et FROM x),
+o AS (SELECT doc_id, t, length(t) AS n, length(t) // 4 AS q, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
+x AS (SELECT doc_id, n, t, substr(t, 1, n - q) || substr(nt, 1, q) AS et, nt FROM o),
+texts AS (SELECT doc_id, 0 AS tag, t FROM x UNION ALL SELECT doc_id, 1 AS tag, et FROM x UNION ALL SELECT doc_id, 2 AS tag, nt FROM x),
 -- a sentence's end goes with what stands before the cut
-units AS (SELECT doc_id, tag, unnest(regexp_split_to_array(regexp_replace(t, '([.!?]) +', '\1' || chr(10), 'g'), '\n+')) AS u FROM texts),
-hashed AS (SELECT doc_id, tag, u, sha256(u) AS h FROM units),
-lanes AS (SELECT *, CASE WHEN u <> '' THEN ('0x' || substr(h, 1, 8))::BIGINT & 63 END AS q, CASE WHEN u <> '' THEN (('0x' || substr(h, 1, 8))::BIGINT >> 16) | 1 END AS v FROM hashed),
-f AS (SELECT doc_id, tag, {_DENSE} AS dense, [{_SPREAD}] AS spread FROM lanes GROUP BY doc_id, tag),
-g AS (SELECT doc_id, tag, dense || array_to_string(list_transform(spread, lambda z: printf('%04x', z)), '') AS fp, spread FROM f)
-SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.et) AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint,
-  CASE WHEN len(list_filter(list_zip(a.spread, e.spread), lambda z: z[1] <> 0 OR z[2] <> 0)) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(list_zip(a.spread, e.spread), lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE / len(list_filter(list_zip(a.spread, e.spread), lambda z: z[1] <> 0 OR z[2] <> 0)) END AS near_edited,
-  CASE WHEN len(list_filter(list_zip(a.spread, c.spread), lambda z: z[1] <> 0 OR z[2] <> 0)) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(list_zip(a.spread, c.spread), lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE / len(list_filter(list_zip(a.spread, c.spread), lambda z: z[1] <> 0 OR z[2] <> 0)) END AS near_next
-FROM x JOIN g a ON a.doc_id = x.doc_id AND a.tag = 0 JOIN g e ON e.doc_id = x.doc_id AND e.tag = 1 JOIN g c ON c.doc_id = x.nid AND c.tag = 0
+lines AS (SELECT doc_id, tag, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '([.!?]) +', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g'), '\n+')) AS u FROM texts),
+pieces AS (SELECT doc_id, tag, {_cut("u", f"regexp_extract_all(u, '{_WORD}')")} AS u FROM lines),
+units AS (SELECT doc_id, tag, {_cut("u", "regexp_extract_all(u, '(?s).')")} AS u FROM pieces),
+hashed AS (SELECT doc_id, tag, h, substr(h, 1, 5) AS lane, ('0x' || substr(h, 6, 8))::BIGINT AS v FROM (SELECT doc_id, tag, sha256(u) AS h FROM units WHERE u <> '')),
+f AS (SELECT doc_id, {_DENSE.replace("TAG", "0")} AS fp, {_DENSE.replace("TAG", "1")} AS efp FROM hashed GROUP BY doc_id),
+lanes AS (SELECT doc_id, lane, {_COUNTS} FROM hashed GROUP BY doc_id, lane),
+l AS (SELECT doc_id, {_near(1)} AS near_edited, {_near(2)} AS near_next FROM lanes GROUP BY doc_id)
+SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.et) AS edited_sha256, coalesce(fp, repeat('0', 64)) AS fingerprint, coalesce(efp, repeat('0', 64)) AS edited_fingerprint,
+  coalesce(near_edited, 1.0::DOUBLE) AS near_edited, coalesce(near_next, 1.0::DOUBLE) AS near_next
+FROM x LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)
 """

@@ -50,15 +50,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return multiset_hash.with_edits(table(spark, sf_dir, "documents"))
 
 
-def op4_multiset_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of every document to its edited text and to the next document, by wide fingerprints."""
-    return multiset_hash.likenesses(table(spark, sf_dir, "documents"))
-
-
 def op5_wacz_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to archives and read back by range."""
     records = wacz.read_records(wacz.write_archives(table(spark, sf_dir, "pages")))
@@ -103,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_ownership, op2_simhash_pigeonring, op3_line_dedup, op4_multiset_hash, op4_multiset_likeness, op5_wacz_archives, op6_length_histogram, op7_suffix_automaton, op8_naive_bayes_language, op9_minimax_shards, op10_bpe_roundtrip, pipeline)
+    own = (op1_secret_ownership, op2_simhash_pigeonring, op3_line_dedup, op4_multiset_hash, op5_wacz_archives, op6_length_histogram, op7_suffix_automaton, op8_naive_bayes_language, op9_minimax_shards, op10_bpe_roundtrip, pipeline)
     return {f.__name__: f for f in own}
 
 

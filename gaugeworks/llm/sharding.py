@@ -108,7 +108,7 @@ def sharded(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
         F.crc32(raw).alias("text_crc32"),
         F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.xxhash64(text)).alias("_hash"),
     )
-    ranged, _ = in_ranges(written(rows, "sizes"), id_col)
+    ranged = in_ranges(written(rows, "sizes"), id_col)
     group = F.struct(F.coalesce("_hash", F.lit(0)).alias("h"), F.col("_hash").isNull().alias("none"), F.col("text_crc32").alias("c"), F.col("size").alias("s"))
     rows = ranged.withColumn("_group", group)
     # a group's rows by range of ids: a group that has a third of all rows is many such parts
