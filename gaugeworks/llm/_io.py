@@ -46,7 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` made and that nothing reads any more."""
+    for df in tables:
+        _removed(df.sparkSession, df._written_to)
+        _made[:] = [x for x in _made if x[1] != df._written_to]
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear_written() -> None:
@@ -54,9 +68,7 @@ def clear_written() -> None:
     while _made:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _removed(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 

@@ -124,10 +124,12 @@ def test_simhash_components_are_those_of_all_pairs(docs):
     check_components([(r[0], r[1]) for r in corpus()], simhash.near_duplicates(docs).collect())
 
 
-@pytest.mark.parametrize("block", [3, 64, 4096])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, block):
-    """Random fingerprints around a few centres: dense buckets, and blocks of a few members."""
+@pytest.mark.parametrize("block, few, pivots", [(3, 100_000, 16), (3, 0, 1), (20, 100_000, 2), (64, 0, 16), (4096, 100_000, 16)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, block, few, pivots):
+    """Random fingerprints around a few centres: dense buckets, blocks of a few members, few pivots, large buckets by shuffle."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     r = np.random.default_rng(1)
     centres = r.integers(0, 1 << 63, 6, dtype=np.uint64)
     values = {int(c) for c in centres} | {int(v) for v in r.integers(0, 1 << 63, 200, dtype=np.uint64)}
@@ -196,6 +198,8 @@ def test_similar_documents_are_those_of_like_shingles(spark):
     together = {i: min(j for j in groups if groups[j] == g) if g is not None else i for i, g in groups.items()}
     assert sum(got[i] == together[i] for i in got) >= 0.97 * len(rows)
     assert all(got[i] == i for i, g in groups.items() if g is None)
+    stays = simhash.without_near_duplicates(frame(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in stays) == sorted({*got.values()}) and all(r["text"] == rows[r["doc_id"]][1] for r in stays)
     odd = simhash.similar_documents(frame(spark)).collect()
     texts = {}
     for i, t, *_ in corpus():
@@ -203,6 +207,32 @@ def test_similar_documents_are_those_of_like_shingles(spark):
     assert len(odd) == len(corpus()) and all(len({x["component_id"] for x in odd if x["doc_id"] in ids and x["doc_id"] is not None}) <= 1 for ids in texts.values())
 
 
+def test_likeness_of_minima_is_that_of_the_sets():
+    """Pairs at some likenesses: most above the limit pass, few far below it."""
+    r = np.random.default_rng(3)
+    ring = simhash.WideRing(0.8)
+    passed = {}
+    for share in (0.6, 0.7, 0.8, 0.85, 0.9):
+        hits = 0
+        for _ in range(60):
+            both = round(300 * 2 * share / (1 + share))
+            whole = r.integers(0, 1 << 63, 600 - both, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                prints = [np.r_[np.array(simhash.wide_print(h), np.uint64), simhash.packed_minima(simhash.minima(h))] for h in (whole[:300], whole[300 - both : 600 - both])]
+            hits += bool(ring.near(prints[0][None], prints[1][None], 0)[0])
+        passed[share] = hits / 60
+    assert passed[0.6] == 0 and passed[0.7] <= 0.15 and passed[0.8] >= 0.85 and passed[0.85] == passed[0.9] == 1
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    r = np.random.default_rng(4)
+    prose = lambda: " ".join(f"w{k}" for k in r.integers(0, 10**6, 60))
+    one, two, three, four = (prose() for _ in range(4))
+    rows = [(None, one, None, None, 0), (None, two, None, None, 0), (7, three, None, None, 0), (7, four, None, None, 0), (8, four, None, None, 0), (7, three, None, None, 0), (None, three + " end", None, None, 0), (9, None, None, None, 0), (10, "", None, None, 0)]
+    got = Counter((x["doc_id"], x["text"]) for x in simhash.without_near_duplicates(frame(spark, rows)).collect())
+    assert got == Counter([(None, one), (None, two), (7, three), (7, four), (9, None)])
+
+
 # 3
 
 
@@ -252,7 +282,7 @@ def test_fingerprints_are_of_multisets(spark):
     texts = ["one.\ntwo.\nthree.", "three.\none.\ntwo.", "one.\ntwo.\nthree.\nthree.", "", None]
     got = {r["doc_id"]: r for r in multiset_hash.fingerprints(frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
     assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[2]["fingerprint"] and got[0]["lanes"] == got[1]["lanes"]
-    assert got[3]["fingerprint"] == got[4]["fingerprint"] == "0" * 8 * multiset_hash.DENSE and got[3]["lanes"] == []
+    assert got[3]["fingerprint"] == got[4]["fingerprint"] == "0" * 10 * multiset_hash.DENSE and got[3]["lanes"] == []
     one = multiset_hash.fingerprints(frame(spark, [(9, "three.", None, None, 0)])).select(F.col("dense").alias("b"))
     sums = spark.createDataFrame([(got[0]["dense"], got[2]["dense"])], "a array<long>, c array<long>").crossJoin(one)
     row = sums.select(multiset_hash.added(F.col("a"), F.col("b")).alias("x"), "c", multiset_hash.added(F.col("c"), F.col("b"), -1).alias("y"), "a").first()
@@ -629,7 +659,7 @@ def test_empty_tables(spark, none):
     bench = spark.createDataFrame(ITEMS[:0], "item_id int, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     made = [
-        secrets.secret_spans(none), simhash.near_duplicates(none), line_dedup.keep_bitmaps(none), line_dedup.without_repeated_lines(none), multiset_hash.with_edits(none), wacz.read_records(wacz.write_archives(pages)),
+        secrets.secret_spans(none), simhash.near_duplicates(none), simhash.similar_documents(none), simhash.without_near_duplicates(none), line_dedup.keep_bitmaps(none), line_dedup.without_repeated_lines(none), multiset_hash.with_edits(none), wacz.read_records(wacz.write_archives(pages)),
         lengths.length_report(none, queries.vocabulary_path()), decontam.matches(none, bench), langid.accepted(none, langid.fit(none)), sharding.sharded(none), bpe.encoded(none, queries.vocabulary_path()),
     ]
     assert [df.count() for df in made] == [0] * len(made)
@@ -640,10 +670,10 @@ def test_extra_columns_with_clashing_names(spark):
     docs = frame(spark).select("*", *[F.lit(7).alias(c) for c in extra])
     bench = spark.createDataFrame(ITEMS, "item_id int, text string")
     n = len(corpus())
-    for df, rows in ((line_dedup.without_repeated_lines(docs), n), (decontam.cleaned(docs, bench), None), (langid.accepted(docs, langid.fit(docs)), None)):
+    for df, rows in ((line_dedup.without_repeated_lines(docs), n), (decontam.cleaned(docs, bench), None), (langid.accepted(docs, langid.fit(docs)), None), (simhash.without_near_duplicates(docs), None)):
         assert df.columns == docs.columns and all(r["_dropped"] == r["score"] == r["spans"] == 7 for r in df.collect())
         assert rows is None or df.count() == rows
-    for df in (secrets.secret_spans(docs), simhash.near_duplicates(docs), multiset_hash.with_edits(docs), sharding.sharded(docs), line_dedup.keep_bitmaps(docs)):
+    for df in (secrets.secret_spans(docs), simhash.near_duplicates(docs), simhash.similar_documents(docs), bpe.encoded_digests(docs, queries.vocabulary_path()), multiset_hash.with_edits(docs), sharding.sharded(docs), line_dedup.keep_bitmaps(docs)):
         assert df.count() == n
 
 
