@@ -7,11 +7,9 @@ stage's documents. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, decontam, langid, line_dedup, simhash
 from gaugeworks.llm._io import written
-from gaugeworks.llm._rows import fresh
 from gaugeworks.llm.queries import table, vocabulary_path
 
 
@@ -28,9 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts whose five-word shingles are alike by 0.8 the document with the smallest id stays; of rows that repeat it, one."""
-    kept = fresh(docs.columns, "_kept")
-    found = simhash.similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id"])
+    return simhash.without_near_duplicates(docs)
 
 
 #: Words of a benchmark item in a row from which a document goes; shorter matches are cut out of it.
