@@ -5,7 +5,7 @@ where a word's (without blanks, a sign's) own hash says so, so that an edit move
 hashed to a wide vector; the vectors are added lane by lane, modulo powers of two. So equal multisets have equal fingerprints
 in any order, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
-The vector has ``DENSE`` lanes of 32 bits, the paragraph's SHA-256, which tell texts apart, and ``LANES`` pairs of lanes of
+The vector has ``DENSE`` lanes of ``BITS`` bits, the paragraph's SHA-256, which tell texts apart, and 2^20 pairs of lanes of
 which it fills one: 1, and 32 bits of its hash. Only the pairs that a text fills are held, so that their number may be far
 beyond any text's paragraphs. Two pairs with the same quotient hold the same paragraph, as often as their first lanes say:
 the likeness of two fingerprints is that of the multisets, the sum of the lesser counts by that of the greater, at any length.
@@ -21,9 +21,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Dense lanes of 32 bits; hex digits that number a sparse lane (so many bits times four).
-DENSE, LANE_DIGITS = 8, 5
+#: Dense lanes and their bits; hex digits that number a sparse lane (so many bits times four).
+DENSE, BITS, LANE_DIGITS = 6, 40, 5
+_MASK, _DIGITS = (1 << BITS) - 1, BITS // 4
 #: Code points from which a paragraph is cut further, and the first digits of a hash that cut: one in eight.
 LONG, CUTTING = 200, ("0", "8")
 #: Ranges of ids for each shuffle partition; ids that are looked at for each range's bound.
@@ -31,46 +33,48 @@ RANGES, LOOKED_AT = 4, 20
 _WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
 
 
-def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text, without empty ones."""
+def sentences(text: Column) -> Column:
+    """The lines of a text, cut where a sentence ends; some may be empty."""
+    ended = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?]) +", "$1\n"), "([\u3002\uff01\uff1f])", "$1\n")
+    return F.split(ended, "\n+", -1)
 
-    def cut(unit: Column, parts: Column) -> Column:
-        marked = F.transform(parts, lambda w: F.when(F.substring(F.md5(w), 1, 1).isin(*CUTTING), F.concat(w, F.lit("\n"))).otherwise(w))
-        return F.when(F.length(unit) > LONG, F.split(F.array_join(marked, ""), "\n")).otherwise(F.array(unit))
 
-    ended = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?]) +", "$1\n"), "([\u3002\uff01\uff1f])", "$1\n")
-    by_words = F.flatten(F.transform(F.split(ended, "\n+", -1), lambda u: cut(u, F.regexp_extract_all(u, F.lit(_WORD), F.lit(0)))))
-    return F.filter(F.flatten(F.transform(by_words, lambda u: cut(u, F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0))))), lambda u: u != "")
+def _pieces(unit: Column, pattern: str) -> Column:
+    """A long paragraph cut after those of its parts whose hash says so; a shorter one whole."""
+    marked = F.transform(F.regexp_extract_all(unit, F.lit(pattern), F.lit(0)), lambda w: F.when(F.substring(F.md5(w), 1, 1).isin(*CUTTING), F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.when(F.length(unit) > LONG, F.split(F.array_join(marked, ""), "\n")).otherwise(F.array(unit))
 
 
-def _number(digest: Column, at: int, digits: int) -> Column:
-    return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+def paragraphs(docs: DataFrame, keys: list[str], units: Column) -> DataFrame:
+    """``keys`` and ``_unit`` of each paragraph of a row's sentences; those that are still long are cut at words, then at signs. Some may be empty."""
+    each = docs.select(*keys, F.explode(units).alias("_unit"))
+    for pattern in (_WORD, "(?s)."):
+        each = each.select(*keys, F.explode(_pieces(F.col("_unit"), pattern)).alias("_unit"))
+    return each
 
 
 def _sums(units: DataFrame, keys: list[str], tags: int) -> DataFrame:
     """For each key and sparse lane the sums of each of its texts, ``_tag`` 0, 1, ...: ``_n0``, ``_s0``, ``_d00`` (dense), ...
 
-    A paragraph is hashed into its vector once for each key, however often it repeats there.
+    Empty paragraphs have the lane null and add nothing, but keep their text from being lost.
     """
-    counted = units.groupBy(*keys, F.sha2("_unit", 256).alias("_digest")).agg(*[F.sum(F.when(F.col("_tag") == k, 1).otherwise(0)).alias(f"_c{k}") for k in range(tags)])
-    vector = counted.select(
-        *keys, *[f"_c{k}" for k in range(tags)],
-        F.substring("_digest", 1, LANE_DIGITS).alias("_lane"), _number(F.col("_digest"), 1 + LANE_DIGITS, 8).alias("_value"), *[_number(F.col("_digest"), 1 + 8 * j, 8).alias(f"_w{j}") for j in range(DENSE)],
-    )
-    count = [F.col(f"_c{k}") for k in range(tags)]
+    digest = units.select(*keys, "_tag", F.when(F.col("_unit") != "", F.sha2("_unit", 256)).alias("_digest"))
+    word = lambda j: F.conv(F.substring("_digest", 1 + _DIGITS * j, _DIGITS), 16, 10).cast("long").alias(f"_w{j}")
+    vector = digest.select(*keys, "_tag", F.substring("_digest", 1, LANE_DIGITS).alias("_lane"), *[word(j) for j in range(DENSE)])
+    of = lambda k, c: F.sum(F.when(F.col("_tag") == k, c).otherwise(F.lit(0).cast("long")))
     return vector.groupBy(*keys, "_lane").agg(
-        *[x for k in range(tags) for x in (F.sum(count[k]).alias(f"_n{k}"), F.sum(count[k] * F.col("_value")).alias(f"_s{k}"))],
-        *[F.sum((count[k] * F.col(f"_w{j}")).bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF).alias(f"_d{k}{j}") for k in range(tags) for j in range(DENSE)],
+        *[x for k in range(tags) for x in (of(k, F.lit(1)).alias(f"_n{k}"), of(k, F.col("_w1").bitwiseAND(0xFFFFFFFF)).alias(f"_s{k}"))],
+        *[of(k, F.col(f"_w{j}")).bitwiseAND(_MASK).alias(f"_d{k}{j}") for k in range(min(tags, 2)) for j in range(DENSE)],
     )
 
 
 def _dense(k: int) -> Column:
-    return F.array(*[F.coalesce(F.sum(f"_d{k}{j}").bitwiseAND(0xFFFFFFFF), F.lit(0).cast("long")) for j in range(DENSE)])
+    return F.array(*[F.coalesce(F.sum(f"_d{k}{j}").bitwiseAND(_MASK), F.lit(0).cast("long")) for j in range(DENSE)])
 
 
 def hex_lanes(dense: Column) -> Column:
     """The dense lanes as lower-case hex digits."""
-    return F.array_join(F.transform(dense, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(dense, lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0")), "")
 
 
 def _same(n: Column, s: Column, m: Column, t: Column) -> Column:
@@ -90,14 +94,14 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``dense``, ``lanes`` (array of lane, n, s by lane) and ``fingerprint``, the dense lanes in hex, for each distinct id and text."""
     rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), F.col(text).alias("_text")).dropDuplicates([id_col, "_row"])
-    units = rows.select(id_col, "_row", F.lit(0).alias("_tag"), F.explode_outer(paragraphs(F.col("_text"))).alias("_unit"))
-    lanes = _sums(units.where("_unit is not null"), [id_col, "_row"], 1)
-    filled = lanes.groupBy(id_col, "_row").agg(_dense(0).alias("dense"), F.array_sort(F.collect_list(F.struct(F.col("_lane").alias("lane"), F.col("_n0").alias("n"), F.col("_s0").alias("s")))).alias("lanes"))
-    empty = units.where("_unit is null").select(id_col, "_row", F.array(*[F.lit(0).cast("long")] * DENSE).alias("dense"), F.from_json(F.lit("[]"), "array<struct<lane:string,n:bigint,s:bigint>>").alias("lanes"))
-    return filled.unionByName(empty).select(id_col, "dense", "lanes", hex_lanes(F.col("dense")).alias("fingerprint"))
+    units = paragraphs(rows, [id_col, "_row"], sentences(F.col("_text"))).withColumn("_tag", F.lit(0))
+    lanes = _sums(units, [id_col, "_row"], 1)
+    filled = F.collect_list(F.when(F.col("_lane").isNotNull(), F.struct(F.col("_lane").alias("lane"), F.col("_n0").alias("n"), F.col("_s0").alias("s"))))
+    made = lanes.groupBy(id_col, "_row").agg(_dense(0).alias("dense"), F.array_sort(filled).alias("lanes"))
+    return made.select(id_col, "dense", "lanes", hex_lanes(F.col("dense")).alias("fingerprint"))
 
 
-def added(a: Column, b: Column, sign: int = 1, bits: int = 32) -> Column:
+def added(a: Column, b: Column, sign: int = 1, bits: int = BITS) -> Column:
     """Dense lanes of ``a`` with those of ``b`` inserted, or with ``sign`` -1 deleted."""
     return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND((1 << bits) - 1))
 
@@ -122,8 +126,12 @@ def in_ranges(docs: DataFrame, id_col: str) -> DataFrame:
         # in two steps, so that a row is compared with the square root of the cuts: among each cell's first, then in its cell
         step = max(1, math.isqrt(len(cuts)))
         cells = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-        texts = F.from_json(F.lit(json.dumps(cells)), "array<array<string>>")
-        fine = F.transform(texts, lambda cell: F.transform(cell, lambda x: x.cast(kind)))
+        # one literal in the plan; numbers and texts are read into it once, other types for each row
+        plain = T.IntegralType if kind.typeName() != "string" else T.StringType
+        typed = isinstance(kind, plain)
+        values = [[int(x) if typed and plain is T.IntegralType else x for x in cell] for cell in cells]
+        fine = F.from_json(F.lit(json.dumps(values)), f"array<array<{kind.simpleString() if typed else 'string'}>>")
+        fine = fine if typed else F.transform(fine, lambda cell: F.transform(cell, lambda x: x.cast(kind)))
         reached = lambda part: F.size(F.filter(part, lambda c: c <= F.col(id_col)))
         cell = reached(F.transform(fine, lambda x: x[0]))
         number = F.when(cell == 0, 0).otherwise((cell - 1) * step + reached(F.element_at(fine, F.greatest(cell, F.lit(1)))))
@@ -161,10 +169,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """
     placed = placed_with_next(docs, id_col, text).where("_last = 0").select("_range", "_place", F.col(id_col).alias("_id"), F.length("_text").cast("long").alias("_n"), "_text", edited_text().alias("_edited"), F.coalesce("_next", F.lit("")).alias("_next"))
     keys = ["_range", "_place", "_id", "_n", "_sha"]
-    tagged = F.array(*[F.struct(F.lit(k).alias("tag"), paragraphs(F.col(c)).alias("units")) for k, c in enumerate(("_text", "_edited", "_next"))])
-    each = placed.select("_range", "_place", "_id", "_n", F.sha2("_edited", 256).alias("_sha"), F.explode(tagged).alias("_x"))
-    units = each.select(*keys, F.col("_x.tag").alias("_tag"), F.explode_outer("_x.units").alias("_unit"))
-    lanes = _sums(units, keys, 3)  # a text without paragraphs has one row of null, so that no document is lost
+    tagged = F.array(*[F.struct(F.lit(k).alias("tag"), F.col(c).alias("text")) for k, c in enumerate(("_text", "_edited", "_next"))])
+    each = placed.select("_range", "_place", "_id", "_n", F.sha2("_edited", 256).alias("_sha"), F.explode(tagged).alias("_x")).select(*keys, F.col("_x.tag").alias("_tag"), F.col("_x.text").alias("_x"))
+    lanes = _sums(paragraphs(each, [*keys, "_tag"], sentences(F.col("_x"))), keys, 3)
     filled = F.col("_lane").isNotNull()
     total = lambda c: F.coalesce(F.sum(F.when(filled, c)), F.lit(0))
     least = lambda k: F.when(_same(F.col("_n0"), F.col("_s0"), F.col(f"_n{k}"), F.col(f"_s{k}")), F.least("_n0", f"_n{k}")).otherwise(0)

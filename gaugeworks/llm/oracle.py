@@ -73,7 +73,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
-_DENSE = " || ".join(f"printf('%08x', coalesce(sum(CASE WHEN TAG = tag THEN ('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT END), 0)::BIGINT & 4294967295)" for k in range(8))
+_DENSE = " || ".join(f"printf('%010x', coalesce(sum(CASE WHEN TAG = tag THEN ('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT END), 0)::BIGINT & 1099511627775)" for k in range(6))
 
 
 def _cut(unit: str, parts: str) -> str:
@@ -97,11 +97,11 @@ texts AS (SELECT doc_id, 0 AS tag, t FROM x UNION ALL SELECT doc_id, 1 AS tag, e
 lines AS (SELECT doc_id, tag, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '([.!?]) +', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g'), '\n+')) AS u FROM texts),
 pieces AS (SELECT doc_id, tag, {_cut("u", f"regexp_extract_all(u, '{_WORD}')")} AS u FROM lines),
 units AS (SELECT doc_id, tag, {_cut("u", "regexp_extract_all(u, '(?s).')")} AS u FROM pieces),
-hashed AS (SELECT doc_id, tag, h, substr(h, 1, 5) AS lane, ('0x' || substr(h, 6, 8))::BIGINT AS v FROM (SELECT doc_id, tag, sha256(u) AS h FROM units WHERE u <> '')),
+hashed AS (SELECT doc_id, tag, h, substr(h, 1, 5) AS lane, ('0x' || substr(h, 11, 10))::BIGINT & 4294967295 AS v FROM (SELECT doc_id, tag, sha256(u) AS h FROM units WHERE u <> '')),
 f AS (SELECT doc_id, {_DENSE.replace("TAG", "0")} AS fp, {_DENSE.replace("TAG", "1")} AS efp FROM hashed GROUP BY doc_id),
 lanes AS (SELECT doc_id, lane, {_COUNTS} FROM hashed GROUP BY doc_id, lane),
 l AS (SELECT doc_id, {_near(1)} AS near_edited, {_near(2)} AS near_next FROM lanes GROUP BY doc_id)
-SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.et) AS edited_sha256, coalesce(fp, repeat('0', 64)) AS fingerprint, coalesce(efp, repeat('0', 64)) AS edited_fingerprint,
+SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.et) AS edited_sha256, coalesce(fp, repeat('0', 60)) AS fingerprint, coalesce(efp, repeat('0', 60)) AS edited_fingerprint,
   coalesce(near_edited, 1.0::DOUBLE) AS near_edited, coalesce(near_next, 1.0::DOUBLE) AS near_next
 FROM x LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)
 """
