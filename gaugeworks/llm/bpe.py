@@ -101,14 +101,32 @@ def split_words(texts: list[str]) -> list[list[str]]:
     return out
 
 
+#: Settings of a model that change its tokens and aren't done here.
+_REFUSED = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def check(spec: dict) -> None:
+    """Refuses a tokenizer with a part that isn't done here; truncation, padding and post-processing don't matter to tokens."""
+    model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or splitter.get("type") != "ByteLevel":
+        raise ValueError("a byte-level BPE vocabulary is needed")
+    wrong = [k for k in _REFUSED if model.get(k)]
+    wrong += [k for k in ("normalizer",) if spec.get(k)]
+    wrong += ["add_prefix_space"] if splitter.get("add_prefix_space") else []
+    wrong += ["use_regex off"] if splitter.get("use_regex") is False else []
+    wrong += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    wrong += [f"{k} of {x['content']!r}" for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip") if x.get(k)]
+    if wrong:
+        raise ValueError(f"not supported: {', '.join(wrong)}")
+
+
 class Vocabulary:
-    """A byte-level BPE vocabulary read from the text of a ``tokenizer.json``."""
+    """A byte-level BPE vocabulary read from the text of a ``tokenizer.json``; one with parts that aren't done here is refused."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        check(spec)
         model, letters = spec["model"], byte_letters()
-        if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
-            raise ValueError("a byte-level BPE vocabulary is needed")
         ids: dict[str, int] = model["vocab"]
         self.added: dict[str, int] = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         size = 1 + max([*ids.values(), *self.added.values()])
