@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A text is a multiset of paragraphs: its lines, cut further where a sentence ends, and, if they are still longer than ``LONG``,
+A text is a multiset of paragraphs: its lines, cut further where a sentence ends, and, if they are longer than ``LONG``,
 where a word's (without blanks, a sign's) own hash says so, so that an edit moves no cut but those beside it. Each paragraph is
 hashed to a wide vector; the vectors are added lane by lane, modulo powers of two. So equal multisets have equal fingerprints
 in any order, and a paragraph is inserted or deleted by adding or subtracting its vector.
@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 #: Dense lanes and their bits; hex digits that number a sparse lane (so many bits times four).
 DENSE, BITS, LANE_DIGITS = 6, 40, 5
 _MASK, _DIGITS = (1 << BITS) - 1, BITS // 4
-#: Code points from which a paragraph is cut further, and the first digits of a hash that cut: one in eight.
-LONG, CUTTING = 200, ("0", "8")
+#: Code points from which a paragraph is cut further at words, and from which what is left of it at signs; the first digits
+#: of a hash that cut: one in eight.
+LONG, LONG_RUN, CUTTING = 200, 1000, ("0", "8")
 #: Ranges of ids for each shuffle partition; ids that are looked at for each range's bound.
 RANGES, LOOKED_AT = 4, 20
 _WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
@@ -39,17 +40,17 @@ def sentences(text: Column) -> Column:
     return F.split(ended, "\n+", -1)
 
 
-def _pieces(unit: Column, pattern: str) -> Column:
-    """A long paragraph cut after those of its parts whose hash says so; a shorter one whole."""
+def _pieces(unit: Column, pattern: str, long: int) -> Column:
+    """A paragraph of over ``long`` signs cut after those of its parts whose hash says so; a shorter one whole."""
     marked = F.transform(F.regexp_extract_all(unit, F.lit(pattern), F.lit(0)), lambda w: F.when(F.substring(F.md5(w), 1, 1).isin(*CUTTING), F.concat(w, F.lit("\n"))).otherwise(w))
-    return F.when(F.length(unit) > LONG, F.split(F.array_join(marked, ""), "\n")).otherwise(F.array(unit))
+    return F.when(F.length(unit) > long, F.split(F.array_join(marked, ""), "\n")).otherwise(F.array(unit))
 
 
 def paragraphs(docs: DataFrame, keys: list[str], units: Column) -> DataFrame:
     """``keys`` and ``_unit`` of each paragraph of a row's sentences; those that are still long are cut at words, then at signs. Some may be empty."""
     each = docs.select(*keys, F.explode(units).alias("_unit"))
-    for pattern in (_WORD, "(?s)."):
-        each = each.select(*keys, F.explode(_pieces(F.col("_unit"), pattern)).alias("_unit"))
+    for pattern, long in ((_WORD, LONG), ("(?s).", LONG_RUN)):
+        each = each.select(*keys, F.explode(_pieces(F.col("_unit"), pattern, long)).alias("_unit"))
     return each
 
 

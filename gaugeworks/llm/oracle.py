@@ -76,9 +76,9 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 _DENSE = " || ".join(f"printf('%010x', coalesce(sum(CASE WHEN TAG = tag THEN ('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT END), 0)::BIGINT & 1099511627775)" for k in range(6))
 
 
-def _cut(unit: str, parts: str) -> str:
+def _cut(unit: str, parts: str, long: int) -> str:
     marked = f"array_to_string(list_transform({parts}, lambda w: CASE WHEN substr(md5(w), 1, 1) IN ('0', '8') THEN w || chr(10) ELSE w END), '')"
-    return f"unnest(CASE WHEN length({unit}) > 200 THEN string_split({marked}, chr(10)) ELSE [{unit}] END)"
+    return f"unnest(CASE WHEN length({unit}) > {long} THEN string_split({marked}, chr(10)) ELSE [{unit}] END)"
 
 
 def _near(k: int) -> str:
@@ -95,8 +95,8 @@ x AS (SELECT doc_id, n, t, substr(t, 1, n - q) || substr(nt, 1, q) AS et, nt FRO
 texts AS (SELECT doc_id, 0 AS tag, t FROM x UNION ALL SELECT doc_id, 1 AS tag, et FROM x UNION ALL SELECT doc_id, 2 AS tag, nt FROM x),
 -- a sentence's end goes with what stands before the cut
 lines AS (SELECT doc_id, tag, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '([.!?]) +', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g'), '\n+')) AS u FROM texts),
-pieces AS (SELECT doc_id, tag, {_cut("u", f"regexp_extract_all(u, '{_WORD}')")} AS u FROM lines),
-units AS (SELECT doc_id, tag, {_cut("u", "regexp_extract_all(u, '(?s).')")} AS u FROM pieces),
+pieces AS (SELECT doc_id, tag, {_cut("u", f"regexp_extract_all(u, '{_WORD}')", 200)} AS u FROM lines),
+units AS (SELECT doc_id, tag, {_cut("u", "regexp_extract_all(u, '(?s).')", 1000)} AS u FROM pieces),
 hashed AS (SELECT doc_id, tag, h, substr(h, 1, 5) AS lane, ('0x' || substr(h, 11, 10))::BIGINT & 4294967295 AS v FROM (SELECT doc_id, tag, sha256(u) AS h FROM units WHERE u <> '')),
 f AS (SELECT doc_id, {_DENSE.replace("TAG", "0")} AS fp, {_DENSE.replace("TAG", "1")} AS efp FROM hashed GROUP BY doc_id),
 lanes AS (SELECT doc_id, lane, {_COUNTS} FROM hashed GROUP BY doc_id, lane),
