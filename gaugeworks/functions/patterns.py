@@ -28,7 +28,12 @@ class PatternDef:
 
     @property
     def java(self) -> str:
-        """The pattern for Java: digits and blanks of any script, the end of text rather than of the last line."""
+        """The pattern for Java: digits and blanks of any script, the end of text rather than of the last line.
+
+        Paths have a form of their own, as Java walks repeated groups by recursion, which long texts exhaust.
+        """
+        if self.name in PATHS:
+            return PATHS[self.name]
         out, inside, k = [], False, 0
         while k < len(self.regex):
             ch = self.regex[k]
@@ -44,6 +49,12 @@ class PatternDef:
         return "".join(out)
 
 
+#: The same paths without a repeated group: no empty part between two separators.
+PATHS = {
+    "File Path (Unix)": r"(?s)\A/[^/\x00](?!.*//)[^\x00]*\z",
+    "File Path (Windows)": r"""\A[A-Z]:\\(?!\\)(?!.*\\\\)[^/:*?"<>|\r\n]*\z""",
+}
+
 # fixed values: names, patterns, categories, specificities, thresholds in percent, locales
 CATALOGUE: tuple[PatternDef, ...] = (
     PatternDef("Email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "contact", 80, 3.0),
@@ -125,12 +136,12 @@ def match_mask(t: Column) -> Column:
                 mask = mask.bitwiseOR(F.coalesce(hit, F.lit(0)).cast("long"))
         return mask
 
-    # of long texts none but paths and addresses match
+    # no pattern has a blank right after letters: most prose is settled by its first word
     return (
         F.when(t.rlike(r"\A-?[0-9]+\.[0-9]+\z"), bits(DECIMAL_PATTERNS))
         .when(t.rlike(r"\A-?[0-9]+\z"), bits(DIGIT_PATTERNS))
-        .when((F.length(t) <= 4096) | t.rlike(r"\A(?:/|https?://|ftps?://)"), bits())
-        .otherwise(F.lit(0).cast("long"))
+        .when(t.rlike(r"\A[A-Za-z]+[,.]? "), F.lit(0).cast("long"))
+        .otherwise(bits())
     )
 
 

@@ -36,8 +36,17 @@ DATE_FORMATS = {
     "DD-MM-YYYY": r"\p{Nd}{2}-\p{Nd}{2}-\p{Nd}{4}",
     "YYYY/MM/DD": r"\p{Nd}{4}/\p{Nd}{2}/\p{Nd}{2}",
 }
-#: Signs of text that was decoded wrongly.
-ARTIFACTS = ("\u00c3\u00a1", "\u00c3\u00a9", "\u00c3\u00ad", "\u00c3\u00b3", "\u00c3\u00ba", "\u00c3\u00b1", "\u00c3\u00a7")
+# fixed values: signs of text that was decoded wrongly (the third has a soft hyphen)
+ARTIFACTS = ("Ã¡", "Ã©", "Ã\u00ad", "Ã³", "Ãº", "Ã±", "Ã§")
+# fixed values: the date shapes that a stream's text is judged by, as it stands; the last is a beginning
+LIKE_DATES = (
+    r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}\z",
+    r"\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{4}\z",
+    r"\p{Nd}{2}-\p{Nd}{2}-\p{Nd}{4}\z",
+    r"\p{Nd}{4}/\p{Nd}{2}/\p{Nd}{2}\z",
+    r"\p{Nd}{2}\.\p{Nd}{2}\.\p{Nd}{4}\z",
+    r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:",
+)
 
 #: How a text that is a date as it stands begins: year or day first, equal separators.
 RAW_DATE = r"\A(?:[0-9]{4}([-/.])..\1|[0-9]{2}([-/.])..\2[0-9]{4})(?s:.*)\z"
@@ -85,6 +94,11 @@ def is_inferred_date(c: Column) -> Column:
     return F.coalesce(c.rlike(one_of(*INFERRED_DATES)), F.lit(False))
 
 
+def looks_like_date(c: Column) -> Column:
+    """Whether a text, untrimmed, has a date's shape or begins as a date with a time."""
+    return F.coalesce(c.rlike(rf"\A(?:{'|'.join(LIKE_DATES)})"), F.lit(False))
+
+
 def is_valid_date(c: Column) -> Column:
     return F.coalesce(c.rlike(one_of(*VALID_DATES)), F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,36 @@ def moments(x: Column) -> dict[str, Column]:
     }
 
 
+def plain_moments(x: Column) -> dict[str, Column]:
+    """What of :func:`moments` is cheap: count, range and mean."""
+    return {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x)}
+
+
+def power_sums(x: Column, about: float) -> dict[str, Column]:
+    """Sums of the first four powers of the distance from a value near the mean."""
+    d = x - F.lit(float(about))
+    return {"s1": F.sum(d), "s2": F.sum(d * d), "s3": F.sum(d * d * d), "s4": F.sum(d * d * d * d)}
+
+
+def moments_of(n: int, mean: float | None, s1: float, s2: float, s3: float, s4: float) -> dict[str, float | None]:
+    """The rest of :func:`moments` from power sums."""
+    out: dict[str, float | None] = dict.fromkeys(("std_dev", "variance", "coefficient_of_variation", "skewness", "kurtosis"))
+    if not n:
+        return out
+    d = s1 / n
+    m2 = max(0.0, s2 - n * d * d)
+    m3, m4 = s3 - 3 * d * s2 + 2 * n * d**3, s4 - 4 * d * s3 + 6 * d * d * s2 - 3 * n * d**4
+    variance = m2 / (n - 1) if n > 1 else 0.0
+    sd = math.sqrt(variance)
+    out |= {"std_dev": sd, "variance": variance}
+    if abs(mean) >= 0.001:
+        out["coefficient_of_variation"] = sd / abs(mean) * 100
+    if sd >= 1e-10:
+        out["skewness"] = m3 / n / sd**3 if n >= 3 else None
+        out["kurtosis"] = m4 / n / variance**2 - 3 if n >= 4 else None
+    return out
+
+
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     found = [f for f in chosen(df, columns) if columns is not None or f.kind in ("Integer", "Float")]
     return _per_column(df, found, lambda f: moments(f.number))
@@ -122,17 +154,35 @@ def date_distribution(df: DataFrame, column: str) -> DataFrame:
     f = chosen(df, [column])[0]
     timed = F.lit(True) if f.kind == "Date" and dict(df.dtypes)[column] != "date" else P.has_clock(f.text)
     at = df.where(f.moment.isNotNull()).select(f.moment.alias("m"), timed.alias("timed"))
-    parts = F.array(
+    parts = _date_parts()
+    # as many groups as years, months, days and hours: few, so they are counted before the parts are told apart
+    counted = at.groupBy(F.date_trunc("hour", "m").alias("m"), "timed").agg(F.count(F.lit(1)).alias("n"))
+    return _by_part(counted, parts)
+
+
+def _date_parts() -> Column:
+    """Year, month, day of the week and hour of ``m``, the hour if it is ``timed``."""
+    return F.array(
         F.struct(F.lit("year").alias("part"), F.year("m").cast("string").alias("key")),
         F.struct(F.lit("month").alias("part"), F.month("m").cast("string").alias("key")),
         F.struct(F.lit("weekday").alias("part"), F.date_format("m", "EEEE").alias("key")),
         F.struct(F.lit("hour").alias("part"), F.when(F.col("timed"), F.hour("m")).cast("string").alias("key")),
     )
-    # as many groups as years, months, days and hours: few, so they are counted before the parts are told apart
-    counted = at.groupBy(F.date_trunc("hour", "m").alias("m"), "timed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_part(counted: DataFrame, parts: Column) -> DataFrame:
     return counted.select(F.explode(parts).alias("p"), "n").where("p.key is not null").groupBy(F.col("p.part").alias("part"), F.col("p.key").alias("key")).agg(F.sum("n").alias("n"))
 
 
+def counted_date_distribution(counts: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """:func:`date_distribution` from counted values."""
+    f = chosen(df, [column])[0]
+    mine, timed = counts.where(F.col("column") == column), F.lit(True) if f.kind == "Date" and dict(df.dtypes)[column] != "date" else P.has_clock(F.col("value")) if f.kind is None else F.lit(False)
+    moment = F.col("value").try_cast("timestamp") if f.kind == "Date" else P.moment(F.col("value"))
+    at = mine.select(moment.alias("m"), timed.alias("timed"), "n").where("m is not null")
+    return _by_part(at, _date_parts())
+
+
 def lexical_counts(t: Column) -> dict[str, Column]:
     """Counts of a text's cells by what they say; the four classes share out all cells that aren't null-like."""
     c, ok = P.trimmed(t), ~P.is_null_like(t)
@@ -201,3 +251,30 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     row = F.concat_ws("\x1e", *[F.concat(F.length(F.coalesce(k, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(k, F.lit(""))) for k in keys])
     by = df.select(F.xxhash64(*keys).alias("a"), F.xxhash64(F.lit("row"), row).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return by.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+
+
+def _sketched(df: DataFrame, columns: list[str], k: int, of) -> dict[str, list]:
+    """The ``k`` most frequent items of an expression of each column by a sketch that keeps ``TRACKED`` of them: (item, count)."""
+    found = chosen(df, columns)
+    if not found:
+        return {}
+    wide = df.select(*[of(f).alias(f"c{i}") for i, f in enumerate(found)])
+    row = wide.agg(*[F.expr(f"approx_top_k(c{i}, {k}, {TRACKED})").alias(f"c{i}") for i in range(len(found))]).first()
+    return {f.name: [(x["item"], x["count"]) for x in row[f"c{i}"] or [] if x["item"] is not None] for i, f in enumerate(found)}
+
+
+#: Items that a sketch of frequent ones keeps; bytes of texts that are items.
+TRACKED, ITEM_BYTES = 10_000, 256
+
+
+def sketched_modes(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The most frequent number of each column, to ten decimals, by a sketch; None if none repeats."""
+    found = _sketched(df, columns, 1, lambda f: F.round(f.number, 10))
+    return {n: x[0][0] if x and x[0][1] > 1 else None for n, x in found.items()}
+
+
+def sketched_tops(df: DataFrame, columns: list[str], k: int) -> dict[str, list[dict]]:
+    """The most frequent texts of each column by a sketch, with estimated counts; texts of over ``ITEM_BYTES`` bytes aren't told."""
+    total = one_row(df, {f.name: count_if(~null_cell(f)) for f in chosen(df, columns)})
+    found = _sketched(df, columns, k, lambda f: F.when(~null_cell(f) & (F.octet_length(f.text) <= ITEM_BYTES), f.text))
+    return {n: [{"value": v, "count": c, "percentage": c / total[n] * 100} for v, c in sorted(x, key=lambda y: (-y[1], y[0]))] for n, x in found.items() if x}

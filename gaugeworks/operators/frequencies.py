@@ -4,26 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions import patterns as R
 from gaugeworks.functions import predicates as P
 from gaugeworks.operators.aggregates import chosen, inferred, null_cell
 from gaugeworks.operators.fields import plain_double
 
-#: Bytes from which a text is counted by its digest and beginning rather than whole.
-LONG_TEXT = 256
+#: Bytes from which a text is counted by its digest rather than whole, and signs of it that are kept beside.
+LONG_TEXT, HEAD = 256, 64
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None, whole: bool = True) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None, whole: bool = True, judged: list[str] | None = None) -> DataFrame:
     """``column``, ``value`` (text), ``n`` for all values that aren't null-like: one shuffle for all columns.
 
-    With ``whole`` false long texts stand for themselves by digest: enough to count them, and little to shuffle.
+    With ``whole`` false there is ``digest`` as well: null for a value that stands for itself, the SHA-256 of a long one, of which
+    ``value`` is the beginning alone. With ``judged``, the columns that may have long values, no other column is asked for
+    them, and a long value's ``facts`` and pattern ``mask`` are found where it is.
     """
     found = chosen(df, columns)
-    text = lambda f: (f.text if whole else f.key) if f.key is not None else f.text if whole else F.when(F.octet_length(f.text) >= LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(f.text, 256))).otherwise(f.text)
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~null_cell(f), text(f)).alias("value")) for f in found])
+    if whole:
+        text = lambda f: f.text if f.key is None else f.key
+        cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~null_cell(f), text(f)).alias("value")) for f in found])
+        return _counted(df, cells, ["column", "value"])
+
+    def cell(f):
+        key = f.text if f.key is None else f.key
+        name, none = F.lit(f.name).alias("column"), F.lit(None)
+        if f.key is not None or judged is not None and f.name not in judged:
+            extra = [none.cast(_FACTS).alias("facts"), none.cast("long").alias("mask")] if judged else []
+            return F.struct(name, F.when(~null_cell(f), key).alias("value"), none.cast("string").alias("digest"), *extra)
+        long = _is_long(f.text)
+        value = F.when(~null_cell(f), F.when(long, F.substring(key, 1, HEAD)).otherwise(key)).alias("value")
+        extra = [F.when(long, _facts(f.text)).cast(_FACTS).alias("facts"), F.when(long, R.match_mask(P.trimmed(f.text))).alias("mask")] if judged else []
+        return F.struct(name, value, F.when(long, F.sha2(key, 256)).alias("digest"), *extra)
+
+    return _counted(df, F.array(*[cell(f) for f in found]), ["column", "value", "digest", *(["facts", "mask"] if judged else [])])
+
+
+def _counted(df: DataFrame, cells, names: list[str]) -> DataFrame:
     each = df.select(F.explode(cells).alias("c")).where("c.value is not null")
-    return each.groupBy(F.col("c.column").alias("column"), F.col("c.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*[F.col(f"c.{n}").alias(n) for n in names]).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FACTS = "struct<integer:boolean,float:boolean,date:boolean,any_date:boolean,day:date,raw:boolean,scale:int>"
+
+
+def _is_long(text):
+    return F.octet_length(P.trimmed(text)) >= LONG_TEXT
+
+
+def _facts(raw):
+    """What a text says, each question asked once."""
+    t = P.trimmed(raw)
+    return F.struct(
+        P.is_integer(t).alias("integer"), P.is_float(t).alias("float"), P.is_inferred_date(t).alias("date"), P.is_date(t).alias("any_date"),
+        F.to_date(P.moment(t)).alias("day"), ((F.octet_length(raw) >= 10) & (raw == t) & raw.rlike(P.RAW_DATE)).alias("raw"), P.decimal_scale(t).alias("scale"),
+    )
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -37,20 +74,17 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def value_facts(counts: DataFrame) -> DataFrame:
     """What the counted values of each column say: distinct values, lexical counts, booleans, dates with their range.
 
-    Values are judged once each, however often they occur. Texts that stand for themselves by digest are text.
+    Values are judged once each, however often they occur.
     """
     return _summed(_judged(counts)).withColumnRenamed("rows", "distinct")
 
 
 def _judged(cells: DataFrame) -> DataFrame:
-    """``column``, ``n`` and what each ``value`` says, each question asked once."""
-    t, raw = F.col("t"), F.col("value")
-    trimmed = cells.select("column", "n", "value", P.trimmed(raw).alias("t")).withColumn("low", F.lower("t"))
-    asked = trimmed.select(
-        "column", "n", "low", P.is_integer(t).alias("integer"), P.is_float(t).alias("float"), P.is_inferred_date(t).alias("date"), P.is_date(t).alias("any_date"),
-        F.to_date(P.moment(t)).alias("day"), ((F.octet_length(raw) >= 10) & (raw == t) & raw.rlike(P.RAW_DATE)).alias("raw"),
-    )
-    boolean = F.col("low").isin(*P.BOOLEAN_TOKENS)
+    """``column``, ``n`` and what each ``value`` says. Long values may come with what they say as ``facts``."""
+    short = cells.select("column", "n", P.trimmed(F.col("value")).alias("t"), "value", "facts") if "facts" in cells.columns else cells.select("column", "n", P.trimmed(F.col("value")).alias("t"), "value", F.lit(None).alias("facts"))
+    asked = short.select("column", "n", F.when(F.col("facts").isNull(), F.lower("t")).alias("low"), F.coalesce(F.col("facts"), _facts(F.col("value"))).alias("f") if "facts" in cells.columns else _facts(F.col("value")).alias("f"))
+    asked = asked.select("column", "n", "low", *[f"f.{x}" for x in ("integer", "float", "date", "any_date", "day", "raw")])
+    boolean = F.coalesce(F.col("low").isin(*P.BOOLEAN_TOKENS), F.lit(False))
     kind = F.when(F.col("low").isin(*P.NULL_TOKENS), None).when(F.col("float"), "Numeric").when(F.col("any_date"), "Date").when(boolean, "Boolean").otherwise("Text")
     return asked.select("column", "n", "low", "integer", "float", boolean.alias("boolean"), "date", "day", kind.alias("class"), (F.col("raw") & F.col("day").isNotNull()).alias("parses"))
 
@@ -79,11 +113,66 @@ def lexical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return made.withColumn("data_type", kind).withColumn("dominant", dominant).withColumn("dominant_share", F.when(F.col("non_null") > 0, most / F.col("non_null")))
 
 
+def cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``value`` and ``n`` = 1 for each cell that isn't null-like: what counted values are, without a shuffle."""
+    found = chosen(df, columns)
+    each = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~null_cell(f), f.text).alias("value")) for f in found])
+    return df.select(F.explode(each).alias("c")).where("c.value is not null").select("c.column", "c.value", F.lit(1).cast("long").alias("n"))
+
+
+def _double_scale(x):
+    """The decimals of a double's plain text."""
+    return F.length(F.rtrim(F.substring_index(x.try_cast("decimal(38,15)").cast("string"), ".", -1), F.lit("0")))
+
+
+def cell_scales(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``scale``, ``n`` as :func:`counted_scales` gives them, each cell judged where it is."""
+
+    def scale(f):
+        if isinstance(df.schema[f.name].dataType, (T.FloatType, T.DoubleType)):
+            x = F.col(f"`{f.name}`").cast("double")
+            return F.when(F.abs(x) < 1e22, _double_scale(x)).when(F.abs(x) < float("inf"), P.decimal_scale(f.text))
+        return P.decimal_scale(P.trimmed(f.text))
+
+    each = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~null_cell(f), scale(f)).alias("scale")) for f in chosen(df, columns)])
+    return df.select(F.explode(each).alias("c")).select("c.column", "c.scale").where("scale is not null").groupBy("column", "scale").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cell_masks(df: DataFrame) -> DataFrame:
+    """Counts of pattern masks, each cell matched where it is. Numbers that no pattern can match, by size or decimals, aren't spelled out."""
+
+    def text(f):
+        kind, c = df.schema[f.name].dataType, F.col(f"`{f.name}`")
+        if f.kind == "Integer" and f.key is not None:
+            return F.when(F.abs(c.cast("double")) >= 10_000, f.text)  # digits match from five on
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            # with a dot there are a telephone's four, seven or ten last digits
+            whole = c == F.floor(c)
+            return F.when((whole & (F.abs(c) >= 10_000)) | (~whole & (_double_scale(c.cast("double")) >= 4)), f.text)
+        return P.trimmed(f.text)
+
+    each = F.array(*[F.struct(F.lit(f.name).alias("column"), null_cell(f).alias("none"), text(f).alias("t")) for f in chosen(df, None)])
+    rows = df.select(F.explode(each).alias("c")).where("not c.none").select("c.column", F.when(F.col("c.t").isNull(), F.lit(0).cast("long")).otherwise(R.match_mask(F.col("c.t"))).alias("mask"))
+    return rows.groupBy("column", "mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_modes(counts: DataFrame, columns: list[str], typed: list[str]) -> DataFrame:
+    """:func:`modes` from counted values; those of ``typed`` columns are numbers' own texts."""
+    plain = F.col("value").try_cast("double")
+    x = F.round(F.when(F.col("column").isin(typed), plain).when(F.col("digest").isNull(), P.number(F.col("value"))), 10) if typed else F.round(F.when(F.col("digest").isNull(), P.number(F.col("value"))), 10)
+    by = counts.where(F.col("column").isin(columns)).select("column", x.alias("x"), "n").where("x is not null and abs(x) < double('infinity')")
+    return _best(by.groupBy("column", "x").agg(F.sum("n").alias("n")))
+
+
 def modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The most frequent number, to ten decimals: the smallest of several; null if none repeats."""
     found = [f for f in chosen(df, columns) if columns is not None or f.kind in ("Integer", "Float")]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.round(f.number, 10).alias("x")) for f in found])
     counted = df.select(F.explode(cells).alias("c")).where("c.x is not null").groupBy(F.col("c.column").alias("column"), F.col("c.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return _best(counted)
+
+
+def _best(counted: DataFrame) -> DataFrame:
     best = counted.groupBy("column").agg(F.max(F.struct("n", (-F.col("x")).alias("y"))).alias("m"))
     return best.select("column", F.when(F.col("m.n") > 1, 0 - F.col("m.y")).alias("mode"), F.col("m.n").alias("mode_count"))
 
@@ -94,10 +183,21 @@ def ranked_values(df: DataFrame, columns: list[str] | None = None, k: int = 10,
 
 
 def ranked(counts: DataFrame, k: int = 10, least: bool = False) -> DataFrame:
-    order = [F.col("n").asc() if least else F.col("n").desc(), F.col("value").asc()]
+    """Of values that are counted by digest those with equal beginnings stand in the order of their digests."""
+    by_digest = [F.col("digest").asc_nulls_first()] if "digest" in counts.columns else []
+    order = [F.col("n").asc() if least else F.col("n").desc(), F.col("value").asc(), *by_digest]
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= k)
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return top.join(totals, "column").select("column", "rank", "value", "n", (F.col("n") / F.col("total") * 100).alias("percentage"))
+    return top.join(totals, "column").select("column", "rank", "value", *(["digest"] if by_digest else []), "n", (F.col("n") / F.col("total") * 100).alias("percentage"))
+
+
+def long_values(df: DataFrame, digests: dict[str, set[str]]) -> dict[str, str]:
+    """The values of some digests by column, read again: as many as were asked for."""
+    out: dict[str, str] = {}
+    for f in chosen(df, [*digests]):
+        wanted = df.select(f.text.alias("value")).where(_is_long(F.col("value"))).withColumn("digest", F.sha2("value", 256)).where(F.col("digest").isin(sorted(digests[f.name])))
+        out |= {r["digest"]: r["value"] for r in wanted.groupBy("digest").agg(F.first("value").alias("value")).collect()}
+    return out
 
 
 def pattern_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -122,10 +222,17 @@ def pattern_masks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def counted_masks(counts: DataFrame, floats: list[str]) -> DataFrame:
-    """:func:`pattern_masks` from counted values; ``floats`` are columns of doubles, whose plain text is matched."""
-    value = F.when(F.col("column").isin(floats), plain_double(F.col("value").try_cast("double"))).otherwise(P.trimmed(F.col("value"))) if floats else P.trimmed(F.col("value"))
-    texts = counts.select("column", value.alias("value"), "n").where(~F.col("value").startswith("sha256:"))
-    return texts.select("column", R.match_mask(F.col("value")).alias("mask"), "n").groupBy("column", "mask").agg(F.sum("n").alias("n"))
+    """:func:`pattern_masks` from values that were counted and judged; ``floats`` are columns of doubles, whose plain text is matched."""
+    mask = R.match_mask(F.col("t"))
+    if "mask" in counts.columns:
+        mask = F.when(F.col("digest").isNull(), mask).otherwise(F.col("mask"))
+    return counts.select("column", _plain(floats).alias("t"), *[c for c in ("digest", "mask") if c in counts.columns], "n").select("column", mask.alias("mask"), "n").groupBy("column", "mask").agg(F.sum("n").alias("n"))
+
+
+def _plain(floats: list[str]):
+    """A counted value's text; a double's without an exponent."""
+    value = P.trimmed(F.col("value"))
+    return F.when(F.col("column").isin(floats), plain_double(F.col("value").try_cast("double"))).otherwise(value) if floats else value
 
 
 def decimal_scales(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,9 +241,15 @@ def decimal_scales(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def counted_scales(counts: DataFrame, columns: list[str], floats: list[str]) -> DataFrame:
-    value = F.when(F.col("column").isin(floats), plain_double(F.col("value").try_cast("double"))).otherwise(P.trimmed(F.col("value"))) if floats else P.trimmed(F.col("value"))
-    texts = counts.where(F.col("column").isin(columns)).select("column", value.alias("value"), "n").withColumn("scale", P.decimal_scale(F.col("value")))
-    return texts.where("scale is not null").groupBy("column", "scale").agg(F.sum("n").alias("n"))
+    """``floats`` are columns of doubles, whose decimals are those of their plain text."""
+    value = F.col("value")
+    double, scale = value.try_cast("double"), P.decimal_scale(P.trimmed(value))
+    if "facts" in counts.columns:
+        scale = F.when(F.col("facts").isNull(), scale).otherwise(F.col("facts.scale"))
+    if floats:
+        plain = F.when(F.abs(double) < 1e22, _double_scale(double)).otherwise(P.decimal_scale(value))
+        scale = F.when(F.col("column").isin(floats), plain).otherwise(scale)
+    return counts.where(F.col("column").isin(columns)).select("column", scale.alias("scale"), "n").where("scale is not null").groupBy("column", "scale").agg(F.sum("n").alias("n"))
 
 
 def precision(scales: DataFrame) -> DataFrame:

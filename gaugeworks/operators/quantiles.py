@@ -18,10 +18,13 @@ from gaugeworks.operators.aggregates import one_row
 FEW, CELLS = 20_000, 1024
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict[str, list[float | None]]:
-    """Type 7 quantiles (linear between neighbours) of each expression; None where there is no value."""
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...] = (0.25, 0.5, 0.75), bounds: dict[str, tuple[int, float | None, float | None]] | None = None) -> dict[str, list[float | None]]:
+    """Type 7 quantiles (linear between neighbours) of each expression; None where there is no value.
+
+    ``bounds`` has each one's count, least and greatest value, if they are known.
+    """
     names, exprs = [*columns], [c.cast("double") for c in columns.values()]
-    first = one_row(df, {f"{k}_{w}": f(c) for k, c in enumerate(exprs) for w, f in (("n", F.count), ("a", F.min), ("b", F.max))})
+    first = {f"{k}_{w}": v for k, n in enumerate(names) for w, v in zip("nab", bounds[n], strict=True)} if bounds else one_row(df, {f"{k}_{w}": f(c) for k, c in enumerate(exprs) for w, f in (("n", F.count), ("a", F.min), ("b", F.max))})
     at: dict[tuple[int, int], dict[int, float]] = {}  # by column and rank: what is known of the order
     ranks = {(k, r) for k in range(len(exprs)) if (n := first[f"{k}_n"]) for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
     # places of ranks: column, bounds, values below and inside

@@ -141,16 +141,20 @@ def order_violations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(*[c.alias(n) for n, c in flat.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def beyond(x: Column, quartiles: list[float | None], k: float = 1.5) -> Column:
+    """Whether a number lies more than ``k`` interquartile ranges beyond the quartiles."""
+    if quartiles[0] is None:
+        return F.lit(False)
+    spread = quartiles[-1] - quartiles[0]
+    return (x < quartiles[0] - k * spread) | (x > quartiles[-1] + k * spread)
+
+
 def outliers(df: DataFrame, columns: list[str], quartiles: dict[str, list[float | None]], k: float = 1.5) -> DataFrame:
     """``column``, ``checked``, ``outliers``: numbers beyond ``k`` interquartile ranges from the quartiles. Fewer than four have none."""
     found = chosen(df, columns)
     flat = {}
     for i, f in enumerate(found):
-        q = quartiles[f.name]
-        out = F.lit(False)
-        if q[0] is not None:
-            spread = q[-1] - q[0]
-            out = (f.number < q[0] - k * spread) | (f.number > q[-1] + k * spread)
+        out = beyond(f.number, quartiles[f.name], k)
         flat |= {f"{i}_n": F.count(f.number), f"{i}_o": count_if(out)}
     rows = {f.name: {"checked": F.col(f"{i}_n"), "outliers": F.when(F.col(f"{i}_n") >= 4, F.col(f"{i}_o")).otherwise(0)} for i, f in enumerate(found)}
     return long_rows(rows, df.agg(*[c.alias(n) for n, c in flat.items()]))

@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gaugeworks.errors import SamplingError
 from gaugeworks.operators.aggregates import one_row
 from gaugeworks.operators.fields import fields
 
@@ -33,23 +35,36 @@ class Sampling:
     seed: int = 42
 
 
+#: Keys that are looked at for each range's bound.
+LOOKED_AT = 20
+
+
 def positioned(df: DataFrame, order: list[str], name: str = "_position") -> DataFrame:
-    """``df`` with each row's position from 0 in the order of ``order``, which should tell all rows apart."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = order[0]
-    numeric = dict(df.dtypes)[first] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
-    if not numeric:
-        raise ValueError(f"{first}: positions go by a number or a time first")
-    key = F.col(first).cast("double") if "date" not in dict(df.dtypes)[first] and "time" not in dict(df.dtypes)[first] else F.unix_micros(F.col(first).cast("timestamp")).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []))
-    bucket = F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= key)) if cuts else F.lit(0))
-    ranged = df.withColumn("_range", bucket)
+    """``df`` with each row's position from 0 in the order of ``order``, columns of any sortable type that should tell all rows apart.
+
+    Ranges are cut by all order columns together, at quantiles of some keys that a hash picks.
+    """
+    spark, parts = df.sparkSession, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(order)])
+    keys = df.select(key.alias("k"))
+    share = min(1.0, parts * LOOKED_AT / max(1, keys.count()))
+    some = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else keys
+    found = [r["k"] for r in some.orderBy("k").collect()]  # about LOOKED_AT for each range
+    cuts = [x for k, x in enumerate(dict.fromkeys(found[i * len(found) // parts] for i in range(1, parts))) if found]
+    number = F.lit(0)
+    if cuts:
+        # the bounds are one literal of the plan, written and read as JSON: any bounds will do as long as all rows meet the same
+        table = spark.createDataFrame([(tuple(c),) for c in cuts], T.StructType([T.StructField("k", keys.schema["k"].dataType)]))
+        text = table.agg(F.to_json(F.struct(F.array_sort(F.collect_list("k")).alias("cuts")))).first()[0]
+        bounds = F.from_json(F.lit(text), T.StructType([T.StructField("cuts", T.ArrayType(keys.schema["k"].dataType))]))["cuts"]
+        number = F.size(F.filter(bounds, lambda c: c <= key))
+    ranged = df.withColumn("_range", number)
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row for each range
     before, starts = 0, {}
     for r in sorted(counts):
         starts[r], before = before, before + counts[r]
     start = F.element_at(F.create_map(*[F.lit(x) for s in starts.items() for x in s]), F.col("_range")) if starts else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]))
     return ranged.withColumn(name, (place - 1 + start).cast("long")).drop("_range")
 
 
@@ -120,11 +135,11 @@ def sampled(df: DataFrame, how: Sampling, order: list[str] | None = None) -> Dat
     if how.kind == "multi_stage":
         sizes = [k for k, s in enumerate(how.stages) if s.kind in ("random", "reservoir", "progressive", "stratified")]
         if len(sizes) > 1 or sizes and sizes[0] != len(how.stages) - 1:
-            raise ValueError("of several stages one alone may fix the size, and it has to be the last")
+            raise SamplingError("of several stages one alone may fix the size, and it has to be the last")
         for stage in how.stages:
             df = sampled(df, stage, order)
         return df
-    raise ValueError(f"unknown sampling {how.kind!r}")
+    raise SamplingError(f"unknown sampling {how.kind!r}")
 
 
 def adaptive(rows: int | None, megabytes: float) -> Sampling:
@@ -148,18 +163,24 @@ def database_sampling(query: str, how: str, size: int, rows: int, key: str | Non
     if how == "systematic":
         return f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER () AS rn FROM {inner}) AS numbered WHERE rn % {step} = 1 % {step} LIMIT {size}"
     if key is None:
-        raise ValueError(f"{how}: a column is needed")
+        raise SamplingError(f"{how}: a column is needed")
     if how == "stratified":
         return f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY RANDOM()) AS rn FROM {inner}) AS numbered WHERE rn <= {max(1, size // 10)} LIMIT {size}"
     if how == "temporal":
         return f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {key}) AS rn FROM {inner}) AS numbered WHERE rn % {step} = 1 % {step} LIMIT {size}"
-    raise ValueError(f"unknown sampling {how!r}")
+    raise SamplingError(f"unknown sampling {how!r}")
+
+
+# fixed values: rows from which a sample of each kind stands for its table, and from which none is called small
+REPRESENTATIVE = {"systematic": 1000, "stratified": 1000, "random": 500, "reservoir": 500, "temporal": 2000, "multi_stage": 1500}
+SMALL, LARGE, HUGE = 1000, 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
 class SampleInfo:
     total_rows: int
     sampled_rows: int
+    kind: str = "random"
 
     @property
     def ratio(self) -> float:
@@ -167,5 +188,59 @@ class SampleInfo:
 
     @property
     def margin(self) -> float:
-        """Half the width of the 95 % interval of a share."""
-        return 1.96 * math.sqrt(0.25 / self.sampled_rows) if self.sampled_rows else 1.0
+        """The width that a share's 95 % interval has about: 1.96 by the root of the rows; 1 without rows."""
+        return 1.96 / math.sqrt(self.sampled_rows) if self.sampled_rows else 1.0
+
+    @property
+    def representative(self) -> bool:
+        return self.sampled_rows >= REPRESENTATIVE.get(self.kind, SMALL)
+
+    def warning(self) -> str | None:
+        if not self.representative:
+            return f"{self.sampled_rows} rows are few for a {self.kind} sample"
+        return f"shares are known to {self.margin:.2f} only" if self.margin > 0.1 else None
+
+    def advice(self) -> list[str]:
+        """What would make the sample tell more."""
+        out = []
+        if self.sampled_rows < SMALL:
+            out.append(f"take {SMALL} rows or more")
+        if self.ratio < 0.01 and self.total_rows > LARGE:
+            out.append("sample each stratum of a table as large as this")
+        if self.kind == "random" and self.total_rows > HUGE:
+            out.append("take every n-th row, or a reservoir, of a table as large as this")
+        if self.kind == "temporal" and self.sampled_rows < REPRESENTATIVE["temporal"]:
+            out.append("a sample in time needs more rows to show how it changes")
+        return out
+
+
+def value_reservoirs(df: DataFrame, columns: list[str] | None = None, size: int = 10_000, seed: int = 42) -> DataFrame:
+    """``column`` and ``value``: of each column ``size`` values by chance, repeats included, nulls left out; the same for the same rows.
+
+    Each task keeps its ``size`` least hashes of row and seed, so that what is moved doesn't grow with the rows.
+    """
+    whole = F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"])
+    parts = []
+    for f in fields(df):
+        if columns is None or f.name in columns:
+            cells = df.select(F.lit(f.name).alias("column"), f.text.alias("value"), whole.alias("_hash")).where("value is not null")
+            parts.append(cells.orderBy("_hash", "value").limit(size).drop("_hash"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def shrunk(df: DataFrame, megabytes: float, ratio: float, order: list[str]) -> tuple[DataFrame, bool]:
+    """``df``, and whether it was cut: a table whose texts take more than ``megabytes`` is left with every n-th row, ``ratio`` of them at most."""
+    text = [F.coalesce(F.octet_length(f.text), F.lit(0)) for f in fields(df)]
+    size, rows = df.agg(F.coalesce(F.sum(sum(text[1:], text[0])), F.lit(0)), F.count(F.lit(1))).first()
+    if size // (1 << 20) <= megabytes:
+        return df, False
+    wanted = int(rows * ratio)
+    if not wanted:
+        return df.limit(0), True
+    step = rows // wanted
+    if step <= 1:
+        return df, False
+    return positioned(df, order).where((F.col("_position") % step == 0) & (F.col("_position") < step * wanted)).drop("_position"), True

@@ -1,9 +1,13 @@
 """A profile: one source in, one report out.
 
-The plan is a few jobs. One pass over the rows gives counts, moments, lengths and rule violations in one wide aggregate. A
-second counts distinct values, or their digests where they are long, in one shuffle for all columns; what values say, types,
-dates and patterns, is judged once for each distinct value. A third counts the rows' hashes. Quartiles narrow a bracket instead of sorting. Only what a report asked for is planned, so that the scan
-reads the columns that it needs.
+The plan is two waves of jobs, each of which run side by side. The first has wide aggregates over the rows, counts, moments,
+lengths and rule violations, and the counts of distinct values (of long ones by digest), one shuffle for all columns; what
+values say, types, dates and patterns, is judged once for each distinct value. The second has what hangs on the columns' types:
+quartiles, which narrow a bracket instead of sorting, modes, most frequent values, duplicates by hash, dates. Only what a
+report asked for is planned, so that the scan reads the columns that it needs.
+
+Without ``exact`` nothing that grows with the rows is shuffled: values are judged where they are, and sketches tell distinct
+values, quartiles, modes, most frequent values and duplicate rows; least frequent values aren't told.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ import datetime as dt
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +35,15 @@ from gaugeworks.operators.sampling import Sampling, sampled
 from gaugeworks.plans import quality as qual
 from gaugeworks.plans.report import ColumnProfile, Execution, Report
 from gaugeworks.sources import memory
-from gaugeworks.sources.files import CsvOptions, SourceInfo, read_path
+from gaugeworks.sources.files import CsvOptions, SourceInfo, file_size, read_path
+from gaugeworks.streaming.profile import Stop
 
 PACKS = ("schema", "statistics", "patterns", "quality")
 HINTS = ("positive", "identifier", "temporal")
+ENGINES = ("auto", "exact", "sketched")
+#: Jobs of a report that run side by side.
+PARALLEL = 6
+_PARTITION_BYTES = "spark.sql.files.maxPartitionBytes"
 
 
 @dataclass
@@ -100,91 +111,165 @@ def profile_frame(df: DataFrame, options: Options | None = None, info: SourceInf
         found = fields(df)
     df = sampled(df, options.sampling, options.order)
     truncated = None
+    limited = None
     if options.max_rows is not None:
-        cut = df.limit(options.max_rows + 1)
-        if cut.count() > options.max_rows:
+        # every pass has to see the same rows: they are taken once and kept
+        limited = df.limit(options.max_rows + 1).persist()
+        if limited.count() > options.max_rows:
             truncated = "max_rows"
-        df = df.limit(options.max_rows)
+        df = limited.limit(options.max_rows)
+    elif options.sampling.kind != "none":
+        limited = df = df.persist()
     small = spread(df)
     kept = small.persist() if small is not df else None  # it has fewer parts than there are cores
     df = small
     tell("schema", {"columns": [f.name for f in found]})
-    facts = A.one_row(df, _first_pass(found, options))
-    rows = facts["rows"]
-    tell("first_pass", {"rows": rows})
-    # the counted values serve several questions: they are kept while this report is made
-    counts = Q.value_counts(df, whole=False).persist() if found else None
+    held = [x for x in (kept, limited) if x is not None]
     try:
-        return _with_values(df, found, options, info, facts, counts, truncated, tell)
+        return _assembled(df, found, options, info, truncated, tell, held)
     finally:
-        for held in (counts, kept):
-            if held is not None:
-                held.unpersist()
-
-
-def _with_values(df, found, options, info, facts, counts, truncated, tell) -> Report:
-    rows = facts["rows"]
+        for x in held:
+            x.unpersist()
+
+
+def _together(tasks: dict[str, Callable]) -> dict:
+    """The results of jobs that don't hang on one another, a few at a time: while one is planned, another runs."""
+    if len(tasks) < 2:
+        return {name: task() for name, task in tasks.items()}
+    target = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        begun = {name: pool.submit(target(task)) for name, task in tasks.items()}
+        return {name: f.result() for name, f in begun.items()}
+
+
+def _parts(df: DataFrame, wanted: dict, size: int = A.MOST_EXPRESSIONS) -> dict[str, Callable]:
+    """Jobs for many aggregates of one row, a few dozen each."""
+    names = [*wanted]
+    return {f"part {at}": lambda at=at: A.one_row(df, {n: wanted[n] for n in names[at : at + size]}) for at in range(0, len(names), size)}
+
+
+def _all_rows(df: DataFrame, wanted: dict) -> dict:
+    return {k: v for part in _together(_parts(df, wanted)).values() for k, v in part.items()}
+
+
+def _assembled(df, found, o: Options, info, truncated, tell, held: list) -> Report:
+    """Two waves of jobs: what rows and values say, then what follows from the columns' types."""
+    told = [f.name for f in found if f.kind in (None, "Boolean")]
+    counts, first = None, _parts(df, _first_pass(found, o))
+    if o.exact and found:
+        # the counted values serve several questions: they are kept while this report is made
+        sizes = A.one_row(df, {f.name: F.max(F.octet_length(f.text)) for f in found if f.kind in (None, "String")})
+        counts = Q.value_counts(df, whole=False, judged=[n for n, size in sizes.items() if (size or 0) >= Q.LONG_TEXT]).persist()
+        held.append(counts)
+
+    def of_values() -> tuple[dict, list]:
+        by_column = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count")) if counts is not None else A.sketched_distinct(df) if found else None
+        distinct = {f.name: 0 for f in found} | ({r["column"]: r["distinct_count"] for r in by_column.collect()} if by_column is not None and (counts is not None or o.statistics or o.assesses("uniqueness")) else {})
+        if not told:
+            return distinct, []
+        values = counts.where(F.col("column").isin(told)) if counts is not None else Q.cells(df, told)
+        return distinct, Q.value_facts(values).collect()
+
+    got = _together({"values": of_values, **first})
+    distinct, said = got.pop("values")
+    facts = {k: v for part in got.values() for k, v in part.items()}
+    tell("first_pass", {"rows": facts["rows"]})
     by_name = {f.name: k for k, f in enumerate(found)}
-    told = {r["column"]: r.asDict() for r in Q.value_facts(counts.where(F.col("column").isin([f.name for f in found if f.kind in (None, "Boolean")]))).collect()} if any(f.kind in (None, "Boolean") for f in found) else {}
-    for f in found:
-        if f.kind in (None, "Boolean"):
-            empty = {c: 0 for c in ("non_null", "integers", "floats", "booleans", "dates", "class_numeric", "class_date", "class_boolean", "class_text", "true", "false", "parsed_dates", "distinct")} | {"first": None, "last": None}
-            facts |= {f"{by_name[f.name]}_{c}": v for c, v in {**empty, **told.get(f.name, {})}.items() if c != "column"}
+    said = {r["column"]: r.asDict() for r in said}
+    nothing = {c: 0 for c in ("non_null", "integers", "floats", "booleans", "dates", "class_numeric", "class_date", "class_boolean", "class_text", "true", "false", "parsed_dates", "distinct")} | {"first": None, "last": None}
+    for name in told:
+        facts |= {f"{by_name[name]}_{c}": v for c, v in {**nothing, **said.get(name, {})}.items() if c != "column"}
     kinds = {f.name: f.kind or _kind(facts, k) for k, f in enumerate(found)}
-    for name, hint in options.hints.items():
+    for name, hint in o.hints.items():
         if hint == "identifier":
             kinds[name] = "Identifier"
+    return _reported(df, found, o, info, facts, kinds, counts, distinct, truncated, tell)
+
+
+def _reported(df, found, o: Options, info, facts, kinds, counts, distinct, truncated, tell) -> Report:
+    rows, numeric, by_name = facts["rows"], [f for f in found if kinds[f.name] in ("Integer", "Float")], {f.name: k for k, f in enumerate(found)}
+    names, doubles, floats = [f.name for f in numeric], [f.name for f in found if f.kind == "Float"], [f.name for f in numeric if kinds[f.name] == "Float"]
     # numbers that are written as text
     texts = {k: f for k, f in enumerate(found) if f.kind is None and facts[f"{k}_floats"]}
     facts |= {f"{k}_{n}": None for k, f in enumerate(found) if f.kind is None for n in A.moments(f.number)} | {f"{k}_n": 0 for k, f in enumerate(found) if f.kind is None}
-    if texts:
-        facts |= A.one_row(df, {f"{k}_{n}": c for k, f in texts.items() for n, c in A.moments(f.number).items()})
-    numeric = [f for f in found if kinds[f.name] in ("Integer", "Float")]
-    quartiles = {f.name: [None] * 3 for f in numeric}
-    if numeric and (options.statistics or options.assesses("accuracy")):
-        if options.exact:
-            quartiles = exact_quantiles(df, {f.name: f.number for f in numeric})
+
+    def of_numbers() -> tuple[dict, dict, dict]:
+        if o.exact:
+            bounds = {f.name: tuple(facts[f"{by_name[f.name]}_{w}"] for w in ("n", "min", "max")) for f in numeric} if not texts else None
+            quartiles = exact_quantiles(df, {f.name: f.number for f in numeric}, bounds=bounds)
         else:
             got = A.one_row(df, {f"q{k}": F.percentile_approx(f.number, [0.25, 0.5, 0.75], 10_000) for k, f in enumerate(numeric)})
             quartiles = {f.name: got[f"q{k}"] or [None] * 3 for k, f in enumerate(numeric)}
-    distinct, modes, tops, bottoms, masks, scales, duplicates, outlying, calendar = {}, {}, {}, {}, {}, {}, None, {}, {}
-    if options.statistics or options.assesses("uniqueness"):
-        counted = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count")) if options.exact else A.sketched_distinct(df)
-        distinct = {f.name: 0 for f in found} | {r["column"]: r["distinct_count"] for r in counted.collect()}
-    if options.statistics:
+        # with the median at hand the higher moments are sums about it
+        wanted = {f"{by_name[f.name]}_{w}": c for f in numeric if f.kind and o.statistics and quartiles[f.name][1] is not None for w, c in A.power_sums(f.number, quartiles[f.name][1]).items()}
+        beyond = {f"{by_name[f.name]}_beyond": A.count_if(rules.beyond(f.number, quartiles[f.name], o.thresholds.outlier_factor)) for f in numeric if quartiles[f.name][0] is not None}
+        return quartiles, beyond and A.one_row(df, beyond), wanted and A.one_row(df, wanted)
+
+    def of_texts() -> tuple[dict, dict]:
+        return _frequent(df, counts, [f.name for f in found if kinds[f.name] in ("String", "Identifier")], o)
+
+    def of_patterns() -> dict:
+        out: dict = {}
+        masks = Q.counted_masks(counts, doubles) if counts is not None else Q.cell_masks(df)
+        for r in masks.collect():
+            out.setdefault(r["column"], {})[r["mask"]] = r["n"]
+        return out
+
+    def of_scales() -> dict:
+        values = Q.counted_scales(counts, floats, doubles) if counts is not None else Q.cell_scales(df, floats)
+        return {r["column"]: r for r in Q.precision(values).collect()}
+
+    def of_rows() -> int:
+        if o.exact:
+            return A.duplicate_rows(df).first()["duplicate_rows"]
+        hashed = F.xxhash64(*[f.text for f in found])
+        return max(0, rows - min(rows, df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(14)))).first()[0] or 0)) if rows else 0
+
+    def of_dates(name: str) -> dict:
+        out: dict = {}
+        for r in (A.counted_date_distribution(counts, df, name) if counts is not None else A.date_distribution(df, name)).collect():
+            out.setdefault(r["part"], {})[r["key"]] = r["n"]
+        return out
+
+    def of_modes() -> dict:
+        if counts is not None:
+            return {r["column"]: r["mode"] for r in Q.counted_modes(counts, names, [f.name for f in numeric if f.kind]).collect()}
+        return A.sketched_modes(df, names)
+
+    tasks: dict[str, Callable] = {}
+    if texts:
+        tasks["written numbers"] = lambda: _all_rows(df, {f"{k}_{n}": c for k, f in texts.items() for n, c in A.moments(f.number).items()})
+    if numeric and (o.statistics or o.assesses("accuracy")):
+        tasks["numbers"] = of_numbers
+    if o.statistics:
+        tasks["texts"] = of_texts
         if numeric:
-            modes = {r["column"]: r["mode"] for r in Q.modes(df, [f.name for f in numeric]).collect()}
-        texts = [f.name for f in found if kinds[f.name] in ("String", "Identifier")]
-        if texts:
-            some = counts.where(F.col("column").isin(texts))
-            for least, into in ((False, tops), (True, bottoms)):
-                for r in Q.ranked(some, options.top, least).orderBy("column", "rank").collect():
-                    into.setdefault(r["column"], []).append({"value": r["value"], "count": r["n"], "percentage": r["percentage"]})
-        for f in found:
-            if kinds[f.name] == "Date" and rows:
-                calendar[f.name] = {}
-                for r in A.date_distribution(df, f.name).collect():
-                    calendar[f.name].setdefault(r["part"], {})[r["key"]] = r["n"]
-    if numeric and (options.statistics or options.assesses("accuracy")):
-        outlying = {r["column"]: r["outliers"] for r in rules.outliers(df, [f.name for f in numeric], quartiles, options.thresholds.outlier_factor).collect()}
-    doubles = [f.name for f in found if f.kind == "Float"]
-    if options.patterns:
-        for r in Q.counted_masks(counts, doubles).collect():
-            masks.setdefault(r["column"], {})[r["mask"]] = r["n"]
-        wide = [f.name for k, f in enumerate(found) if f.kind in (None, "String") and (facts[f"{k}_max_length"] or 0) >= Q.LONG_TEXT]
-        if wide:  # long texts were counted by digest
-            masks |= {n: {} for n in wide}
-            for r in Q.pattern_masks(df, wide).collect():
-                masks[r["column"]][r["mask"]] = r["n"]
-    floats = [f.name for f in numeric if kinds[f.name] == "Float"]
-    if floats and options.assesses("precision"):
-        scales = {r["column"]: r for r in Q.precision(Q.counted_scales(counts, floats, doubles)).collect()}
-    if options.assesses("uniqueness") and found:
-        duplicates = A.duplicate_rows(df).first()["duplicate_rows"]
+            tasks["modes"] = of_modes
+        tasks |= {f"dates {f.name}": lambda name=f.name: of_dates(name) for f in found if kinds[f.name] == "Date" and rows}
+    if o.patterns and found:
+        tasks["patterns"] = of_patterns
+    if floats and o.assesses("precision"):
+        tasks["scales"] = of_scales
+    if o.assesses("uniqueness") and found:
+        tasks["rows"] = of_rows
+    if "quality" in o.packs:
+        tasks |= _rule_tasks(df, found, kinds, o)
+    if o.hints:
+        tasks["hints"] = lambda: [r.asDict() for r in rules.hint_bindings(df, o.hints).collect()]
+    got = _together(tasks)
+    facts |= got.get("written numbers", {})
+    quartiles, beyond, powers = got.get("numbers", ({f.name: [None] * 3 for f in numeric}, {}, {}))
+    outlying = {f.name: (beyond or {}).get(f"{by_name[f.name]}_beyond", 0) if (facts[f"{by_name[f.name]}_n"] or 0) >= 4 else 0 for f in numeric} if "numbers" in got else {}
+    for f in numeric:
+        if f.kind and o.statistics:
+            k = by_name[f.name]
+            facts |= {f"{k}_{n}": v for n, v in A.moments_of(facts[f"{k}_n"], facts[f"{k}_mean"], *[(powers or {}).get(f"{k}_s{i}") or 0.0 for i in range(1, 5)]).items()}
+    tops, bottoms = got.get("texts", ({}, {}))
+    masks, calendar = got.get("patterns", {}), {f.name: got[f"dates {f.name}"] for f in found if f"dates {f.name}" in got}
     tell("values", {"columns": len(found)})
-    columns = [_column(f, k, facts, kinds[f.name], options, quartiles, distinct, modes, tops, bottoms, masks, outlying, calendar) for k, f in enumerate(found)]
-    quality = _quality(df, found, facts, kinds, options, columns, quartiles, distinct, masks, scales, duplicates, outlying) if "quality" in options.packs and options.dimensions else None
-    bindings = [r.asDict() for r in rules.hint_bindings(df, options.hints).collect()] if options.hints else []
+    columns = [_column(f, k, facts, kinds[f.name], o, quartiles, distinct, got.get("modes", {}), tops, bottoms, masks, outlying, calendar) for k, f in enumerate(found)]
+    quality = _quality(found, facts, kinds, o, columns, distinct, masks, got, outlying, truncated) if "quality" in o.packs and o.dimensions else None
+    bindings = got.get("hints", [])
     for b in bindings:
         if b["checked"] and not b["matched"]:
             raise HintError(f"{b['column']}: no value bears out the hint {b['kind']}")
@@ -193,13 +278,54 @@ def _with_values(df, found, options, info, facts, counts, truncated, tell) -> Re
         timestamp=dt.datetime.now(dt.UTC).isoformat(),
         source={"identifier": info.identifier, "format": info.format, "kind": info.kind, **info.details},
         columns=columns,
-        execution=Execution(rows_processed=rows, columns=len(found), ragged_row_count=info.ragged_rows, error_count=info.error_count, source_exhausted=truncated is None, truncation_reason=truncated, sampling=options.sampling.kind, seconds=0.0),
+        execution=Execution(rows_processed=rows, columns=len(found), ragged_row_count=info.ragged_rows, error_count=info.error_count, source_exhausted=truncated is None, truncation_reason=truncated, sampling=o.sampling.kind, seconds=0.0),
         quality=quality.as_dict() if quality else None,
         dimension_scores=quality.dimension_scores() if quality else None,
         hint_bindings=bindings,
     )
 
 
+def _frequent(df, counts, names: list[str], o: Options) -> tuple[dict, dict]:
+    """The most and the least frequent values of text columns; without counted values the most frequent of a sketch, and no least ones."""
+    tops: dict = {}
+    bottoms: dict = {}
+    if not names:
+        return tops, bottoms
+    if counts is None:
+        return A.sketched_tops(df, names, o.top), bottoms
+    some = counts.where(F.col("column").isin(names))
+    for least, into in ((False, tops), (True, bottoms)):
+        for r in Q.ranked(some, o.top, least).orderBy("column", "rank").collect():
+            into.setdefault(r["column"], []).append({"value": r["value"], "count": r["n"], "percentage": r["percentage"], "digest": r["digest"]})
+    listed = [(n, x) for into in (tops, bottoms) for n, found in into.items() for x in found]
+    long: dict[str, set[str]] = {}
+    for n, x in listed:
+        if x["digest"]:
+            long.setdefault(n, set()).add(x["digest"])
+    whole = Q.long_values(df, long) if long else {}
+    for _, x in listed:
+        x["value"] = whole.get(x.pop("digest"), x["value"])
+    return tops, bottoms
+
+
+def _rule_tasks(df, found, kinds, o: Options) -> dict[str, Callable]:
+    """The jobs that rules on values need, by dimension."""
+    tasks: dict[str, Callable] = {}
+    if o.assesses("accuracy"):
+        if any(rules.range_rules(f.name) for f in found):
+            tasks["ranges"] = lambda: rules.range_violations(df, [f.name for f in found]).collect()
+        if positive := [n for n, h in o.hints.items() if h == "positive"]:
+            tasks["negatives"] = lambda: rules.negatives(df, positive).collect()
+    if o.assesses("timeliness"):
+        dates = [f.name for f in found if kinds[f.name] == "Date" or o.hints.get(f.name) == "temporal"]
+        year = (o.as_of or dt.datetime.now(dt.UTC).date()).year
+        if dates:
+            tasks["timeliness"] = lambda: rules.timeliness(df, dates, year, o.thresholds.stale_years).collect()
+        if pairs := rules.date_pairs(dates):
+            tasks["order"] = lambda: rules.order_violations(df, pairs).collect()
+    return tasks
+
+
 def _first_pass(found: list[Field], o: Options) -> dict:
     """The aggregates of the first pass, by place of the column."""
     out = {"rows": F.count(F.lit(1))}
@@ -209,7 +335,7 @@ def _first_pass(found: list[Field], o: Options) -> dict:
         out[f"{k}_null"] = A.count_if(null)
         complete = ~null if complete is None else complete & ~null
         if f.kind in ("Integer", "Float"):
-            out |= {f"{k}_{n}": c for n, c in A.moments(f.number).items()} if o.statistics or o.assesses("accuracy") else {f"{k}_n": F.count(f.number)}
+            out |= {f"{k}_{n}": c for n, c in A.plain_moments(f.number).items()} if o.statistics or o.assesses("accuracy") else {f"{k}_n": F.count(f.number)}
         if f.kind in (None, "String"):
             size = F.when(~null, F.octet_length(f.text))
             out |= {f"{k}_min_length": F.min(size), f"{k}_max_length": F.max(size), f"{k}_avg_length": F.avg(size)}
@@ -285,9 +411,10 @@ def _column(f, k, facts, kind, o, quartiles, distinct, modes, tops, bottoms, mas
     )
 
 
-def _quality(df, found, facts, kinds, o, columns, quartiles, distinct, masks, scales, duplicates, outlying) -> qual.Quality:
+def _quality(found, facts, kinds, o, columns, distinct, masks, got: dict, outlying, truncated=None) -> qual.Quality:
     t, rows = o.thresholds, facts["rows"]
-    out = qual.Quality(low_sample_warning=rows < qual.LEAST_ROWS, weights=dict(t.weights), exact=o.exact)
+    sketched = {} if o.exact else {"uniqueness": ["key_distinct", "high_cardinality_columns", "duplicate_rows"], "accuracy": ["outliers"]}
+    out = qual.Quality(low_sample_warning=rows < qual.LEAST_ROWS, weights=dict(t.weights), exact=o.exact, sketched=sketched, sampled=o.sampling.kind != "none" or truncated is not None)
     nulls = {f.name: facts[f"{k}_null"] for k, f in enumerate(found)}
     if o.assesses("completeness"):
         out.completeness = qual.Completeness(rows * len(found), sum(nulls.values()), rows, facts["complete"], [n for n, c in nulls.items() if rows and c / rows > t.null_column])
@@ -306,21 +433,16 @@ def _quality(df, found, facts, kinds, o, columns, quartiles, distinct, masks, sc
         keys = [n for n, h in o.hints.items() if h == "identifier"] + [f.name for f in found if rules.likely_id_name(f.name)]
         key = keys[0] if keys else None
         wide = [f.name for f in found if rows and f.name not in keys and distinct.get(f.name, 0) / rows > t.high_cardinality]
-        out.uniqueness = qual.Uniqueness(rows, duplicates, key, distinct.get(key) if key else None, rows if key else None, wide)
+        out.uniqueness = qual.Uniqueness(rows, got.get("rows"), key, distinct.get(key) if key else None, rows if key else None, wide)
     if o.assesses("accuracy"):
         numeric = [c for c in columns if c.data_type in ("Integer", "Float")]
         numbers = {f.name: facts[f"{k}_n"] for k, f in enumerate(found) if f"{k}_n" in facts}
         enough = [c.name for c in numeric if numbers[c.name] >= t.outlier_least]
-        ranges = rules.range_violations(df, [f.name for f in found]).collect() if any(rules.range_rules(f.name) for f in found) else []
-        positive = [n for n, h in o.hints.items() if h == "positive"]
-        below = sum(r["negative"] for r in rules.negatives(df, positive).collect()) if positive else 0
+        ranges, below = got.get("ranges", []), sum(r["negative"] for r in got.get("negatives", []))
         out.accuracy = qual.Accuracy(sum(numbers[n] for n in enough), sum(outlying.get(n, 0) for n in enough), sum(numbers.values()), sum(r["violations"] for r in ranges), below)
     if o.assesses("timeliness"):
-        dates = [f.name for f in found if kinds[f.name] == "Date" or o.hints.get(f.name) == "temporal"]
-        year = (o.as_of or dt.datetime.now(dt.UTC).date()).year
-        got = rules.timeliness(df, dates, year, t.stale_years).collect() if dates else []
-        pairs = rules.order_violations(df, rules.date_pairs(dates)).collect() if rules.date_pairs(dates) else []
-        total = lambda c: sum(r[c] for r in got)
+        pairs = got.get("order", [])
+        total = lambda c: sum(r[c] for r in got.get("timeliness", []))
         out.timeliness = qual.Timeliness(total("checked"), total("valid"), total("invalid"), total("future"), total("stale"), sum(r["checked"] for r in pairs), sum(r["violations"] for r in pairs))
     if o.assesses("validity"):
         strong = []
@@ -331,7 +453,7 @@ def _quality(df, found, facts, kinds, o, columns, quartiles, distinct, masks, sc
                 strong.append((f.name, best[0]["name"], n, min(best[0]["match_count"], n)))
         out.validity = qual.Validity(strong)
     if o.assesses("precision"):
-        out.precision = qual.Precision([(n, r["modal_scale"], r["checked"], r["deviating"]) for n, r in scales.items()])
+        out.precision = qual.Precision([(n, r["modal_scale"], r["checked"], r["deviating"]) for n, r in got.get("scales", {}).items()])
     return out
 
 
@@ -353,6 +475,10 @@ class Profiler:
 
     def __init__(self, spark: SparkSession):
         self._spark, self._settings, self._progress = spark, {}, None
+        self._chunk: int | None = None
+        self._memory: int | None = None
+        self._name: str | None = None
+        self._stop: Stop | None = None
 
     def _set(self, **kw) -> Profiler:
         self._settings |= kw
@@ -402,12 +528,60 @@ class Profiler:
     def format(self, name: str) -> Profiler:
         return self._set(format=name)
 
+    def csv_delimiter(self, sign: str) -> Profiler:
+        return self._csv(delimiter=sign)
+
+    def csv_flexible(self, yes: bool = True) -> Profiler:
+        return self._csv(flexible=yes)
+
+    def _csv(self, **kw) -> Profiler:
+        return self._set(csv=replace(self._settings.get("csv") or CsvOptions(), **kw))
+
+    def engine(self, name: str) -> Profiler:
+        """``auto`` and ``exact`` give exact reports, ``sketched`` one of bounded state."""
+        if name not in ENGINES:
+            raise OptionError(f"{name}: one of {', '.join(ENGINES)} is meant")
+        return self._set(exact=name != "sketched")
+
+    def chunk_size(self, size: int | None) -> Profiler:
+        """Bytes of a file that one task reads; None is the session's own."""
+        self._chunk = size
+        return self
+
+    def memory_limit_mb(self, megabytes: int | None) -> Profiler:
+        """Megabytes that an exact report's counted values may take: a source that is larger is reported by sketches."""
+        self._memory = megabytes
+        return self
+
+    def name(self, text: str) -> Profiler:
+        """The source's name in the report."""
+        self._name = text
+        return self
+
+    def stop(self, condition: Stop) -> Profiler:
+        """When a stream's profile ends; of other sources the rows that the condition lets through are profiled."""
+        self._stop = condition
+        rows = condition.rows()
+        return self if rows is None else self._set(max_rows=rows)
+
     def on_progress(self, tell: Callable[[str, dict], None]) -> Profiler:
         self._progress = tell
         return self
 
     def profile(self, source: object) -> Report:
-        return profile(self._spark, source, self._progress, **self._settings)
+        settings, conf = dict(self._settings), self._spark.conf
+        if self._memory is not None and isinstance(source, str) and file_size(self._spark, source) > self._memory << 20:
+            settings["exact"] = False
+        before = conf.get(_PARTITION_BYTES)
+        if self._chunk is not None:
+            conf.set(_PARTITION_BYTES, str(self._chunk))
+        try:
+            report = profile(self._spark, source, self._progress, **settings)
+        finally:
+            conf.set(_PARTITION_BYTES, before)
+        if self._name is not None:
+            report.source["identifier"] = self._name
+        return report
 
 
 def quick_quality_check(spark: SparkSession, source: object) -> float:

@@ -170,6 +170,13 @@ class Quality:
     low_sample_warning: bool = False
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     exact: bool = True
+    #: The facts that a sketch tells, by dimension; a table that is a sample of another makes all of them sampled.
+    sketched: dict[str, list[str]] = field(default_factory=dict)
+    sampled: bool = False
+
+    def provenance(self) -> dict[str, str]:
+        """How each assessed dimension is known: exact, sketched (in part by sketches), or sampled."""
+        return {d: "sampled" if self.sampled else "sketched" if self.sketched.get(d) else "exact" for d in DIMENSIONS if getattr(self, d) is not None}
 
     def dimension_scores(self) -> dict[str, float | None]:
         return {d: (x.score() if (x := getattr(self, d)) is not None else None) for d in DIMENSIONS}
@@ -184,7 +191,7 @@ class Quality:
             if x is not None:
                 extra = {p: getattr(x, p) for p in ("missing_ratio", "complete_ratio", "type_share", "key_uniqueness", "outlier_ratio", "stale_ratio") if hasattr(x, p)}
                 out[d] = asdict(x) | extra | {"score": x.score()}
-        return out | {"score": self.score(), "low_sample_warning": self.low_sample_warning, "weights": self.weights, "confidence": "exact" if self.exact else "approximate"}
+        return out | {"score": self.score(), "low_sample_warning": self.low_sample_warning, "weights": self.weights, "confidence": "exact" if self.exact else "approximate", "provenance": self.provenance(), "sketched_facts": {d: f for d, f in self.sketched.items() if getattr(self, d) is not None}}
 
 
 def overall(scores: dict[str, float | None], weights: dict[str, float] | None = None) -> float:

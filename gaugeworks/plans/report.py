@@ -222,22 +222,28 @@ class Report:
         return column.patterns is not None and not any(p["category"] in ("contact", "financial", "identifier") for p in column.patterns)
 
     def flags(self, c: ColumnProfile) -> list[str]:
-        """What a reader should know about a column first."""
-        out = []
-        if c.null_percentage >= 50:
-            out.append(f"{c.null_percentage:.0f}% null")
-        elif c.null_percentage >= 5:
-            out.append(f"{c.null_percentage:.1f}% null")
+        """What a reader should know about a column first, the gravest first."""
+        return [text for _, text in self.graded_flags(c)]
+
+    def graded_flags(self, c: ColumnProfile) -> list[tuple[float, str]]:
+        """A column's flags with how grave they are: the share of its cells that they are about, a constant column 60, outliers 50 at most."""
+        out, null = [], c.null_percentage
+        if c.total_count and c.null_count == c.total_count:
+            out.append((100.0, "all null"))
+        elif null >= 50:
+            out.append((null, f"{null:.0f}% null"))
+        elif null >= 5:
+            out.append((null, f"{null:.1f}% null"))
         if c.invalid_count:
-            out.append(f"{c.invalid_count} values don't parse as {c.data_type}")
-        if c.unique_count == 1 and c.total_count > 1:
-            out.append("constant")
-        if c.stats.get("outlier_count"):
-            out.append(f"{c.stats['outlier_count']} outliers")
+            out.append((c.invalid_count / c.total_count * 100, f"{c.invalid_count} values don't parse as {c.data_type}"))
+        if c.unique_count == 1 and c.total_count > 1 and null < 50:
+            out.append((60.0, "constant"))
+        if n := c.stats.get("outlier_count"):
+            out.append((min(50.0, n / c.total_count * 100), f"{n} outliers"))
         h = c.type_homogeneity or {}
         if h.get("dominant_share") is not None and h["dominant_share"] < 0.95 and c.data_type == "String":
-            out.append("mixed: " + ", ".join(f"{h[k]} {k}" for k in ("numeric", "date", "boolean", "text") if h[k]))
-        return out
+            out.append(((1 - h["dominant_share"]) * 100, "mixed: " + ", ".join(f"{h[k]} {k}" for k in ("numeric", "date", "boolean", "text") if h[k])))
+        return sorted(out, key=lambda x: -x[0])
 
     def to_llm_context(self, max_tokens: int = 800, include_samples: bool = False) -> str:
         """A summary within a number of tokens (four signs each): caveats, then flags, schema and patterns, each within its share."""
@@ -250,7 +256,8 @@ class Report:
         notes += [f"sample: {e.sampling}"] if e.sampling != "none" else []
         out = [first, *([f"caveats: {'; '.join(notes)}"] if notes else [])]
         left = max_tokens - cost("\n".join(out))
-        flagged = [f"- {one_line(c.name)}: {'; '.join(f)}" for c in self.columns if (f := self.flags(c))]
+        graded = sorted(((f[0][0], f"- {one_line(c.name)}: {'; '.join(x for _, x in f)}") for c in self.columns if (f := self.graded_flags(c))), key=lambda x: -x[0])
+        flagged = [line for _, line in graded]
         schema = []
         for c in self.columns:
             line = f"- {one_line(c.name)} {c.data_type}"

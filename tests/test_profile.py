@@ -167,7 +167,7 @@ def test_csv(spark, tmp_path):
     df, info = files.read_csv(spark, f"file://{f}")
     assert info.details["delimiter"] == ";" and info.ragged_rows == 2 and df.columns == ["id", "text", "n"]
     got = {r["id"]: (r["text"], r["n"]) for r in df.collect()}
-    assert got["1"] == ('a "q" ; b', "2") and got["2"] == ("short", None) and got["3"] == ("x", "4") and got["4"][0] == "two\nlines"
+    assert got["1"] == ('a "q" ; b', "2") and got["2"] == ("short", "") and got["3"] == ("x", "4;surplus") and got["4"][0] == "two\nlines"
     with pytest.raises(errors.MalformedRecords):
         files.read_csv(spark, f"file://{f}", files.CsvOptions(flexible=False))
     _, info, tried = files.read_csv_with_recovery(spark, f"file://{f}")
