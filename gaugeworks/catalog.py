@@ -99,13 +99,6 @@ def distinct_counts(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query()
-def distinct_sketch(spark, d):
-    """Distinct values by sketches of parts, united."""
-    df = table(spark, d, "lineitem")
-    return A.united(A.distinct_sketches(df, F.pmod("l_orderkey", F.lit(8)), ["l_orderkey", "l_partkey", "l_returnflag"]))
-
-
 # texts
 
 
@@ -295,13 +288,6 @@ def patterns_matched(spark, d):
     return r4(Q.pattern_counts(patterned(spark, d)).where(F.col("pattern").isin(plain)).drop("valid_count"), "match_percentage")
 
 
-@query()
-def patterns_validated(spark, d):
-    """Values that match a pattern with check digits, and those that pass."""
-    checked = [p.name for p in R.CATALOGUE if p.validator is not None]
-    return Q.pattern_counts(patterned(spark, d)).where(F.col("pattern").isin(checked))
-
-
 @query("SELECT count(*) AS values, count(*) FILTER (WHERE s % 10 = 0) AS valid FROM (SELECT card, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CASE WHEN substr(card, i, 1)::INTEGER > 4 THEN substr(card, i, 1)::INTEGER * 2 - 9 ELSE substr(card, i, 1)::INTEGER * 2 END) ELSE substr(card, i, 1)::INTEGER END)) AS s FROM " + _PATTERNED + ")")
 def luhn_check(spark, d):
     """Card numbers whose check digit is right."""
@@ -318,22 +304,6 @@ def patterns_pages(spark, d):
     return total.join(F.broadcast(got.select(F.col("match_count").alias("urls"))))
 
 
-@query()
-def patterns_detected(spark, d):
-    """Patterns that columns show, after overlaps, with confidence."""
-    masks: dict = {}
-    for r in Q.pattern_masks(patterned(spark, d)).collect():
-        masks.setdefault(r["column"], {})[r["mask"]] = r["n"]
-    rows = [(c, p["name"], p["category"], p["match_count"], p["match_percentage"], p["confidence"]) for c, m in masks.items() for p in R.detect(m)]
-    return spark.createDataFrame(rows, "column string, pattern string, category string, match_count long, match_percentage double, confidence double")
-
-
-@query()
-def list_patterns(spark, d):
-    """The catalogue."""
-    return spark.createDataFrame([(p["name"], p["regex"], p["category"], p["locale"], p["min_threshold"]) for p in R.list_patterns()], "name string, regex string, category string, locale string, min_threshold double")
-
-
 # rules
 
 
@@ -428,14 +398,6 @@ def quality_score(spark, d):
     return _scores(spark, profile_frame(df, Options(packs=("quality",), dimensions=("completeness", "accuracy"))))
 
 
-@query()
-def quality_dimensions(spark, d):
-    """All dimensions of lineitem."""
-    import datetime as dt
-
-    return _scores(spark, profile_frame(table(spark, d, "lineitem"), Options(packs=("quality",), as_of=dt.date(1999, 1, 1))))
-
-
 @query("SELECT 100.0 * (1 - null_cells / cells) / 2 + 50.0 * complete / rows AS score FROM (SELECT count(*) AS rows, count(*) FILTER (WHERE ok) AS complete, count(*) * 2 AS cells, count(*) FILTER (WHERE NOT ok) AS null_cells FROM (SELECT lower(trim(cell, chr(9) || ' ')) NOT IN ('', 'null', 'nan') AS ok FROM " + MIXED + "))")
 def completeness(spark, d):
     """The completeness score from its facts."""
@@ -443,12 +405,6 @@ def completeness(spark, d):
     return f.select((100.0 * (1 - F.col("null_cells") / F.col("cells")) / 2 + 50.0 * F.col("complete") / F.col("rows")).alias("score"))
 
 
-@query()
-def profile_report(spark, d):
-    """The whole report's records."""
-    return profile_frame(table(spark, d, "orders")).to_spark(spark)
-
-
 # samples and limits
 
 
@@ -470,30 +426,6 @@ def sample_importance(spark, d):
     return sampling.importance(table(spark, d, "events").select("event_id", "value"), "value", 50)
 
 
-@query()
-def sample_random(spark, d):
-    """A thousand rows by chance, always the same."""
-    return sampling.random(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1000)
-
-
-@query()
-def sample_weighted(spark, d):
-    """A hundred rows with chances by price."""
-    return sampling.weighted(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice")
-
-
-@query()
-def sample_reservoirs(spark, d):
-    """Fifty rows by chance of each status."""
-    return sampling.reservoirs(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", 50)
-
-
-@query()
-def sample_progressive(spark, d):
-    """Rows until the mean price is sure."""
-    return sampling.progressive(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, 0.99, 100_000, ["o_orderkey"])
-
-
 @query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events WHERE value >= 50) WHERE p % 4 = 0")
 def sample_multi_stage(spark, d):
     """A weight, then every fourth row."""
@@ -501,12 +433,6 @@ def sample_multi_stage(spark, d):
     return sampling.sampled(table(spark, d, "events").select("event_id", "value"), S("multi_stage", stages=(S("importance", weight="value", threshold=50), S("systematic", interval=4))), ["event_id"])
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500")
-def max_rows(spark, d):
-    """A row limit."""
-    return table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(500)
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _position FROM orders")
 def positions(spark, d):
     """Each row's place in time, without a window over all rows."""
@@ -522,30 +448,6 @@ def halved(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("o_custkey"), "o_totalprice", F.year("o_orderdate").alias("o_year"))
 
 
-@query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderstatus', 'o_orderdate', 'o_orderpriority', 'o_year']) AS \"column\", unnest(['common', 'common', 'common', 'removed', 'removed', 'removed', 'added']) AS change")
-def schema_diff(spark, d):
-    """Columns that came, went and stayed."""
-    names = lambda df: spark.createDataFrame([(c,) for c in df.columns], "column string")
-    a, b = names(table(spark, d, "orders")).withColumn("a", F.lit(1)), names(halved(spark, d)).withColumn("b", F.lit(1))
-    return a.join(b, "column", "full_outer").select("column", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("common").alias("change"))
-
-
-@query("SELECT 'o_custkey' AS \"column\", 0.0::DOUBLE AS null_a, round(count(*) FILTER (WHERE o_orderkey % 4 = 0) * 100.0 / count(*), 4)::DOUBLE AS null_b FROM orders UNION ALL SELECT unnest(['o_orderkey', 'o_totalprice']), 0.0, 0.0 UNION ALL SELECT unnest(['o_orderstatus', 'o_orderdate', 'o_orderpriority']), 0.0, NULL UNION ALL SELECT 'o_year', NULL, 0.0")
-def compare_null_drift(spark, d):
-    """Null percentages of two tables, over all columns of either."""
-    part = lambda df, n: A.null_counts(df).select("column", F.round(F.col("null_count") / F.col("total_count") * 100, 4).alias(n))
-    return part(table(spark, d, "orders"), "null_a").join(part(halved(spark, d), "null_b"), "column", "full_outer")
-
-
-@query()
-def compare_reports(spark, d):
-    """Two reports' scores."""
-    o = Options(packs=("quality",), dimensions=("completeness", "uniqueness"))
-    got = profile_frame(table(spark, d, "orders"), o).compare(profile_frame(halved(spark, d), o))
-    rows = [(n, x["a"], x["b"], x["abs"]) for n, x in {**got["dimensions"], "overall": got["score"]}.items()]
-    return spark.createDataFrame(rows, "dimension string, a double, b double, difference double")
-
-
 # fast paths, records, streams
 
 
@@ -562,13 +464,6 @@ def infer_schema(spark, d):
     return spark.createDataFrame(fastpaths.infer_schema(spark, f"{d}/orders.parquet").columns, "column string, data_type string")
 
 
-@query()
-def structure(spark, d):
-    """Columns of a file's first rows."""
-    got = fastpaths.analyze_structure(spark, f"{d}/customer.parquet")
-    return spark.createDataFrame([(c.name, c.data_type, c.null_count, c.distinct_count) for c in got.columns], "column string, data_type string, null_count long, distinct_count long")
-
-
 @query("SELECT key, count(*) AS n, min(json_extract_string(props, '$.' || key)) AS least FROM (SELECT props, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props)) GROUP BY key")
 def json_flattened(spark, d):
     """Keys of JSON records with their flattened values."""
@@ -596,8 +491,15 @@ def windowed_profile(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    _more()
     return dict(QUERIES)
 
 
+def _more() -> None:
+    """The queries that live in modules of their own."""
+    from gaugeworks import catalog_reports, catalog_sources  # noqa: F401
+
+
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)

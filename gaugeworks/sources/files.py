@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import statistics
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -17,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.errors import FormatError, MalformedRecords, SchemaError, SourceError
+from gaugeworks.errors import CsvError, DuplicateColumns, EncodingError, FormatError, JsonError, MalformedRecords, MissingFile, ParquetError, RecoveryFailed, SchemaError, UnsupportedSource
 from gaugeworks.operators.fields import duplicate_names
 
 # fixed values: formats by the ending of a name, delimiters in the order in which ties are settled
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet"}
 DELIMITERS = (",", ";", "\t", "|")
-HEAD_BYTES, HEAD_RECORDS = 4096, 5
+HEAD_BYTES, HEAD_RECORDS, MOST_FOOTERS = 4096, 5, 256
 
 
 @dataclass
@@ -51,7 +54,7 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(where):
-        raise SourceError(f"{path}: no such file")
+        raise MissingFile(f"{path}: no such file")
     if system.getFileStatus(where).isDirectory():
         inside = sorted(str(s.getPath()) for s in system.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
         if not inside:
@@ -101,11 +104,14 @@ def diagnose_encoding(raw: bytes) -> EncodingDiagnosis | None:
 
 
 def _names(spark: SparkSession, path: str, sep: str, quote: str, header: bool, encoding: str) -> list[str]:
-    raw = head(spark, path, 1 << 16).decode("utf-8" if encoding.lower() == "utf-8" else encoding, "replace").removeprefix("﻿")
+    try:
+        raw = head(spark, path, 1 << 16).decode("utf-8" if encoding.lower() == "utf-8" else encoding, "replace").removeprefix("﻿")
+    except LookupError:
+        raise EncodingError(f"{encoding}: no such encoding") from None
     first = next((r for r in csv.reader(io.StringIO(raw), delimiter=sep, quotechar=quote or '"') if r), [])
     names = [x.strip() for x in first] if header else [f"column_{k}" for k in range(len(first))]
     if twice := duplicate_names(names):
-        raise SchemaError(f"duplicate column names: {', '.join(twice)}")
+        raise DuplicateColumns(f"duplicate column names: {', '.join(twice)}")
     return names
 
 
@@ -117,16 +123,28 @@ class CsvOptions:
     flexible: bool = True
     trim: bool = False
     encoding: str = "UTF-8"
-    multiline: bool = True
+    #: Whether fields may hold line breaks; None looks into the file, which is split among tasks if none does.
+    multiline: bool | None = None
+    #: Whether a row of one field more than the header has its last two joined again, as if the delimiter weren't quoted.
+    repair: bool = True
 
 
 RAGGED = "_ragged"
 
 
+def has_quoted_breaks(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether any line has an odd number of quotes, as those have that a quoted line break cuts. One pass, split among tasks."""
+    if not quote:
+        return False
+    c = F.col("value")
+    return spark.read.text(path).where(F.pmod(F.length(c) - F.length(F.replace(c, F.lit(quote), F.lit(""))), F.lit(2)) == 1).limit(1).count() > 0
+
+
 def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None) -> tuple[DataFrame, SourceInfo]:
-    """All columns as text. Short rows are filled with nulls, long rows cut, and both counted; a strict reading refuses them.
+    """All columns as text. Short rows are filled with empty texts, long rows cut, and both counted; a strict reading refuses them.
 
-    With ``multiline`` off, files are split among tasks; line breaks inside quotes then end a row.
+    Of a row with one field too many the last two are joined by the delimiter, unless ``repair`` is off. Files without a
+    quoted line break are split among tasks.
     """
     o = options or CsvOptions()
     sample = head(spark, path)
@@ -135,15 +153,26 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     info = SourceInfo(path, "csv", columns=names, details={"delimiter": sep, "encoding": o.encoding})
     if not names:
         return spark.createDataFrame([], T.StructType([])), info
+    multiline = has_quoted_breaks(spark, path, o.quote) if o.multiline is None else o.multiline
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(RAGGED, T.StringType())])
-    reader = spark.read.schema(schema).options(header=o.header, sep=sep, quote=o.quote, escape=o.quote, multiLine=o.multiline, encoding=o.encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED, ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, enforceSchema=True, nullValue="\x00", emptyValue="")
-    rows = reader.csv(path)
+    dialect = {"sep": sep, "quote": o.quote, "escape": o.quote, "ignoreLeadingWhiteSpace": o.trim, "ignoreTrailingWhiteSpace": o.trim, "nullValue": "\x00", "emptyValue": ""}
+    rows = spark.read.schema(schema).options(**dialect, header=o.header, multiLine=multiline, encoding=o.encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED, enforceSchema=True).csv(path)
+    columns = [F.col(f"`{n}`") for n in names]
     # the reader marks a row only if it parses it: all columns are asked for with the mark
-    whole = F.length(F.concat_ws("", *[f"`{n}`" for n in names])) >= 0
+    whole = F.length(F.concat_ws("", *columns)) >= 0
     info.ragged_rows = rows.agg(F.count(F.when(F.col(RAGGED).isNotNull() & whole, 1))).first()[0]
     if info.ragged_rows and not o.flexible:
-        raise MalformedRecords(f"{path}: {info.ragged_rows} rows have another number of fields than the header")
-    return rows.select(*[F.col(f"`{n}`") for n in names]), info
+        raise CsvError(f"{path}: {info.ragged_rows} rows have another number of fields than the header")
+    if not info.ragged_rows:
+        return rows.select(*columns), info
+    ragged = F.col(RAGGED).isNotNull()
+    filled = [F.when(ragged, F.coalesce(c, F.lit(""))).otherwise(c).alias(n) for n, c in zip(names, columns, strict=True)]
+    if o.repair:
+        wide = T.StructType([T.StructField(f"f{k}", T.StringType()) for k in range(len(names) + 2)])
+        again = F.from_csv(F.col(RAGGED), wide.simpleString()[7:-1].replace(":", " "), {k: str(v).lower() if isinstance(v, bool) else v for k, v in dialect.items()})
+        last, one_more = again[f"f{len(names) - 1}"], again[f"f{len(names)}"].isNotNull() & again[f"f{len(names) + 1}"].isNull()
+        filled[-1] = F.when(ragged & one_more, F.concat(F.coalesce(last, F.lit("")), F.lit(sep), again[f"f{len(names)}"])).when(ragged, F.coalesce(columns[-1], F.lit(""))).otherwise(columns[-1]).alias(names[-1])
+    return rows.select(*filled), info
 
 
 def read_csv_with_recovery(spark: SparkSession, path: str, options: CsvOptions | None = None) -> tuple[DataFrame, SourceInfo, list[str]]:
@@ -161,21 +190,106 @@ def read_csv_with_recovery(spark: SparkSession, path: str, options: CsvOptions |
             return df, info, tried
         except (MalformedRecords, SchemaError):
             continue
-    raise MalformedRecords(f"{path}: not readable as CSV; tried {'; '.join(tried)}")
+    raise RecoveryFailed(f"{path}: not readable as CSV; tried {'; '.join(tried)}", tried)
 
 
 @dataclass(frozen=True)
 class CsvDiagnostics:
-    rows: int
-    ragged_rows: int
-    columns: int
+    """What a CSV file's lines look like, before any is parsed."""
+
+    total_lines: int
+    empty_lines: int
+    null_bytes: int
+    unmatched_quotes: int
+    most_common_field_count: int
+    consistent_field_rows: int
+    inconsistent_field_rows: int
+    field_count_variations: int
     delimiter: str
     encoding: EncodingDiagnosis | None
 
 
 def validate_csv(spark: SparkSession, path: str, options: CsvOptions | None = None) -> CsvDiagnostics:
-    df, info = read_csv(spark, path, options)
-    return CsvDiagnostics(df.count(), info.ragged_rows, len(info.columns), info.details["delimiter"], diagnose_encoding(head(spark, path, 1 << 20)))
+    """The file's lines by their number of fields, with what makes a reading fail: one aggregate over the lines."""
+    o = options or CsvOptions()
+    sep = o.delimiter or detect_delimiter(head(spark, path))
+    found = line_shapes(spark.read.text(path), sep).collect()  # a row for each number of fields
+    empty = sum(r["lines"] for r in found if r["fields"] is None)
+    shapes = {r["fields"]: r for r in found if r["fields"] is not None}
+    total = sum(r["lines"] for r in shapes.values())
+    # the least of several numbers that are as frequent
+    usual, most = max(((k, r["lines"]) for k, r in shapes.items()), key=lambda x: (x[1], -x[0]), default=(0, 0))
+    return CsvDiagnostics(total, empty, sum(r["null_bytes"] for r in shapes.values()), sum(r["unmatched_quotes"] for r in shapes.values()), usual, most, total - most, len(shapes), sep, diagnose_encoding(head(spark, path, 1 << 20)))
+
+
+def line_shapes(lines: DataFrame, delimiter: str, column: str = "value") -> DataFrame:
+    """``fields`` (null for blank lines), ``lines``, ``null_bytes``, ``unmatched_quotes``: lines by their number of fields outside quotes."""
+    c = F.col(column)
+    count = lambda x, sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+    fields = F.when(F.btrim(c, F.lit(" \t\r\n")) != "", count(F.regexp_replace(c, '"[^"]*"', ""), delimiter) + 1)
+    flag = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    return lines.groupBy(fields.alias("fields")).agg(F.count(F.lit(1)).alias("lines"), flag(F.contains(c, F.lit("\x00"))).alias("null_bytes"), flag(F.pmod(count(c, '"'), F.lit(2)) == 1).alias("unmatched_quotes"))
+
+
+def parse_csv_chunk(data: str, delimiter: str = ",", header: bool = True, options: CsvOptions | None = None) -> tuple[list[str] | None, list[list[str]], int]:
+    """Names, records and the number of records left out of a piece of CSV that the caller holds. A strict reading leaves ragged ones out."""
+    o = options or CsvOptions()
+    rows = [[x.strip() for x in r] if o.trim else r for r in csv.reader(io.StringIO(data), delimiter=delimiter, quotechar=o.quote or '"') if r]
+    names = rows.pop(0) if header and rows else None
+    if names and (twice := duplicate_names(names)):
+        raise DuplicateColumns(f"duplicate column names: {', '.join(twice)}")
+    width = len(names) if names else len(rows[0]) if rows else 0
+    kept = rows if o.flexible else [r for r in rows if len(r) == width]
+    return names, kept, len(rows) - len(kept)
+
+
+def repaired(row: list[str], width: int, delimiter: str) -> list[str]:
+    """A record of ``width`` fields: filled, cut, or with the last two joined if there is one too many."""
+    if len(row) == width + 1:
+        return [*row[: width - 1], f"{row[width - 1]}{delimiter}{row[width]}"]
+    return (row + [""] * (width - len(row)))[:width]
+
+
+def chunk_bounds(spark: SparkSession, path: str, size: int) -> list[tuple[int, int]]:
+    """Stretches of about ``size`` bytes of a file that end with a line each. Only what is around the bounds is read."""
+    out, at, total = [], 0, file_size(spark, path)
+    with opened(spark, path) as stream:
+        while at < total:
+            end = at + max(1, size)
+            while end < total:
+                stream.seek(end - 1)
+                part = bytes(stream.readNBytes(1 << 16))
+                if (k := part.find(b"\n")) >= 0:
+                    end += k
+                    break
+                end += len(part)
+            out.append((at, min(end, total)))
+            at = out[-1][1]
+    return out
+
+
+def read_chunk(spark: SparkSession, path: str, bounds: tuple[int, int]) -> bytes:
+    with opened(spark, path) as stream:
+        stream.seek(bounds[0])
+        return bytes(stream.readNBytes(bounds[1] - bounds[0]))
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise MissingFile(f"{path}: no such file")
+    return system.getContentSummary(where).getLength()
+
+
+@contextmanager
+def opened(spark: SparkSession, path: str) -> Iterator:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        yield stream
+    finally:
+        stream.close()
 
 
 def json_records(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -202,7 +316,7 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> tuple[Da
 
 def _from_records(records: DataFrame, counts, info: SourceInfo, strict: bool) -> tuple[DataFrame, SourceInfo]:
     if counts["bad"] and (strict or not counts["good"]):
-        raise MalformedRecords(f"{info.identifier}: {counts['bad']} records aren't JSON objects")
+        raise JsonError(f"{info.identifier}: {counts['bad']} records aren't JSON objects")
     good = records.where("ok")
     # keys in the order in which they first appear, by line and place; those of a column set are few
     seen = good.select("line", F.posexplode("keys").alias("at", "key")).groupBy("key").agg(F.min(F.struct("line", "at")).alias("first"))
@@ -212,19 +326,81 @@ def _from_records(records: DataFrame, counts, info: SourceInfo, strict: bool) ->
     return good.select(*[F.coalesce(value(k), F.lit("")).alias(k) for k in info.columns]), info
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name}: no number of JSON")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+_BLANK = re.compile(r"[ \t\r\n]*")
+
+
+def json_elements(text: str) -> tuple[list[str], str | None]:
+    """The elements of an array, or the one object that a document is, and what ends the document too early, if anything does.
+
+    Elements before a fault are whole. A document without any element before its fault isn't JSON.
+    """
+    blank = lambda at: _BLANK.match(text, at).end()
+    at = blank(1 if text.startswith("\ufeff") else 0)
+    if not text.startswith("[", at):
+        try:
+            _, end = _DECODER.raw_decode(text, at)
+        except ValueError as e:
+            raise JsonError(f"not a JSON document: {e}") from None
+        return [text[at:end]], None if blank(end) == len(text) else "content after the document"
+    out, fault, at = [], None, blank(at + 1)
+    closed = text.startswith("]", at)
+    while not closed:
+        try:
+            _, end = _DECODER.raw_decode(text, at)
+        except ValueError:
+            fault = "a comma with no element after it" if text[at : at + 1] in ("]", ",") else "an element that isn't JSON" if at < len(text) else "no closing bracket"
+            break
+        out.append(text[at:end])
+        at = blank(end)
+        if text.startswith("]", at):
+            closed = True
+        elif text.startswith(",", at):
+            at = blank(at + 1)
+        else:
+            fault = "no closing bracket" if at >= len(text) else "no comma between elements"
+            break
+    if closed and blank(at + 1) < len(text):
+        fault = "content after the document"
+    if fault and not out:
+        raise JsonError(f"not a JSON document: {fault}")
+    return out, fault
+
+
 def read_json(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, SourceInfo]:
-    """A document: an array of objects, or one object as one record. Elements that aren't objects count as errors."""
-    text = spark.read.text(path, wholetext=True)
-    elements = text.select(F.when(F.col("value").rlike(r"\A\s*\["), F.from_json("value", "array<string>")).otherwise(F.array("value")).alias("e"))
-    if elements.where("e is null").limit(1).count():
-        raise MalformedRecords(f"{path}: not a JSON document")
-    records = json_records(elements.select(F.explode("e").alias("value")))
-    counts = records.agg(F.count(F.when(F.col("ok"), 1)).alias("good"), F.count(F.when(~F.col("ok"), 1)).alias("bad")).first()
+    """A document: an array of objects, or one object as one record. A file is one task, as nothing tells where an element begins.
+
+    Elements that aren't objects count as errors, and so does what breaks the array off: what stands before it is kept. A
+    strict reading refuses both.
+    """
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found, fault = json_elements(text)
+                for k in range(0, max(1, len(found)), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 10_000], pa.string())], names=["value"])
+                if fault:
+                    yield pa.RecordBatch.from_arrays([pa.array([fault])], names=["value"])  # no object: an error
+
+    elements = spark.read.text(path, wholetext=True).mapInArrow(run, "value string")
+    records = json_records(elements)
+    try:
+        counts = records.agg(F.count(F.when(F.col("ok"), 1)).alias("good"), F.count(F.when(~F.col("ok"), 1)).alias("bad")).first()
+    except Exception as e:
+        if "not a JSON document" in str(e):
+            raise JsonError(f"{path}: not a JSON document") from None
+        raise
     return _from_records(records, counts, SourceInfo(path, "json", error_count=counts["bad"]), strict)
 
 
 def parquet_footer(spark: SparkSession, path: str) -> dict:
-    """Row groups, rows, compression, version and sizes, from the footers alone."""
+    """Row groups, rows, compression, version and sizes, from the footers alone; of a folder with over ``MOST_FOOTERS`` files the number of files."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -232,6 +408,8 @@ def parquet_footer(spark: SparkSession, path: str) -> dict:
         path = "file://" + (path if path.startswith("/") else str(PurePosixPath.cwd() / path))
     system, where = fs.FileSystem.from_uri(path)
     files = [where] if system.get_file_info(where).type == fs.FileType.File else sorted(i.path for i in system.get_file_info(fs.FileSelector(where)) if i.path.endswith(".parquet"))
+    if len(files) > MOST_FOOTERS:
+        return {"num_files": len(files)}
     groups = rows = packed = plain = 0
     codecs, version = set(), None
     for f in files:
@@ -248,9 +426,14 @@ def parquet_footer(spark: SparkSession, path: str) -> dict:
 def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, SourceInfo]:
     first = head(spark, path, 4)
     if first and first != b"PAR1":
-        raise FormatError(f"{path}: not a Parquet file")
+        raise ParquetError(f"{path}: not a Parquet file")
     df = spark.read.parquet(path)
-    return df, SourceInfo(path, "parquet", columns=df.columns)
+    info = SourceInfo(path, "parquet", columns=df.columns)
+    try:
+        info.details |= parquet_footer(spark, path)
+    except (OSError, ValueError, ImportError):  # a store that Spark alone knows
+        pass
+    return df, info
 
 
 def read_path(spark: SparkSession, path: str, format: str | None = None, csv_options: CsvOptions | None = None, strict: bool = False) -> tuple[DataFrame, SourceInfo]:
@@ -263,4 +446,4 @@ def read_path(spark: SparkSession, path: str, format: str | None = None, csv_opt
         return read_json(spark, path, strict)
     if kind == "parquet":
         return read_parquet(spark, path)
-    raise FormatError(f"{path}: unknown format")
+    raise UnsupportedSource(f"{path}: unknown format")

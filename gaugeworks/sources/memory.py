@@ -5,14 +5,13 @@ from __future__ import annotations
 import io
 import json
 import math
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.errors import SchemaError, SourceError
-from gaugeworks.sources.files import CsvOptions, SourceInfo, read_path
+from gaugeworks.errors import CsvError, DuplicateColumns, ParquetError, SchemaError, UnsupportedSource
+from gaugeworks.sources.files import CsvOptions, SourceInfo, _from_records, detect_delimiter, json_elements, json_records, parse_csv_chunk, repaired
 
 
 def cell_text(value: object) -> str | None:
@@ -43,21 +42,41 @@ def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 
 def from_bytes(spark: SparkSession, raw: bytes, format: str = "csv", csv_options: CsvOptions | None = None, strict: bool = False) -> tuple[DataFrame, SourceInfo]:
-    """Bytes of any file format. They are the driver's own; Spark gets the rows, not a file of this machine."""
+    """Bytes of any file format. They are the driver's own, so it cuts them into records; Spark gets these, on any cluster."""
+    info = SourceInfo("bytes", format, "bytes")
     if format == "parquet":
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
-        df = from_arrow(spark, pq.read_table(io.BytesIO(raw)))
-        return df, SourceInfo("bytes", format, "bytes", df.columns)
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / f"rows.{format}"
-        path.write_bytes(raw)
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise SourceError("bytes of text formats are read on one machine; put them in a store for a cluster")
-        df, info = read_path(spark, f"file://{path}", format, csv_options, strict)
-        rows = df.collect()
-    info.identifier, info.kind = "bytes", "bytes"
-    return spark.createDataFrame(rows, df.schema), info
+        try:
+            df = from_arrow(spark, pq.read_table(io.BytesIO(raw)))
+        except (pa.ArrowInvalid, OSError) as e:
+            raise ParquetError(f"bytes: {e}") from None
+        info.columns = df.columns
+        return df, info
+    if format == "csv":
+        return _csv_bytes(spark, raw, csv_options or CsvOptions(flexible=not strict), info)
+    if format not in ("json", "jsonl"):
+        raise UnsupportedSource(f"bytes: unknown format {format}")
+    text = raw.decode("utf-8", "replace").removeprefix("\ufeff")
+    lines, fault = json_elements(text) if format == "json" else (text.split("\n"), None)
+    records = json_records(spark.createDataFrame([(x,) for x in [*lines, *([fault] if fault else [])]], "value string"))
+    counts = records.agg(F.count(F.when(F.col("ok"), 1)).alias("good"), F.count(F.when(~F.col("ok"), 1)).alias("bad")).first()
+    info.error_count = counts["bad"]
+    return _from_records(records, counts, info, strict)
+
+
+def _csv_bytes(spark: SparkSession, raw: bytes, o: CsvOptions, info: SourceInfo) -> tuple[DataFrame, SourceInfo]:
+    sep = o.delimiter or detect_delimiter(raw)
+    text = raw.decode(o.encoding, "replace").removeprefix("\ufeff")
+    names, rows, _ = parse_csv_chunk(text, sep, o.header, CsvOptions(**{**o.__dict__, "flexible": True}))
+    names = [x.strip() for x in names] if names else [f"column_{k}" for k in range(len(rows[0]))] if rows else []
+    info.columns, info.details = names, {"delimiter": sep, "encoding": o.encoding}
+    info.ragged_rows = sum(len(r) != len(names) for r in rows)
+    if info.ragged_rows and not o.flexible:
+        raise CsvError(f"bytes: {info.ragged_rows} rows have another number of fields than the header")
+    fit = (lambda r: repaired(r, len(names), sep)) if o.repair else (lambda r: (r + [""] * (len(names) - len(r)))[: len(names)])
+    return _text_frame(spark, names, [tuple(fit(r)) for r in rows]) if names else spark.createDataFrame([], T.StructType([])), info
 
 
 def from_arrow(spark: SparkSession, table) -> DataFrame:
@@ -80,12 +99,12 @@ def to_frame(spark: SparkSession, source: object) -> tuple[DataFrame, SourceInfo
         return from_bytes(spark, source if isinstance(source, bytes) else source.getvalue())
     elif type(source).__module__.startswith("pandas"):
         if len(set(source.columns)) < len(source.columns):
-            raise SchemaError("duplicate column names")
+            raise DuplicateColumns("duplicate column names")
         df = from_arrow(spark, _pandas_table(source))
     elif hasattr(source, "__arrow_c_stream__") or kind == "Table":
         df = from_arrow(spark, source)
     else:
-        raise SourceError(f"{kind}: not a source of rows")
+        raise UnsupportedSource(f"{kind}: not a source of rows")
     return df, SourceInfo(kind, "memory", "memory", df.columns)
 
 

@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from gaugeworks.errors import StateError
 from gaugeworks.operators import aggregates as A
+from gaugeworks.functions.predicates import looks_like_date
 from gaugeworks.operators.fields import fields
+from gaugeworks.streaming.limits import resident_memory
+
+
+#: Values of a text column that its dates are told by.
+FIRST = 100
 
 
 @dataclass
@@ -40,6 +46,9 @@ class ColumnState:
     dates: int = 0
     sketch: str = ""
     quantiles: str = ""
+    #: Of a text column's first ``FIRST`` values how many look like dates, as they stand.
+    seen: int = 0
+    like_dates: int = 0
 
     def merge(self, o: ColumnState) -> ColumnState:
         """Both together: central sums by Chan's rule."""
@@ -51,7 +60,7 @@ class ColumnState:
             low=pick(min, self.low, o.low), high=pick(max, self.high, o.high),
             min_length=pick(min, self.min_length, o.min_length), max_length=pick(max, self.max_length, o.max_length),
             bytes=self.bytes + o.bytes, integers=self.integers + o.integers, floats=self.floats + o.floats, booleans=self.booleans + o.booleans, dates=self.dates + o.dates,
-            sketch=self.sketch or o.sketch, quantiles=self.quantiles or o.quantiles,
+            sketch=self.sketch or o.sketch, quantiles=self.quantiles or o.quantiles, seen=self.seen + o.seen, like_dates=self.like_dates + o.like_dates,
         )
 
     @property
@@ -60,6 +69,7 @@ class ColumnState:
 
     @property
     def data_type(self) -> str:
+        """A text column's type by what its values say, dates before booleans, and dates by its first values; a typed one's own."""
         n = self.total - self.nulls
         if not n:
             return "String"
@@ -67,9 +77,9 @@ class ColumnState:
             return "Integer"
         if self.floats / n > 0.8:
             return "Float"
-        if self.booleans / n >= 0.9:
-            return "Boolean"
-        return "Date" if self.dates / n > 0.7 else "String"
+        if (self.like_dates / self.seen if self.seen else self.dates / n) > 0.7:
+            return "Date"
+        return "Boolean" if self.booleans / n >= 0.9 else "String"
 
 
 @dataclass
@@ -98,11 +108,13 @@ class StreamState:
 
 @dataclass(frozen=True)
 class Stop:
-    """``max_rows``, ``max_bytes``, ``stable`` (rows without a change of types), ``confidence`` (of the means), ``any``, ``all``, ``never``."""
+    """``max_rows``, ``max_bytes``, ``stable`` (rows without a change of types), ``confidence`` (of the means), ``memory`` (the share
+    ``limit`` of ``bytes`` that this process holds), ``any``, ``all``, ``never``."""
 
     kind: str = "never"
     limit: float = 0
     parts: tuple["Stop", ...] = ()
+    bytes: int = 0
 
     def reason(self, s: StreamState) -> str | None:
         if self.kind == "any":
@@ -115,10 +127,20 @@ class Stop:
             "max_rows": lambda: s.rows >= self.limit,
             "max_bytes": lambda: s.bytes >= self.limit,
             "stable": lambda: s.stable_rows >= self.limit,
+            "memory": lambda: self.bytes > 0 and resident_memory() > self.limit * self.bytes,
             "confidence": lambda: (e := standard_errors(s)) and max(e) <= 1 - self.limit,
         }[self.kind]()
         return self.kind if holds else None
 
+    def rows(self) -> int | None:
+        """The rows at which the condition holds whatever they are; None if rows alone don't make it hold."""
+        if self.kind == "max_rows":
+            return int(self.limit)
+        told = [r for p in self.parts if (r := p.rows()) is not None]
+        if self.kind == "any" and told:
+            return min(told)
+        return max(told) if self.kind == "all" and told and len(told) == len(self.parts) else None
+
 
 def schema_inference() -> Stop:
     return Stop("any", parts=(Stop("max_rows", 10_000), Stop("stable", 1000)))
@@ -186,8 +208,14 @@ def last_commit(spark: SparkSession, checkpoint: str) -> int:
 # folding
 
 
-def fold_columns(df: DataFrame) -> dict[str, ColumnState]:
-    """The state of one batch: one aggregate over its rows."""
+def _first_values(df: DataFrame, f, most: int) -> tuple[int, int]:
+    """How many of a text column's first values there are, up to ``most``, and how many look like dates."""
+    head = df.select(f.text.alias("t")).where(~A.P.is_null_like(F.col("t"))).limit(most)
+    return tuple(head.agg(F.count(F.lit(1)), A.count_if(looks_like_date(F.col("t")))).first())
+
+
+def fold_columns(df: DataFrame, before: dict[str, ColumnState] | None = None) -> dict[str, ColumnState]:
+    """The state of one batch: one aggregate over its rows, and the first values of text columns that few were seen of."""
     found, wanted = fields(df), {}
     for k, f in enumerate(found):
         null, size = A.null_cell(f), F.octet_length(f.text)
@@ -206,14 +234,19 @@ def fold_columns(df: DataFrame) -> dict[str, ColumnState]:
             is_kind = lambda *kinds, f=f, some=some: some if f.kind in kinds else F.lit(0).cast("long")
             wanted |= {f"{k}_integers": is_kind("Integer"), f"{k}_floats": is_kind("Integer", "Float"), f"{k}_booleans": is_kind("Boolean"), f"{k}_dates": is_kind("Date")}
     got = A.one_row(df, wanted)
-    return {f.name: ColumnState(**{n.partition("_")[2]: v for n, v in got.items() if n.partition("_")[0] == str(k)}) for k, f in enumerate(found)}
+    out = {f.name: ColumnState(**{n.partition("_")[2]: v for n, v in got.items() if n.partition("_")[0] == str(k)}) for k, f in enumerate(found)}
+    for f in found:
+        c, had = out[f.name], (before or {}).get(f.name, ColumnState()).seen
+        if f.kind is None and had < FIRST and c.total > c.nulls:
+            c.seen, c.like_dates = _first_values(df, f, FIRST - had)
+    return out
 
 
 def fold(state: StreamState, df: DataFrame, batch: int) -> StreamState:
     """The state with a batch; as it was if the batch was folded before."""
     if batch <= state.last_batch:
         return state
-    new, spark = fold_columns(df), df.sparkSession
+    new, spark = fold_columns(df, state.columns), df.sparkSession
     rows = max((c.total for c in new.values()), default=0)
     columns = {n: state.columns.get(n, ColumnState(total=state.rows, nulls=state.rows)).merge(new.get(n, ColumnState(total=rows, nulls=rows))) for n in [*state.columns, *[n for n in new if n not in state.columns]]}
     for attribute, union in (("sketch", F.hll_union_agg), ("quantiles", F.kll_merge_agg_double)):
@@ -236,12 +269,13 @@ def result(state: StreamState, spark: SparkSession) -> DataFrame:
     return df.withColumn("distinct_count", F.when(F.col("sketch") != "", F.hll_sketch_estimate(F.unhex("sketch"))).otherwise(0)).drop("sketch", "quantiles")
 
 
-def profile_stream(stream: DataFrame, stop: Stop | None = None, checkpoint: str | None = None, state: StreamState | None = None, progress: Callable[[str, dict], None] | None = None, available_now: bool = True) -> tuple[StreamState, str | None]:
+def profile_stream(stream: DataFrame, stop: Stop | None = None, checkpoint: str | None = None, state: StreamState | None = None, progress: Callable[[str, dict], None] | None = None, available_now: bool = True, interval: float = 0.0) -> tuple[StreamState, str | None]:
     """Folds a streaming DataFrame until it ends or a condition holds; the state, and why it ended early if it did.
 
-    With a checkpoint it goes on from the state that was saved there, unless ``state`` is given.
+    With a checkpoint it goes on from the state that was saved there, unless ``state`` is given. ``progress`` is told of the
+    start, the schema, each batch (those within ``interval`` seconds of the last one told are left out), of warnings and the end.
     """
-    spark, why, tell = stream.sparkSession, [None], progress or (lambda *_: None)
+    spark, why, tell, told = stream.sparkSession, [None], progress or (lambda *_: None), [0.0]
     if checkpoint and state is None:
         state = load_state(spark, checkpoint)
     held = [state or StreamState()]
@@ -254,10 +288,17 @@ def profile_stream(stream: DataFrame, stop: Stop | None = None, checkpoint: str
             if checkpoint:
                 raise StateError("the profile has ended")  # else the batch would count as done
             return
+        types = held[0].fingerprint()
         held[0] = fold(held[0], df, batch)
+        if not types and held[0].columns:
+            tell("schema", {"columns": {n: c.data_type for n, c in held[0].columns.items()}})
+        elif types and held[0].fingerprint() != types:
+            tell("warning", {"batch": batch, "message": "types changed", "columns": {n: c.data_type for n, c in held[0].columns.items()}})
         if checkpoint and held[0].last_batch == batch:
             save_state(spark, checkpoint, held[0])
-        tell("batch", {"batch": batch, "rows": held[0].rows})
+        if time.monotonic() - told[0] >= interval:
+            told[0] = time.monotonic()
+            tell("batch", {"batch": batch, "rows": held[0].rows, "bytes": held[0].bytes})
         why[0] = stop.reason(held[0])
 
     writer = stream.writeStream.foreachBatch(each)
