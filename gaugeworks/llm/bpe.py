@@ -30,7 +30,7 @@ from gaugeworks.llm._rows import batches_with, text_column
 #: Bytes from which a word's parts are kept in a heap rather than scanned.
 LONG_WORD = 200
 #: Words whose tokens a worker remembers; then it starts afresh.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 _NONE = 1 << 40
 
 
