@@ -464,6 +464,19 @@ def stream_sketches(spark, d):
     return rows(spark, [("event_id", abs(got["median"] - exact["m"]) <= 0.03 * exact["m"], abs(got["distinct_count"] - exact["n"]) <= 0.03 * exact["n"])], "column string, median_near boolean, distinct_near boolean")
 
 
+@query("""SELECT 'mail' AS "column", 'String' AS data_type, 0::BIGINT AS null_count, 'Email' AS pattern, count(*) AS matches, NULL::DOUBLE AS skewness FROM events UNION ALL SELECT 'event_id', 'Integer', 0, NULL, NULL, NULL FROM (SELECT 1)
+UNION ALL SELECT 'value', 'Float', count(*) FILTER (WHERE value IS NULL), NULL, NULL, (SELECT round(avg(power((value - m) / sd, 3)), 3) FROM (SELECT value, avg(value) OVER () AS m, stddev_samp(value) OVER () AS sd FROM events WHERE value IS NOT NULL)) FROM events""")
+def stream_report(spark, d):
+    """A stream's report: types, nulls, patterns and higher moments over all batches."""
+    from gaugeworks.plans.stream_report import stream_report as report
+
+    mail = F.concat(F.lit("u"), F.col("event_id").cast("string"), F.lit("@x.org")).alias("mail")
+    r = report(streams.profile_stream(_stream(spark, d, "event_id", "value", mail))[0], spark)
+    top = lambda c: c.patterns[0] if c.patterns and c.name == "mail" else {}
+    skew = lambda c: round(c.stats["skewness"], 3) if c.name == "value" else None
+    return rows(spark, [(c.name, c.data_type, c.null_count, top(c).get("name"), top(c).get("match_count"), skew(c)) for c in r.columns], "column string, data_type string, null_count long, pattern string, matches long, skewness double")
+
+
 @query(values([("max_rows", "max_rows"), ("max_bytes", "max_bytes"), ("stable", "stable"), ("confidence", "confidence"), ("memory", "memory"), ("no memory", None), ("any", "max_rows"), ("all", "max_rows and stable"), ("not all", None), ("never", None)], "condition, reason"))
 def stop_conditions(spark, d):
     """When a stream's profile ends."""

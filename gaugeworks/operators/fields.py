@@ -75,10 +75,16 @@ def fields(df: DataFrame) -> list[Field]:
     return [field_of(f) for f in df.schema.fields]
 
 
+#: Bytes up to which a table is dealt anew; a larger one has splits enough, or is cheaper to read again than to move.
+SMALL_TABLE = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many parts as there are cores, if it comes in fewer: one small file is one part."""
+    """A small ``df`` in as many parts as there are cores, if it comes in fewer: one small file is one part."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+        return df
+    return df.repartition(cores)
 
 
 def long_rows(values: dict[str, dict[str, Column]], wide: DataFrame) -> DataFrame:

@@ -108,13 +108,14 @@ def negatives(df: DataFrame, columns: list[str]) -> DataFrame:
 def timeliness(df: DataFrame, columns: list[str], as_of_year: int, stale_years: int = 5) -> DataFrame:
     """``column``, ``checked``, ``valid``, ``invalid``, ``future`` (year after ``as_of_year``), ``stale`` (over ``stale_years`` before)."""
     found = chosen(df, columns)
+    # each cell's year is found once, then counted
+    years = df.select(*[c for k, f in enumerate(found) for c in (F.year(f.moment if f.kind == "Date" else P.raw_moment(f.text)).alias(f"y{k}"), (~null_cell(f)).alias(f"ok{k}"))])
     flat = {}
-    for k, f in enumerate(found):
-        year = F.year(f.moment if f.kind == "Date" else P.raw_moment(f.text))
-        ok = ~null_cell(f)
+    for k in range(len(found)):
+        year, ok = F.col(f"y{k}"), F.col(f"ok{k}")
         flat |= {f"{k}_c": count_if(ok), f"{k}_v": count_if(ok & year.isNotNull()), f"{k}_f": count_if(year > as_of_year), f"{k}_s": count_if(year < as_of_year - stale_years)}
     rows = {f.name: {"checked": F.col(f"{k}_c"), "valid": F.col(f"{k}_v"), "invalid": F.col(f"{k}_c") - F.col(f"{k}_v"), "future": F.col(f"{k}_f"), "stale": F.col(f"{k}_s")} for k, f in enumerate(found)}
-    return long_rows(rows, df.agg(*[c.alias(n) for n, c in flat.items()]))
+    return long_rows(rows, years.agg(*[c.alias(n) for n, c in flat.items()]))
 
 
 def date_pairs(names: list[str], compat: bool = False) -> list[tuple[str, str]]:
@@ -132,13 +133,16 @@ def order_violations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``first``, ``second``, ``checked`` (rows where both are dates), ``violations`` (the first is later)."""
     by = {f.name: f for f in chosen(df, None)}
     flat, rows = {}, []
+    # each cell's moment is found once, then compared
+    place = {n: i for i, n in enumerate(dict.fromkeys(n for p in pairs for n in p))}
+    moments = df.select(*[by[n].moment.alias(f"m{i}") for n, i in place.items()])
     for k, (a, b) in enumerate(pairs):
-        x, y = by[a].moment, by[b].moment
+        x, y = F.col(f"m{place[a]}"), F.col(f"m{place[b]}")
         flat |= {f"{k}_n": count_if(x.isNotNull() & y.isNotNull()), f"{k}_v": count_if(x > y)}
         rows.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"{k}_n").alias("checked"), F.col(f"{k}_v").alias("violations")))
     if not rows:
         return df.sparkSession.createDataFrame([], "first string, second string, checked long, violations long")
-    return df.agg(*[c.alias(n) for n, c in flat.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return moments.agg(*[c.alias(n) for n, c in flat.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def beyond(x: Column, quartiles: list[float | None], k: float = 1.5) -> Column:

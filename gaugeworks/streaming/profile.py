@@ -13,6 +13,7 @@ import math
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,13 @@ from gaugeworks.errors import StateError
 from gaugeworks.operators import aggregates as A
 from gaugeworks.functions.predicates import looks_like_date
 from gaugeworks.operators.fields import fields
+from gaugeworks.operators.frequencies import cell_masks
 from gaugeworks.streaming.limits import resident_memory
 
 
-#: Values of a text column that its dates are told by.
+#: Values of a text column that its dates are told by; facts that add up.
 FIRST = 100
+ADDED = ("total", "nulls", "bytes", "integers", "floats", "booleans", "dates", "seen", "like_dates", "class_numeric", "class_date", "class_boolean", "class_text", "both", "dots", "commas", "encoding")
 
 
 @dataclass
@@ -49,18 +52,33 @@ class ColumnState:
     #: Of a text column's first ``FIRST`` values how many look like dates, as they stand.
     seen: int = 0
     like_dates: int = 0
+    m3: float = 0.0
+    m4: float = 0.0
+    class_numeric: int = 0
+    class_date: int = 0
+    class_boolean: int = 0
+    class_text: int = 0
+    both: int = 0
+    dots: int = 0
+    commas: int = 0
+    encoding: int = 0
+    #: Counts of pattern masks.
+    masks: dict[str, int] = field(default_factory=dict)
 
     def merge(self, o: ColumnState) -> ColumnState:
-        """Both together: central sums by Chan's rule."""
-        n, d = self.n + o.n, o.mean - self.mean
+        """Both together: central sums by the pairwise rules."""
+        a, b, d = self.n, o.n, o.mean - self.mean
+        n = a + b
+        added = {k: getattr(self, k) + getattr(o, k) for k in ADDED}
+        m3 = self.m3 + o.m3 + d**3 * a * b * (a - b) / n**2 + 3 * d * (a * o.m2 - b * self.m2) / n if n else 0.0
+        m4 = self.m4 + o.m4 + d**4 * a * b * (a * a - a * b + b * b) / n**3 + 6 * d * d * (a * a * o.m2 + b * b * self.m2) / n**2 + 4 * d * (a * o.m3 - b * self.m3) / n if n else 0.0
         pick = lambda f, a, b: a if b is None else b if a is None else f(a, b)
         return ColumnState(
-            total=self.total + o.total, nulls=self.nulls + o.nulls, n=n,
+            n=n, m3=m3, m4=m4, **added, masks={m: self.masks.get(m, 0) + o.masks.get(m, 0) for m in {**self.masks, **o.masks}},
             mean=self.mean + d * o.n / n if n else 0.0, m2=self.m2 + o.m2 + d * d * self.n * o.n / n if n else 0.0,
             low=pick(min, self.low, o.low), high=pick(max, self.high, o.high),
             min_length=pick(min, self.min_length, o.min_length), max_length=pick(max, self.max_length, o.max_length),
-            bytes=self.bytes + o.bytes, integers=self.integers + o.integers, floats=self.floats + o.floats, booleans=self.booleans + o.booleans, dates=self.dates + o.dates,
-            sketch=self.sketch or o.sketch, quantiles=self.quantiles or o.quantiles, seen=self.seen + o.seen, like_dates=self.like_dates + o.like_dates,
+            sketch=self.sketch or o.sketch, quantiles=self.quantiles or o.quantiles,
         )
 
     @property
@@ -88,8 +106,11 @@ class StreamState:
     bytes: int = 0
     last_batch: int = -1
     columns: dict[str, ColumnState] = field(default_factory=dict)
-    #: Batches since the columns' types last changed.
+    #: Rows since the columns' types last changed.
     stable_rows: int = 0
+    #: Rows without a null cell, and a sketch of the rows' hashes.
+    complete: int = 0
+    row_sketch: str = ""
 
     def fingerprint(self) -> str:
         return "|".join(f"{n}:{c.data_type}" for n, c in self.columns.items())
@@ -221,20 +242,27 @@ def fold_columns(df: DataFrame, before: dict[str, ColumnState] | None = None) ->
         null, size = A.null_cell(f), F.octet_length(f.text)
         wanted |= {
             f"{k}_total": F.count(F.lit(1)), f"{k}_nulls": A.count_if(null), f"{k}_n": F.count(f.number), f"{k}_mean": F.coalesce(F.avg(f.number), F.lit(0.0)),
-            f"{k}_m2": F.coalesce(F.var_pop(f.number) * F.count(f.number), F.lit(0.0)), f"{k}_low": F.min(f.number), f"{k}_high": F.max(f.number),
+            f"{k}_m2": F.coalesce(F.var_pop(f.number) * F.count(f.number), F.lit(0.0)),
+            f"{k}_m3": F.coalesce(F.skewness(f.number) * F.pow(F.var_pop(f.number), 1.5) * F.count(f.number), F.lit(0.0)),
+            f"{k}_m4": F.coalesce((F.kurtosis(f.number) + 3) * F.pow(F.var_pop(f.number), 2.0) * F.count(f.number), F.lit(0.0)),
+            f"{k}_low": F.min(f.number), f"{k}_high": F.max(f.number),
             f"{k}_min_length": F.min(F.when(~null, size)), f"{k}_max_length": F.max(F.when(~null, size)), f"{k}_bytes": F.coalesce(F.sum(size), F.lit(0)),
             f"{k}_sketch": F.hex(F.hll_sketch_agg(F.when(~null, f.text), F.lit(14))),
             f"{k}_quantiles": F.hex(F.kll_sketch_agg_double(F.when(~F.isnan(f.number.cast("double")), f.number.cast("double")))),
         }
         if f.kind is None:
             c = A.lexical_counts(f.text)
-            wanted |= {f"{k}_{n}": c[n] for n in ("integers", "floats", "booleans", "dates")}
+            wanted |= {f"{k}_{n}": c[n] for n in ("integers", "floats", "booleans", "dates", "class_numeric", "class_date", "class_boolean", "class_text")}
+            dots, commas = [F.length(f.text) - F.length(F.replace(f.text, F.lit(x), F.lit(""))) for x in ".,"]
+            wanted |= {f"{k}_both": A.count_if(~null & (dots > 0) & (commas > 0)), f"{k}_dots": A.count_if(~null & (dots == 1) & (commas == 0)), f"{k}_commas": A.count_if(~null & (dots == 0) & (commas == 1)), f"{k}_encoding": A.count_if(~null & A.P.has_encoding_artifact(f.text))}
         else:
             some = A.count_if(~null)
             is_kind = lambda *kinds, f=f, some=some: some if f.kind in kinds else F.lit(0).cast("long")
             wanted |= {f"{k}_integers": is_kind("Integer"), f"{k}_floats": is_kind("Integer", "Float"), f"{k}_booleans": is_kind("Boolean"), f"{k}_dates": is_kind("Date")}
     got = A.one_row(df, wanted)
     out = {f.name: ColumnState(**{n.partition("_")[2]: v for n, v in got.items() if n.partition("_")[0] == str(k)}) for k, f in enumerate(found)}
+    for r in cell_masks(df).collect() if found else ():
+        out[r["column"]].masks[str(r["mask"])] = r["n"]
     for f in found:
         c, had = out[f.name], (before or {}).get(f.name, ColumnState()).seen
         if f.kind is None and had < FIRST and c.total > c.nulls:
@@ -255,7 +283,13 @@ def fold(state: StreamState, df: DataFrame, batch: int) -> StreamState:
             united = spark.createDataFrame(both, "n string, x string").groupBy("n").agg(F.hex(union(F.unhex("x"))).alias("x"))
             for r in united.collect():
                 setattr(columns[r["n"]], attribute, r["x"])
-    out = StreamState(state.rows + rows, state.bytes + sum(c.bytes for c in new.values()), batch, columns)
+    out = StreamState(state.rows + rows, state.bytes + sum(c.bytes for c in new.values()), batch, columns, complete=state.complete, row_sketch=state.row_sketch)
+    if rows:
+        whole = ~reduce(lambda a, b: a | b, [A.null_cell(f) for f in fields(df)])
+        got = df.agg(A.count_if(whole), F.hex(F.hll_sketch_agg(F.xxhash64(*[f.text for f in fields(df)]), F.lit(14)))).first()
+        out.complete += got[0]
+        both = spark.createDataFrame([(x,) for x in (state.row_sketch, got[1]) if x], "x string")
+        out.row_sketch = both.agg(F.hex(F.hll_union_agg(F.unhex("x")))).first()[0]
     out.stable_rows = state.stable_rows + rows if out.fingerprint() == state.fingerprint() else 0
     return out
 

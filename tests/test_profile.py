@@ -118,6 +118,7 @@ def test_row_limits(spark):
 
 def test_quantiles_are_numpys(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "FEW", 50)
+    monkeypatch.setattr(quantiles, "LEAST_FEW", 50)
     monkeypatch.setattr(quantiles, "CELLS", 16)
     r = random.Random(3)
     for values in ([r.gauss(0, 5) for _ in range(3000)], [float(r.randrange(4)) for _ in range(2000)], [1.0], [1.0, 2.0], [5.0] * 999 + [6.0], [r.expovariate(1) ** 5 for _ in range(2500)], [-1.7e308, 1.7e308, *[r.random() for _ in range(300)]]):

@@ -52,3 +52,31 @@ def test_long_texts_are_matched_whole(spark):
     rows = [("2024-01-01T10:" + "0" * 5000,), ("a" * 5000 + "_b",), ("/" + "/".join(["part"] * 4000),), ("C:\\" + "dir\\" * 3000,), ("word " * 2000,)]
     got = {r["pattern"]: r["match_count"] for r in Q.pattern_counts(spark.createDataFrame(rows, "v string")).collect()}
     assert got == {"DateTime (ISO)": 1, "Labeled Identifier": 1, "File Path (Unix)": 1, "File Path (Windows)": 1}
+
+
+def test_a_streams_report_is_that_of_its_table(spark, tmp_path, mixed):
+    """Two runs over a checkpoint, several batches: types, counts, moments, patterns and scores of the whole."""
+    from gaugeworks.plans.stream_report import stream_report
+    from gaugeworks.streaming.profile import StreamState, profile_stream
+
+    files, at = str(tmp_path / "rows"), str(tmp_path / "checkpoint")
+    texts = mixed.withColumn("mixed", F.when(F.col("key") % 3 == 0, "1,5").otherwise("some text"))
+    texts.where("key < 2000").coalesce(1).write.parquet(files)
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    first, _ = profile_stream(stream, checkpoint=at)
+    assert first.rows == 2000
+    texts.where("key >= 2000").repartition(3).write.mode("append").parquet(files)
+    state, _ = profile_stream(stream, checkpoint=at)
+    assert StreamState.from_json(state.to_json()) == state
+    got, want = stream_report(state, spark), profile_frame(texts, Options(exact=False))
+    for a, b in zip(want.columns, got.columns, strict=True):
+        assert (a.name, a.data_type, a.total_count, a.null_count) == (b.name, b.data_type, b.total_count, b.null_count)
+        assert [(p["name"], p["match_count"]) for p in a.patterns] == [(p["name"], p["match_count"]) for p in b.patterns]
+        for n in ("min", "max", "mean", "std_dev", "skewness", "kurtosis", "min_length", "max_length"):
+            if a.stats.get(n) is not None:
+                assert b.stats[n] == pytest.approx(a.stats[n], rel=1e-6, abs=1e-9)
+        if a.stats.get("median") is not None:
+            assert abs(a.stats["median"] - b.stats["median"]) <= 0.05 * (abs(a.stats["max"]) + 1)
+    for dimension in ("completeness", "consistency", "validity"):
+        assert got.dimension_scores[dimension] == pytest.approx(want.dimension_scores[dimension])
+    assert got.dimension_scores["uniqueness"] == pytest.approx(want.dimension_scores["uniqueness"], abs=3)
