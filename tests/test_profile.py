@@ -173,7 +173,8 @@ def test_csv(spark, tmp_path):
         files.read_csv(spark, f"file://{f}", files.CsvOptions(flexible=False))
     _, info, tried = files.read_csv_with_recovery(spark, f"file://{f}")
     assert info.ragged_rows == 2 and len(tried) == 2
-    assert files.validate_csv(spark, f"file://{f}").rows == 4
+    lines = files.validate_csv(spark, f"file://{f}")
+    assert (lines.total_lines, lines.unmatched_quotes, lines.delimiter) == (6, 2, ";")
     (tmp_path / "b.csv").write_text("a,a\n1,2\n")
     with pytest.raises(errors.SchemaError):
         files.read_csv(spark, f"file://{tmp_path}/b.csv")
