@@ -11,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Rows that a file should have, where a bound on a table's rows is known.
+ROWS_A_FILE = 50_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -38,13 +40,17 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Cuts the lineage, so that what is read several times is computed once and a lost executor costs no recomputation.
+    ``rows``, a bound on the rows if one is known, keeps a small table that many partitions deal out in few files: without
+    Hadoop's native library a local file system starts a process for each file, to set its mode.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_to = path

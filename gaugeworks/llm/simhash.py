@@ -467,28 +467,29 @@ def components(edges: DataFrame) -> DataFrame:
     written, and the rounds end when no edge changes; neither nodes nor links come to the driver.
     """
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    seen = None
+    # neither star makes more edges than it gets
+    seen, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # a node that very many others hang on is a hot key
-        large = written(split_join(both.where("b > a"), least, ["a"]).select(F.col("m").alias("a"), "b").where("a < b").distinct(), "edges")
+        large = written(split_join(both.where("b > a"), least, ["a"]).select(F.col("m").alias("a"), "b").where("a < b").distinct(), "edges", n)
         # small star: by the larger end, which has no larger neighbour here
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = split_join(large, down, ["b"]).select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("b").alias("y")), F.struct(F.col("m").alias("x"), F.col("a").alias("y")))).alias("e"))
-        before, now = now, written(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b").distinct(), "edges")
+        before, now = now, written(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b").distinct(), "edges", n)
         released(before, large)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, n = tuple(state), state[0]
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` of each row: the least id that links of ``LIMIT`` bits or fewer reach from it, its own included."""
     prints = written(fingerprints(docs, id_col, text, words), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", prints.count())
     classes = _classes(distinct, "fp", links(entries(distinct), Ring()))
     return split_join(prints, classes, ["fp"]).select(id_col, "fp", "component_id")
 
@@ -496,7 +497,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def _classes(distinct: DataFrame, node: str, found: DataFrame) -> DataFrame:
     """``node`` and ``component_id``, the smallest ``least`` of its component."""
     roots = components(found).withColumnRenamed("node", "_node")
-    rooted = written(distinct.join(roots, distinct[node] == roots["_node"], "left").select(node, "least", F.coalesce("root", node).alias("root")), "rooted")
+    rooted = written(distinct.join(roots, distinct[node] == roots["_node"], "left").select(node, "least", F.coalesce("root", node).alias("root")), "rooted", distinct.count())
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return split_join(rooted, smallest, ["root"]).select(node, "component_id")
 

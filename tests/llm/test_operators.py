@@ -5,13 +5,15 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import _joins, bpe, decontam, langid, lengths, line_dedup, multiset_hash, queries, secrets, sharding, simhash, wacz
+from gaugeworks.llm import _io, _joins, bpe, decontam, langid, lengths, line_dedup, multiset_hash, queries, secrets, sharding, simhash, wacz
 from tests.llm.corpus import corpus, frame
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -151,6 +153,31 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, block, few, pivots):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in by.values() if len(g) > 1)
 
 
+def test_small_tables_take_few_files_whatever_the_partitions(spark, docs, monkeypatch):
+    """Each file of a table costs an executor a process; a row for each of 48 partitions has to end in one file, bar the first links."""
+    files = []
+
+    def counted(df, name, *rows):
+        table = _io.written(df, name, *rows)
+        files.append((name, len(list(Path(urlsplit(table._written_to).path).glob("*.parquet")))))
+        return table
+
+    monkeypatch.setattr(simhash, "written", counted)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        check_components([(r[0], r[1]) for r in corpus()], simhash.near_duplicates(docs).collect())
+        first = files.index(next(x for x in files if x[0] == "edges"))
+        assert [n for k, (name, n) in enumerate(files) if name in ("distinct", "edges", "rooted") and k != first and n > 1] == []
+        # a bound over ROWS_A_FILE still deals the rows out
+        monkeypatch.setattr(_io, "ROWS_A_FILE", 10)
+        assert sorted(r["id"] for r in counted(spark.range(95).repartition(48, "id"), "many", 95).collect()) == list(range(95)) and files[-1][1] == 10
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_units_of_several_batches_keep_their_links():
     """A large unit that spans batches, between small ones."""
     import pyarrow as pa
