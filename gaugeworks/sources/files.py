@@ -11,9 +11,10 @@ import io
 import json
 import re
 import statistics
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from gaugeworks.operators.fields import duplicate_names
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet"}
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_BYTES, HEAD_RECORDS, MOST_FOOTERS = 4096, 5, 256
+#: Bytes that are read at a bound to find a line's end, and bytes of a file that one task reads at once.
+LOOKED_AT, STRETCH = 1 << 16, 1 << 25
 
 
 @dataclass
@@ -250,22 +253,73 @@ def repaired(row: list[str], width: int, delimiter: str) -> list[str]:
     return (row + [""] * (width - len(row)))[:width]
 
 
+def _cut(read: Callable[[int, int], bytes], at: int, total: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes from ``at`` to ``total`` that end with a line each; ``read`` gives bytes from a place. None is read twice."""
+    held, first = b"", at
+    while at < total:
+        end = at + max(1, size)
+        look = end - 1
+        while end < total:
+            if not first <= look < first + len(held):
+                held, first = read(look, LOOKED_AT), look
+                if not held:
+                    raise EOFError(f"no byte at {look} of {total}")
+            if (k := held.find(b"\n", look - first)) >= 0:
+                end = first + k + 1
+                break
+            look = first + len(held)
+            end = look + 1
+        end = min(end, total)
+        yield at, end
+        at = end
+
+
 def chunk_bounds(spark: SparkSession, path: str, size: int) -> list[tuple[int, int]]:
-    """Stretches of about ``size`` bytes of a file that end with a line each. Only what is around the bounds is read."""
-    out, at, total = [], 0, file_size(spark, path)
+    """Stretches of about ``size`` bytes of a file that end with a line each. Only what is around the bounds is read, and that once."""
+
+    def read(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return bytes(stream.readNBytes(n))
+
+    total = file_size(spark, path)
     with opened(spark, path) as stream:
-        while at < total:
-            end = at + max(1, size)
-            while end < total:
-                stream.seek(end - 1)
-                part = bytes(stream.readNBytes(1 << 16))
-                if (k := part.find(b"\n")) >= 0:
-                    end += k
-                    break
-                end += len(part)
-            out.append((at, min(end, total)))
-            at = out[-1][1]
-    return out
+        return [*_cut(read, 0, total, size)]
+
+
+def read_chunks(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """``file``, ``start``, ``content``: all stretches of about ``size`` bytes of a file, or of a folder's files, that end with a line each.
+
+    The driver cuts files of more than ``STRETCH`` bytes, which costs a look at each bound; a task reads a stretch at once and cuts it further.
+    """
+    found = [(f, *b) for f, n in _files(spark, path) for b in (chunk_bounds(spark, f, STRETCH) if n > STRETCH else [(0, n)])]
+
+    def cut(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, place = fs.FileSystem.from_uri(r["file"]) if "://" in r["file"] or r["file"].startswith("file:") else (fs.LocalFileSystem(), r["file"])
+                with system.open_input_file(place) as stream:
+                    raw = stream.read_at(r["end"] - r["start"], r["start"])
+                cuts = _cut(lambda at, n: raw[at : at + n], 0, len(raw), size)
+                while some := [*islice(cuts, max(1, (1 << 22) // max(1, size)))]:
+                    yield pa.record_batch([pa.array([r["file"]] * len(some)), pa.array([r["start"] + a for a, _ in some]), pa.array([raw[a:b] for a, b in some], pa.binary())], ["file", "start", "content"])
+
+    return spark.createDataFrame(found, "file string, start long, end long").mapInArrow(cut, "file string, start long, content binary")
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Addresses and sizes of a file, or of a folder's files, those that aren't empty."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise MissingFile(f"{path}: no such file")
+    inside = [s for s in system.listStatus(where) if s.isFile()]
+    if system.getFileStatus(where).isDirectory():
+        inside = [s for s in inside if not s.getPath().getName().startswith(("_", "."))]
+    # Hadoop writes local addresses with one slash
+    return sorted((re.sub(r"\Afile:/(?!/)", "file:///", str(s.getPath())), s.getLen()) for s in inside if s.getLen())
 
 
 def read_chunk(spark: SparkSession, path: str, bounds: tuple[int, int]) -> bytes:

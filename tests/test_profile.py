@@ -264,6 +264,38 @@ def test_database_queries():
     assert "PARTITION BY k" in sampling.database_sampling("SELECT 1", "stratified", 100, 1000, "k")
 
 
+def test_chunks(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    lines = [b"x" * rng.choice((0, 1, 9, 300)) + b"\n" for _ in range(3000)]
+    (tmp_path / "a.txt").write_bytes(b"".join(lines) + b"open end")
+    raw, path = (tmp_path / "a.txt").read_bytes(), str(tmp_path / "a.txt")
+
+    def plain(size):
+        at, out = 0, []
+        while at < len(raw):
+            end = raw.find(b"\n", at + max(1, size) - 1) + 1 or len(raw)
+            out.append((at, end))
+            at = end
+        return out
+
+    reads = []
+    for size, looked_at in ((0, 1 << 16), (1, 7), (50, 1 << 16), (1000, 100), (10**9, 10)):
+        monkeypatch.setattr(files, "LOOKED_AT", looked_at)
+        assert files.chunk_bounds(spark, path, size) == plain(size)
+        assert [*files._cut(lambda at, n: reads.append(n) or raw[at : at + n], 0, len(raw), size)] == plain(size)
+        # no byte is read twice
+        assert sum(reads) < len(raw) + 2 * looked_at
+        reads.clear()
+    monkeypatch.undo()
+    got = lambda: sorted((r["start"], bytes(r["content"])) for r in files.read_chunks(spark, path, 1000).collect())
+    assert got() == [(a, raw[a:b]) for a, b in plain(1000)]
+    # a file of several stretches, and a folder
+    monkeypatch.setattr(files, "STRETCH", 50_000)
+    assert len(files.chunk_bounds(spark, path, 50_000)) > 3 and b"".join(c for _, c in got()) == raw and all(c.endswith(b"\n") for _, c in got()[:-1])
+    (tmp_path / "b.txt").write_bytes(b"1\n")
+    assert {(r["file"].rpartition("/")[2]) for r in files.read_chunks(spark, str(tmp_path), 10).collect()} == {"a.txt", "b.txt"}
+
+
 # samples, rules
 
 
