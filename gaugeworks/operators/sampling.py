@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.errors import SamplingError
-from gaugeworks.operators.aggregates import one_row
 from gaugeworks.operators.fields import fields
 
 
@@ -39,10 +38,11 @@ class Sampling:
 LOOKED_AT = 20
 
 
-def positioned(df: DataFrame, order: list[str], name: str = "_position") -> DataFrame:
+def positioned(df: DataFrame, order: list[str], name: str = "_position", most: int | None = None) -> DataFrame:
     """``df`` with each row's position from 0 in the order of ``order``, columns of any sortable type that should tell all rows apart.
 
-    Ranges are cut by all order columns together, at quantiles of some keys that a hash picks.
+    Ranges are cut by all order columns together, at quantiles of some keys that a hash picks. With ``most``, the rows of ranges that
+    begin at that position or later are left out, before any is moved.
     """
     spark, parts = df.sparkSession, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(order)])
@@ -57,12 +57,17 @@ def positioned(df: DataFrame, order: list[str], name: str = "_position") -> Data
         table = spark.createDataFrame([(tuple(c),) for c in cuts], T.StructType([T.StructField("k", keys.schema["k"].dataType)]))
         text = table.agg(F.to_json(F.struct(F.array_sort(F.collect_list("k")).alias("cuts")))).first()[0]
         bounds = F.from_json(F.lit(text), T.StructType([T.StructField("cuts", T.ArrayType(keys.schema["k"].dataType))]))["cuts"]
-        number = F.size(F.filter(bounds, lambda c: c <= key))
+        # the bounds up to the key, by halves: as many looks as the number of bounds has bits
+        halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+        number = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
     ranged = df.withColumn("_range", number)
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row for each range
     before, starts = 0, {}
     for r in sorted(counts):
         starts[r], before = before, before + counts[r]
+    if most is not None:
+        starts = {r: at for r, at in starts.items() if at < most}
+        ranged = ranged.where(F.col("_range").isin(*starts)) if starts else ranged.limit(0)
     start = F.element_at(F.create_map(*[F.lit(x) for s in starts.items() for x in s]), F.col("_range")) if starts else F.lit(0)
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]))
     return ranged.withColumn(name, (place - 1 + start).cast("long")).drop("_range")
@@ -105,16 +110,37 @@ def reservoirs(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
 
 def progressive(df: DataFrame, initial: int, confidence: float, maximum: int, order: list[str]) -> DataFrame:
     """A beginning of the rows, doubled until every numeric column's standard error is within 1 - ``confidence`` of its mean."""
-    placed, size = positioned(df, order), max(1, initial)
+    size, maximum = max(1, initial), max(0, maximum)
+    placed = positioned(df, order, most=maximum).where(F.col("_position") < maximum)
     numbers = [f for f in fields(df) if f.kind in ("Integer", "Float")]
+    sizes = []
     while size < maximum:
-        head = placed.where(F.col("_position") < size)
-        got = one_row(head, {f"{k}_{w}": c for k, f in enumerate(numbers) for w, c in (("n", F.count(f.number)), ("m", F.avg(f.number)), ("s", F.stddev_samp(f.number)))})
-        errors = [(got[f"{k}_s"] or 0) / math.sqrt(got[f"{k}_n"]) / abs(got[f"{k}_m"]) for k in range(len(numbers)) if got[f"{k}_n"] and got[f"{k}_m"]]
-        if errors and max(errors) <= 1 - confidence:
-            break
+        sizes.append(size)
         size *= 2
-    return placed.where(F.col("_position") < min(size, maximum)).drop("_position")
+    if not sizes or not numbers:
+        return placed.drop("_position")
+    # the rows that each doubling adds are summed up once, then put together
+    level = F.lit(0)
+    for s in sizes:
+        level = level + F.when(F.col("_position") >= s, 1).otherwise(0)
+    wanted = [c.alias(f"{k}_{w}") for k, f in enumerate(numbers) for w, c in (("n", F.count(f.number)), ("m", F.avg(f.number)), ("s", F.var_pop(f.number) * F.count(f.number)))]
+    added = {r["_level"]: r for r in placed.withColumn("_level", level).groupBy("_level").agg(*wanted).collect()}  # a row for each doubling
+    whole = [(0, 0.0, 0.0)] * len(numbers)
+    for at, size in enumerate(sizes):
+        if r := added.get(at):
+            whole = [_together(x, (r[f"{k}_n"], r[f"{k}_m"], r[f"{k}_s"])) for k, x in enumerate(whole)]
+        errors = [math.sqrt(s / (n - 1) if n > 1 else 0.0) / math.sqrt(n) / abs(m) for n, m, s in whole if n and m]
+        if errors and max(errors) <= 1 - confidence:
+            return placed.where(F.col("_position") < size).drop("_position")
+    return placed.drop("_position")
+
+
+def _together(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int, float, float]:
+    """Count, mean and sum of squares about the mean of two sets of numbers as one."""
+    if not a[0] or not b[0]:
+        return a if a[0] else (b[0], b[1] or 0.0, b[2] or 0.0)
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n
 
 
 def sampled(df: DataFrame, how: Sampling, order: list[str] | None = None) -> DataFrame:

@@ -318,6 +318,36 @@ def test_samples(spark):
     assert sampling.adaptive(10, 1).kind == "none" and sampling.adaptive(10**7, 1).kind == "systematic"
 
 
+def test_progressive_jobs(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.gauss(100, 60), None if k % 5 else 0.0) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, v double, w double").where("k >= 0").repartition(7)
+
+    def plain(initial, confidence, maximum):
+        size = initial
+        while size < maximum:
+            head = [x for x in ([r[c] for r in rows[:size] if r[c] is not None] for c in (0, 1, 2)) if x and statistics.mean(x)]
+            if head and max((statistics.stdev(x) if len(x) > 1 else 0) / len(x) ** 0.5 / abs(statistics.mean(x)) for x in head) <= 1 - confidence:
+                break
+            size *= 2
+        return [*range(min(size, maximum, len(rows)))]
+
+    jobs = spark.sparkContext.statusTracker()
+    for case in ((10, 0.9, 1500), (1, 0.97, 1500), (3, 0.98, 10**6), (5, 0.9999, 700), (5, 0.9999, 10**6), (100, 0.5, 50), (10, 0.9, 0)):
+        assert sorted(r["k"] for r in sampling.progressive(df, *case, ["k"]).collect()) == plain(*case)
+    # the table isn't read again for each doubling, of which there are 2 and 17 here
+    counts = []
+    for maximum in (4, 10**5):
+        spark.sparkContext.setJobGroup(f"progressive {maximum}", "")
+        sampling.progressive(df, 1, 0.9999, maximum, ["k"])
+        counts.append(len(jobs.getJobIdsForGroup(f"progressive {maximum}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 1
+    # with a bound, ranges beyond it are left out
+    assert sorted(r["k"] for r in sampling.positioned(df, ["k"], most=3).where("_position < 3").collect()) == [0, 1, 2]
+    assert sampling.positioned(df, ["k"], most=3).count() < 1500
+
+
 def test_names():
     assert [rules.likely_id_name(n) for n in ("id", "order_id", "orderKey", "PK", "paid", "valid", "monkey", "userID", "ID2")] == [True, True, True, True, False, False, False, True, True]
     assert rules.likely_date_name("created_at") and not rules.likely_date_name("amount")
