@@ -76,7 +76,9 @@ def is_boolean(c: Column) -> Column:
 def is_integer(c: Column) -> Column:
     """An integer of 64 bits, signed or not."""
     value = c.try_cast("decimal(38,0)")
-    return F.coalesce(c.rlike(_INTEGER) & value.between(F.lit(-(1 << 63)).cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)")), F.lit(False))
+    # texts of up to 18 digits fit; a cast that fails costs more than all else
+    fits = F.when(F.octet_length(c) <= 18, True).otherwise(value.between(F.lit(-(1 << 63)).cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)")))
+    return F.coalesce(F.when(c.rlike(_INTEGER), fits), F.lit(False))
 
 
 def is_float(c: Column) -> Column:
@@ -117,24 +119,18 @@ def moment(c: Column) -> Column:
     """The local wall time that a date or datetime text says, or null. Day before month where both fit."""
     t = trimmed(c)
 
-    def form(pattern: str, layout: str, text: Column = t) -> Column:
-        return F.when(t.rlike(rf"\A{pattern}\z"), F.try_to_timestamp(text, F.lit(layout)))
-
-    clock = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
-    plain = F.regexp_replace(F.regexp_replace(t, r"(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?\z", ""), "[Tt]", " ")
-    found = F.coalesce(
-        form(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ]{clock}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{{2}}:[0-9]{{2}})", "yyyy-M-d H:m:s", plain),
-        form(rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(?:T{clock}(?:\.[0-9]+)?| {clock})", "yyyy-M-d H:m:s", plain),
-        form(rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {clock}", "d/M/yyyy H:m:s"),
-        form(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "yyyy-M-d"),
-        form(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy"),
-        form(r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "d-M-yyyy"),
-        form(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", "d.M.yyyy"),
-        form(r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", "yyyy/M/d"),
-        form(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
+    clock, cast = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}", lambda text: text.try_cast("timestamp")
+    # a text of a known form is put as year-month-day, which a cast reads without a formatter
+    year_first = F.when(t.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), cast(t)).when(
+        t.rlike(rf"\A(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ]{clock}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{{2}}:[0-9]{{2}})|[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(?:T{clock}(?:\.[0-9]+)?| {clock}))\z"),
+        cast(F.regexp_replace(F.regexp_replace(t, r"(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?\z", ""), "[Tt]", " ")),
+    ).when(t.rlike(r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"), cast(F.translate(t, "/", "-")))
+    whole = r"\A([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})\z"
+    day_first = F.when(t.rlike(whole), F.coalesce(cast(F.regexp_replace(t, whole, "$4-$3-$1")), F.when(F.contains(t, F.lit("/")), cast(F.regexp_replace(t, whole, "$4-$1-$3"))))).when(
+        t.rlike(rf"\A[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {clock}\z"), cast(F.regexp_replace(t, r"\A([0-9]+)/([0-9]+)/([0-9]+) (.*)\z", "$3-$2-$1 $4"))
     )
     # few texts begin like a date: the others aren't tried
-    return F.when(t.rlike(r"\A[0-9]{1,4}[-/.]"), found)
+    return F.when(t.rlike(r"\A[0-9]{1,2}[-/.]"), day_first).when(t.rlike(r"\A[0-9]{4}[-/]"), year_first)
 
 
 def has_clock(c: Column) -> Column:

@@ -131,3 +131,12 @@ def test_numbers_match_the_patterns_that_they_would_without_the_shortcut(spark):
     masks = column(spark, values, R.match_mask)
     for k in full:
         assert [bool(m >> k & 1) for m in masks] == full[k], R.CATALOGUE[k].name
+
+
+def test_moments_without_formatter(spark):
+    df = spark.createDataFrame([(t,) for t in ("31/02/2024", "13/13/2024", "02/13/2024", "13-02-2024", "02-13-2024", "1.2.0001", "0000/2/29", "2024-1-2 24:00:00", "9/8/2024 7:06:5", "2024-01-02t3:4:5.123456789+02:00", "2024-1-2T03:04:05Z", "2024-01/02", " 29.02.2024\n")], "t string")
+    got = df.select(F.date_format(P.moment(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("m"))
+    day = lambda d, h="00:00:00": f"{d} {h}"
+    assert [r["m"] for r in got.collect()] == [None, None, day("2024-02-13"), day("2024-02-13"), None, day("0001-02-01"), day("0000-02-29"), None, day("2024-08-09", "07:06:05"), day("2024-01-02", "03:04:05"), None, None, day("2024-02-29")]
+    # texts are cast, not read by a formatter, which takes most of the time
+    assert "gettimestamp" not in got._jdf.queryExecution().executedPlan().toString()
