@@ -198,7 +198,7 @@ def lexical_classes(spark, d):
 @query(union([f"SELECT '{c}' AS \"column\", '{k}' AS data_type FROM (SELECT 1)" for c, k in (("keys", "Integer"), ("prices", "Float"), ("days", "Date"), ("flags", "Boolean"), ("names", "String"), ("mostly_numbers", "Float"))]))
 def infer_types(spark, d):
     """Types of text columns from their cells."""
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    o, k = shared(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"]), F.col("o_orderkey")
     texts = o.select(
         k.cast("string").alias("keys"), F.col("o_totalprice").cast("string").alias("prices"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("days"), F.when(k % 2 == 0, "True").otherwise("false").alias("flags"),
         F.col("o_orderpriority").alias("names"), F.when(k % 10 == 0, "n/a").otherwise(k.cast("string")).alias("mostly_numbers"),

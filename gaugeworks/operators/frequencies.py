@@ -56,11 +56,15 @@ def _is_long(text):
 
 def _facts(raw):
     """What a text says, each question asked once."""
-    t = P.trimmed(raw)
-    return F.struct(
-        P.is_integer(t).alias("integer"), P.is_float(t).alias("float"), P.is_inferred_date(t).alias("date"), P.is_date(t).alias("any_date"),
-        F.to_date(P.moment(t)).alias("day"), ((F.octet_length(raw) >= 10) & (raw == t) & raw.rlike(P.RAW_DATE)).alias("raw"), P.decimal_scale(t).alias("scale"),
-    )
+    return F.struct(*[c.alias(k) for k, c in _said(P.trimmed(raw), raw).items()])
+
+
+def _said(t, raw):
+    """What a text says, trimmed and as it stands, by the name of the question."""
+    return {
+        "integer": P.is_integer(t), "float": P.is_float(t), "date": P.is_inferred_date(t), "any_date": P.is_date(t),
+        "day": F.to_date(P.moment(t)), "raw": (F.octet_length(raw) >= 10) & (raw == t) & raw.rlike(P.RAW_DATE), "scale": P.decimal_scale(t),
+    }
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -81,9 +85,15 @@ def value_facts(counts: DataFrame) -> DataFrame:
 
 def _judged(cells: DataFrame) -> DataFrame:
     """``column``, ``n`` and what each ``value`` says. Long values may come with what they say as ``facts``."""
-    short = cells.select("column", "n", P.trimmed(F.col("value")).alias("t"), "value", "facts") if "facts" in cells.columns else cells.select("column", "n", P.trimmed(F.col("value")).alias("t"), "value", F.lit(None).alias("facts"))
-    asked = short.select("column", "n", F.when(F.col("facts").isNull(), F.lower("t")).alias("low"), F.coalesce(F.col("facts"), _facts(F.col("value"))).alias("f") if "facts" in cells.columns else _facts(F.col("value")).alias("f"))
-    asked = asked.select("column", "n", "low", *[f"f.{x}" for x in ("integer", "float", "date", "any_date", "day", "raw")])
+    asked_for = ("integer", "float", "date", "any_date", "day", "raw")
+    if "facts" in cells.columns:
+        short = cells.select("column", "n", P.trimmed(F.col("value")).alias("t"), "value", "facts")
+        asked = short.select("column", "n", F.when(F.col("facts").isNull(), F.lower("t")).alias("low"), F.coalesce(F.col("facts"), _facts(F.col("value"))).alias("f"))
+        asked = asked.select("column", "n", "low", *[f"f.{x}" for x in asked_for])
+    else:
+        # a column for each question, not a struct: those that nobody reads aren't asked
+        said = _said(F.col("t"), F.col("value"))
+        asked = cells.select("column", "n", "value", P.trimmed(F.col("value")).alias("t")).select("column", "n", F.lower("t").alias("low"), *[said[x].alias(x) for x in asked_for])
     boolean = F.coalesce(F.col("low").isin(*P.BOOLEAN_TOKENS), F.lit(False))
     kind = F.when(F.col("low").isin(*P.NULL_TOKENS), None).when(F.col("float"), "Numeric").when(F.col("any_date"), "Date").when(boolean, "Boolean").otherwise("Text")
     return asked.select("column", "n", "low", "integer", "float", boolean.alias("boolean"), "date", "day", kind.alias("class"), (F.col("raw") & F.col("day").isNotNull()).alias("parses"))

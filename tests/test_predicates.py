@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import patterns as R
 from gaugeworks.functions import predicates as P
 from gaugeworks.functions import validators as V
+from gaugeworks.operators import frequencies as Q
 from gaugeworks.plans.report import round_half_away
 
 
@@ -140,3 +141,12 @@ def test_moments_without_formatter(spark):
     assert [r["m"] for r in got.collect()] == [None, None, day("2024-02-13"), day("2024-02-13"), None, day("0001-02-01"), day("0000-02-29"), None, day("2024-08-09", "07:06:05"), day("2024-01-02", "03:04:05"), None, None, day("2024-02-29")]
     # texts are cast, not read by a formatter, which takes most of the time
     assert "gettimestamp" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_types_ask_no_more(spark):
+    df = spark.createDataFrame([(t,) for t in ("12", "0000000000000000000000000000000000000000007", "18446744073709551616", "1" * 18, "-9223372036854775809")], "c string")
+    made = Q.lexical_profile(df).select("column", "integers", "data_type")
+    assert [tuple(r) for r in made.collect()] == [("c", 3, "Float")]
+    # neither decimals nor moments are looked for where nobody reads them
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "as timestamp" not in plan
